@@ -19,8 +19,10 @@ def ratio(num: Column | str, den: Column | str, default: float | None = None) ->
 
 
 def clamp(c: Column | str, lo, hi) -> Column:
-    return F.greatest(F.lit(lo) if not isinstance(lo, Column) else lo,
-                      F.least(F.lit(hi) if not isinstance(hi, Column) else hi, col(c)))
+    """``c`` kept within [lo, hi]; null stays null (least and greatest alone would skip it)."""
+    low = lo if isinstance(lo, Column) else F.lit(lo)
+    high = hi if isinstance(hi, Column) else F.lit(hi)
+    return F.when(col(c).isNotNull(), F.greatest(low, F.least(high, col(c))))
 
 
 def flag(cond: Column) -> Column:

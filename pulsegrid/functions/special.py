@@ -7,6 +7,7 @@ from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _betacf(a: float, b: float, x: float) -> float:
@@ -67,17 +68,17 @@ def _skip_null(fn):
     return run
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return _skip_null(lambda v: 0.5 * math.erfc(-v / math.sqrt(2.0)))(z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     return _skip_null(NormalDist().inv_cdf)(p)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def spearman_p_value(ic: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a rank correlation from the t approximation."""
     def one(r, m):
@@ -87,16 +88,16 @@ def spearman_p_value(ic: pd.Series, n: pd.Series) -> pd.Series:
     return _skip_null(one)(ic, n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_p_value(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _skip_null(lambda a, b, c: f_upper(max(a, 0.0), b, c))(f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_p_two_sided(k: pd.Series, n: pd.Series) -> pd.Series:
     return _skip_null(lambda a, b: binomial_two_sided(int(a), int(b)))(k, n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_p_greater(k: pd.Series, n: pd.Series) -> pd.Series:
     return _skip_null(lambda a, b: binomial_upper(int(a), int(b)))(k, n)

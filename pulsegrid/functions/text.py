@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.exprs import clamp
+
 WORDS = r"(?U)(\w+)"
 DOLLAR = r"(?U)\$([A-Z]{1,5})\b"
 UNKNOWN = r"(?U)\b([A-Z]{1,5})\b"
@@ -75,7 +77,7 @@ def build_text(df: DataFrame, title="title", body="body", limit=500, min_body=20
 def parse_tone(c: Column | str) -> Column:
     """first comma field over 10, clamped to ±1; anything unreadable reads 0."""
     raw = F.get(F.split(text_of(c), ","), F.lit(0)).try_cast("double")
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw / 10.0)), F.lit(0.0))
+    return F.coalesce(clamp(raw / 10.0, -1.0, 1.0), F.lit(0.0))
 
 
 def parse_run_log(lines: DataFrame, value="value") -> DataFrame:

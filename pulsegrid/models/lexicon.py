@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.functions.text import WORDS, text_of
 
@@ -45,7 +46,9 @@ def corpus_summary(scored: DataFrame, score="sentiment_score") -> DataFrame:
 
 def score_batches(df: DataFrame, text: str, scorer: Callable[[list[str]], list[tuple[str, float, float]]], batch=32) -> DataFrame:
     """User scorer over batches of texts, returning (label, score, confidence) per text."""
-    schema = df.schema.add("label", "string").add("model_score", "double").add("model_confidence", "double")
+    schema = T.StructType([
+        *df.schema.fields, T.StructField("label", T.StringType()), T.StructField("model_score", T.DoubleType()),
+        T.StructField("model_confidence", T.DoubleType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:

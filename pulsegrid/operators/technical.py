@@ -175,7 +175,7 @@ def abnormal_attention(df: DataFrame, count="post_count_1d", n=20, min_rows=5, c
                        time="date", out="abnormal_attention_1d") -> DataFrame:
     """Count over (trailing mean + 1), capped; a mean from too few rows counts as 1."""
     m = F.coalesce(mean_over(count, trailing(n, key, time), min_rows), F.lit(1.0))
-    return df.withColumn(out, F.least(F.lit(float(cap)), F.col(count) / (m + 1.0)))
+    return df.withColumn(out, F.when(F.col(count).isNotNull(), F.least(F.lit(float(cap)), F.col(count) / (m + 1.0))))
 
 
 def realised_volatility(df: DataFrame, n=20, min_rows=10, value="close", key="ticker", time="date",
