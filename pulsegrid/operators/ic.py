@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.exprs import clamp, ratio
 from pulsegrid.functions.signals import ic_gate
 from pulsegrid.functions.special import spearman_p_value
-from pulsegrid.operators.ordering import average_rank
+from pulsegrid.operators.ordering import average_rank, plain
 from pulsegrid.operators.rollups import unpivot_doubles
 
 
@@ -24,12 +24,24 @@ def spearman(df: DataFrame, x: str, y: str, group: Sequence[str] = (), *, min_n:
     pooled group nor a value shared by many rows ends in one task.
     """
     group = list(group)
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
-        *group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
-    ).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_w"))
+    src = df.select(*group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
+                    *([weight] if weight else []))
+    for c in [*group, "_x", "_y"]:
+        src = src.where(F.col(c).isNotNull())
+    pairs = src.groupBy(*group, "_x", "_y").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_w"))
+    if plain(df, n_buckets):
+        def rank(c: str) -> Column:
+            w = Window.partitionBy(*group).orderBy(c)
+            return F.sum("_w").over(w) - (F.sum("_w").over(w.rangeBetween(0, 0)) - 1) / 2.0
+        return _correlate(pairs.withColumns({"_rx": rank("_x"), "_ry": rank("_y")}), group, min_n, on_small, with_p)
     rx = average_rank(pairs, "_x", group, weight="_w", n_buckets=n_buckets).select(*group, "_x", F.col("rank_avg").alias("_rx"))
     ry = average_rank(pairs, "_y", group, weight="_w", n_buckets=n_buckets).select(*group, "_y", F.col("rank_avg").alias("_ry"))
     j = pairs.join(rx, [*group, "_x"]).join(ry, [*group, "_y"])
+    return _correlate(j, group, min_n, on_small, with_p)
+
+
+def _correlate(j: DataFrame, group: list[str], min_n: int, on_small: float | None, with_p: bool) -> DataFrame:
+    """Correlation of weighted rank pairs; ranks are centred on their known mean."""
     w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
     sums = [F.sum("_w").alias("n"), F.sum(w * a * b).alias("_sab"), F.sum(w * a * a).alias("_saa"), F.sum(w * b * b).alias("_sbb")]
     g = j.groupBy(*group).agg(*sums) if group else j.agg(*sums)
@@ -96,23 +108,28 @@ def last_rows_ic(trades: DataFrame, order: Sequence[Column], pred: str, actual:
     """IC over the last ``window`` trades and its t statistic."""
     total = trades.agg(F.count(F.lit(1)).alias("n_trades"))
     recent = trades.orderBy(*order).limit(window).where(F.col(actual).isNotNull() & (F.col(actual) != 0))
-    ic = spearman(recent, pred, actual, min_n=min_n, n_buckets=4).crossJoin(F.broadcast(total))  # one row
+    ic = spearman(recent, pred, actual, min_n=min_n).crossJoin(F.broadcast(total))  # one row
     v = F.when(F.col("n_trades") >= min_trades, F.col("ic"))
     t = v * F.sqrt(F.col("n") - 2.0) / F.sqrt(1 - v * v + 1e-10)
     return ic.select("n_trades", F.col("n").alias("n_valid"), v.alias("rolling_ic"), t.alias("ic_tstat"))
 
 
 def effective_ic(windows: DataFrame, raw_ic: float | Column, n_test, n_total, annual_trades=60, cost=0.002) -> DataFrame:
-    """M6: raw IC times coverage and stability, less the turnover penalty."""
+    """M6: raw IC times coverage and stability, less the turnover penalty.
+
+    Row counts and the raw IC may be numbers or aggregate expressions over ``windows``.
+    """
     penalty = min(max(annual_trades * cost / 252 * 5, 0.0), 0.05)
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    g = windows.agg(F.count(F.lit(1)).alias("n_windows"), F.stddev_pop("ic").alias("_sd"), F.avg(F.abs("ic")).alias("_m"))
+    g = windows.agg(
+        F.count(F.lit(1)).alias("n_windows"), F.stddev_pop("ic").alias("_sd"), F.avg(F.abs("ic")).alias("_m"),
+        as_col(n_test).alias("_k"), as_col(n_total).alias("_t"), as_col(raw_ic).alias("_raw"))
     stab = F.when(F.coalesce(F.col("_m"), F.lit(0.0)) < 1e-6, 0.0).otherwise(clamp(1 - ratio("_sd", "_m"), 0.0, 1.0))
-    cov = F.least(as_col(n_test) / F.greatest(as_col(n_total), F.lit(1)), F.lit(1.0))
+    cov = F.least(F.col("_k") / F.greatest(F.col("_t"), F.lit(1)), F.lit(1.0))
     enough = F.col("n_windows") >= 2
     return g.select(
         "n_windows",
-        F.when(enough, as_col(raw_ic) * cov * stab - penalty).alias("effective_ic"),
+        F.when(enough, F.col("_raw") * cov * stab - penalty).alias("effective_ic"),
         F.when(enough, F.round(cov, 4)).alias("coverage"), F.when(enough, F.round(stab, 4)).alias("stability"),
         F.when(enough, F.lit(round(penalty, 6))).alias("turnover_penalty"))
 

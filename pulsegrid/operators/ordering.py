@@ -4,6 +4,10 @@ Ranks, running sums, running extremes and exact quantiles over *all* rows of a
 table (or of a group that may hold a third of all rows) are computed in two
 levels: rows go to range buckets, each bucket is scanned on its own, and only
 one summary row per bucket is combined in order.
+
+When every source below a table is known to be small (``small_input``) one plain
+window per group does the same with fewer shuffles. Passing ``n_buckets`` always
+takes the bucketed form.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.session import shuffle_width
+from pulsegrid.session import shuffle_width, small_input
 
 BUCKET = "_bucket"
 
@@ -22,6 +26,10 @@ def _width(df: DataFrame, n_buckets: int | None) -> int:
     return n_buckets or shuffle_width(df.sparkSession)
 
 
+def plain(df: DataFrame, n_buckets: int | None) -> bool:
+    return n_buckets is None and small_input(df)
+
+
 def _per_group(df: DataFrame, group: Sequence[str], *aggs: Column) -> DataFrame:
     return df.groupBy(*group).agg(*aggs) if group else df.agg(*aggs)
 
@@ -34,7 +42,7 @@ def attach(df: DataFrame, small: DataFrame, group: Sequence[str], how: str = "in
 
 
 def range_bucket(
-    df: DataFrame, by: Column, group: Sequence[str] = (), n_buckets: int | None = None
+    df: DataFrame, by: Column, group: Sequence[str] = (), n_buckets: int | None = None, also: str | None = None
 ) -> DataFrame:
     """Add ``_bucket``, non-decreasing in ``by`` within a group, of roughly equal sizes.
 
@@ -44,7 +52,9 @@ def range_bucket(
     n = _width(df, n_buckets)
     probs = F.array(*[F.lit(i / n) for i in range(1, n)])
     keyed = df.withColumn("_by", by.cast("double"))
-    edges = _per_group(keyed, group, F.percentile_approx("_by", probs, F.lit(max(1000, 20 * n))).alias("_edges"))
+    # ``also`` keeps a column of ``df`` alive in this branch, so both branches read one exchange
+    seen = F.when(F.col(also).isNotNull(), F.col("_by")) if also else F.col("_by")
+    edges = _per_group(keyed, group, F.percentile_approx(seen, probs, F.lit(max(1000, 20 * n))).alias("_edges"))
     edges = edges.withColumn("_edges", F.array_distinct("_edges"))
     out = attach(keyed, edges, group, "left")
     return out.withColumn(
@@ -75,7 +85,12 @@ def average_rank(
     group = list(group)
     n = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.groupBy(*group, value).agg(n.alias("n_ties"))
-    b = range_bucket(counts, F.col(value), group, n_buckets)
+    if plain(df, n_buckets):
+        last = F.sum("n_ties").over(Window.partitionBy(*group).orderBy(value))
+        return counts.withColumn("_last", last).select(
+            *group, value, "n_ties", (F.col("_last") - F.col("n_ties") + 1).alias("rank_first"),
+            (F.col("_last") - (F.col("n_ties") - 1) / 2.0).alias("rank_avg"))
+    b = range_bucket(counts, F.col(value), group, n_buckets, also="n_ties")
     off = _offsets(b, group, {"_off": F.sum("n_ties")}, {"_off": F.sum})
     w = Window.partitionBy(*group, BUCKET).orderBy(value)
     return (
@@ -105,6 +120,9 @@ def exact_quantiles(
     group = list(group)
     names = list(names or [f"p{p:g}" for p in probs])
     src = df.where(F.col(value).isNotNull())
+    if plain(df, n_buckets):
+        exact = [F.percentile(value, float(p)).alias(nm) for nm, p in zip(names, probs)]
+        return _per_group(src, group, *exact)
     ranks = average_rank(src, value, group, n_buckets=n_buckets)
     total = _per_group(ranks, group, F.sum("n_ties").alias("_n"))
     spec = F.array(
@@ -151,6 +169,8 @@ def row_index(
     """1-based position of every row in the order given; ``by`` is the numeric form of
     the order (ties in ``by`` must be broken by later ``order`` columns only)."""
     group = list(group)
+    if plain(df, n_buckets):
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
     b = range_bucket(df, by, group, n_buckets)
     off = _offsets(b, group, {"_off": F.count(F.lit(1))}, {"_off": F.sum})
     w = Window.partitionBy(*group, BUCKET).orderBy(*order)
@@ -176,6 +196,9 @@ def running(
     """Inclusive running sum / max / min columns ``{out: source}`` over the whole order."""
     group = list(group)
     spec = [(F.sum, sums or {}), (F.max, maxima or {}), (F.min, minima or {})]
+    if plain(df, n_buckets):
+        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({out: fn(src).over(w) for fn, cols in spec for out, src in cols.items()})
     aggs, scans = {}, {}
     for fn, cols in spec:
         for out, src in cols.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -63,6 +63,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/staging/{name}-{uuid.uuid4().hex}"
 
 
+SMALL_INPUT = "pulsegrid.smallInputBytes"
+SMALL_INPUT_DEFAULT = 64 * 1024 * 1024
+
+
+def small_input(df: DataFrame) -> bool:
+    """Do all files and tables below ``df`` together stay under the limit?
+
+    The sizes come from the relations in the analysed plan; no job runs. A source of
+    unknown size counts as large. Operators use it to take one ordered window instead
+    of the bucketed form when there is provably little to order.
+    """
+    limit = int(df.sparkSession.conf.get(SMALL_INPUT, str(SMALL_INPUT_DEFAULT)))
+    if limit <= 0:
+        return False
+    try:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        total = 0
+        for i in range(leaves.size()):
+            total += int(leaves.apply(i).stats().sizeInBytes().toString())
+            if total > limit:
+                return False
+        return True
+    except AttributeError:
+        return False
+
+
 def shuffle_width(spark: SparkSession, at_most: int = 2000) -> int:
     """Bucket count for range-bucketed operators: follows the shuffle width."""
     return max(4, min(int(spark.conf.get("spark.sql.shuffle.partitions")), at_most))
