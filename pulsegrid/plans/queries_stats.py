@@ -113,7 +113,7 @@ CUS = """WITH s AS (SELECT id, exit_date, CASE WHEN pred*actual > 0 THEN 1.0E0 E
 p AS (SELECT id, exit_date, sum(0.5 - (s-mu)/sd) OVER (ORDER BY exit_date, id) AS p FROM s, m), q AS (SELECT *, p - least(min(p) OVER (ORDER BY exit_date, id), 0) AS c FROM p)"""
 
 
-@query("w20_cusum_series", f"{CUS} SELECT id, {r('c', 'cusum')}, c > 4 AS breach FROM q")
+@query("w20_cusum_series", digits=3, sql=f"{CUS} SELECT id, {r('c', 'cusum', 3)}, c > 4 AS breach FROM q")
 def _(t):
     order, by = _order()
     return equity.cusum(t.trades(), order, by, "pred", "actual").select("id", "cusum", "breach")
@@ -152,7 +152,7 @@ def _(t):
     return equity.drawdown(_equity(t), order, by).select("id", "equity", "peak", "drawdown")
 
 
-@query("w20_cusum_series_bucketed", f"{CUS} SELECT id, {r('c', 'cusum')}, c > 4 AS breach FROM q")
+@query("w20_cusum_series_bucketed", digits=3, sql=f"{CUS} SELECT id, {r('c', 'cusum', 3)}, c > 4 AS breach FROM q")
 def _(t):
     order, by = _order()
     return equity.cusum(t.trades(), order, by, "pred", "actual", n_buckets=16).select("id", "cusum", "breach")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,16 +78,12 @@ def small_input(df: DataFrame) -> bool:
     limit = int(df.sparkSession.conf.get(SMALL_INPUT, str(SMALL_INPUT_DEFAULT)))
     if limit <= 0:
         return False
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        total = 0
-        for i in range(leaves.size()):
-            total += int(leaves.apply(i).stats().sizeInBytes().toString())
-            if total > limit:
-                return False
-        return True
-    except AttributeError:
+    jdf = getattr(df, "_jdf", None)
+    if jdf is None:  # no local plan to look at (remote client)
         return False
+    leaves = jdf.queryExecution().analyzed().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return all(total <= limit for total in accumulate(sizes))
 
 
 def shuffle_width(spark: SparkSession, at_most: int = 2000) -> int:
