@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.exprs import ratio
@@ -51,11 +51,53 @@ def leaf_values(panel: DataFrame, stumps: DataFrame, ids: Sequence[str], feature
     return j.withColumn("leaf", F.when(left, F.col("w_left")).otherwise(F.col("w_right")))
 
 
+def compiled(stumps: DataFrame) -> DataFrame:
+    """The whole ensemble as one row: per horizon a map from feature to its stumps.
+
+    A model file bounds its size, so this single row is what gets broadcast.
+    """
+    mean = ratio(F.col("w_left") * F.col("h_left") + F.col("w_right") * F.col("h_right"), F.col("h_left") + F.col("h_right"), 0.0)
+    leaf = F.struct(F.col("threshold").cast("float").alias("t"), F.col("default_left").alias("d"), F.col("w_left").alias("l"),
+                    F.col("w_right").alias("r"), mean.alias("m"))
+    per = stumps.groupBy("horizon", "feature").agg(F.collect_list(leaf).alias("s"))
+    hz = per.groupBy("horizon").agg(F.map_from_entries(F.collect_list(F.struct("feature", "s"))).alias("f"))
+    return hz.agg(F.collect_list(F.struct("horizon", "f")).alias("_model"))
+
+
+def _leaf_sum(h: Column, feature: str, centred: bool) -> Column:
+    """Sum of the leaves one feature's value reaches, less their means if ``centred``."""
+    x = F.col(feature).cast("double").cast("float")
+    def one(acc: Column, s: Column) -> Column:
+        left = F.when(x.isNull(), s["d"]).otherwise(x < s["t"])
+        v = F.when(left, s["l"]).otherwise(s["r"])
+        return acc + (v - s["m"] if centred else v)
+    return F.coalesce(F.aggregate(F.try_element_at(h["f"], F.lit(feature)), F.lit(0.0), one), F.lit(0.0))
+
+
 def score_stumps(panel: DataFrame, stumps: DataFrame, ids: Sequence[str], features: Sequence[str],
                  base: dict[str, float] | None = None) -> DataFrame:
-    """Base plus the sum of leaves per row and horizon."""
-    s = leaf_values(panel, stumps, ids, features).groupBy(*ids, "horizon").agg(F.sum("leaf").alias("_sum"))
-    return s.select(*ids, "horizon", (F.col("_sum") + _base(base)).alias("score"))
+    """Base plus the sum of leaves per row and horizon, row by row without a shuffle."""
+    def total(h: Column) -> Column:
+        out = F.lit(0.0)
+        for f in features:
+            out = out + _leaf_sum(h, f, False)
+        return F.struct(h["horizon"].alias("horizon"), out.alias("s"))
+    d = panel.crossJoin(F.broadcast(compiled(stumps))).select(*ids, F.explode(F.transform("_model", total)).alias("_h"))
+    return d.select(*ids, F.col("_h.horizon").alias("horizon"), F.col("_h.s").alias("_sum")).select(
+        *ids, "horizon", (F.col("_sum") + _base(base)).alias("score"))
+
+
+def add_predictions(panel: DataFrame, stumps: DataFrame, features: Sequence[str], base: dict[str, float] | None = None,
+                    horizons=("1d", "3d", "5d"), prefix="pred_") -> DataFrame:
+    """M18 as columns: one prediction per horizon beside the panel row (0 without a model)."""
+    d = panel.crossJoin(F.broadcast(compiled(stumps)))
+    def at(hz: str) -> Column:
+        h = F.get(F.filter("_model", lambda m: m["horizon"] == hz), F.lit(0))
+        out = F.lit(float((base or {}).get(hz, 0.0)))
+        for f in features:
+            out = out + _leaf_sum(h, f, False)
+        return F.when(h.isNotNull(), out).otherwise(0.0)
+    return d.withColumns({f"{prefix}{hz}": at(hz) for hz in horizons}).drop("_model")
 
 
 def _base(base: dict[str, float] | None):
@@ -71,10 +113,16 @@ def scores_wide(scores: DataFrame, ids: Sequence[str], horizons=("1d", "3d", "5d
 
 
 def attributions(panel: DataFrame, stumps: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Additive attribution of depth-one trees: leaf minus hessian-weighted mean leaf, per feature."""
-    mean = ratio(F.col("w_left") * F.col("h_left") + F.col("w_right") * F.col("h_right"), F.col("h_left") + F.col("h_right"), 0.0)
-    d = leaf_values(panel, stumps, ids, features).withColumn("_a", F.col("leaf") - mean)
-    return d.groupBy(*ids, "horizon", "feature").agg(F.sum("_a").alias("attribution"))
+    """Additive attribution of depth-one trees: leaf minus hessian-weighted mean leaf, per
+    feature the model uses."""
+    def per(h: Column) -> Column:
+        cells = F.array(*[
+            F.when(F.try_element_at(h["f"], F.lit(f)).isNotNull(), F.struct(
+                h["horizon"].alias("horizon"), F.lit(f).alias("feature"), _leaf_sum(h, f, True).alias("attribution")))
+            for f in features])
+        return F.filter(cells, lambda c: c.isNotNull())
+    d = panel.crossJoin(F.broadcast(compiled(stumps))).select(*ids, F.explode(F.flatten(F.transform("_model", per))).alias("_c"))
+    return d.select(*ids, "_c.horizon", "_c.feature", "_c.attribution")
 
 
 def expected_value(stumps: DataFrame, base: dict[str, float] | None = None) -> DataFrame:

@@ -28,7 +28,10 @@ def mix(row: Column, replicate: Column) -> Column:
 
 
 def replicates(df: DataFrame, n: int, name="b") -> DataFrame:
-    return df.withColumn(name, F.explode(F.sequence(F.lit(1), F.lit(n))))
+    """``n`` copies of every row. Rows are spread first: they may come out of one ordered task,
+    and the copies should not be made there."""
+    spread = df.repartition(shuffle_width(df.sparkSession), F.col(df.columns[0]))
+    return spread.withColumn(name, F.explode(F.sequence(F.lit(1), F.lit(n))))
 
 
 def shuffled_position(df: DataFrame, row_id: str, replicate: str, out: str, width: int) -> DataFrame:

@@ -108,8 +108,7 @@ def daily_signals(panel: DataFrame, model: DataFrame, base: dict[str, float], fe
     d = filters.universe(filters.density_gate(panel, gate), exclude=list(drop))
     if events is not None:
         d = joins.clear_of_events(d, events, time="date").drop("next_event")
-    scores = stumps.scores_wide(stumps.score_stumps(d, model, ["ticker", "date"], features, base), ["ticker", "date"])
-    s = sig.classify_signals(d.join(scores, ["ticker", "date"]))
+    s = sig.classify_signals(stumps.add_predictions(d, model, features, base))
     if pcr is not None:
         s = s.join(pcr.select("ticker", "pcr"), "ticker", "left").withColumn("pcr", F.when(F.col("signal") == "BULLISH", F.col("pcr")))
         s = s.withColumns({"pcr_confirmation": sig.put_call_label(), "pcr_size_multiplier": sig.put_call_multiplier()})

@@ -326,6 +326,13 @@ def _(t):
     return st.score_stumps(t.panel(), _stumps(t), ["ticker", "date"], MODEL, BASE)
 
 
+@query("m18_stump_scores_leaf_table", f"SELECT ticker, date, horizon, {r('sum(leaf)', 'score', 9)} FROM leaves GROUP BY 1,2,3", views=SV, digits=9)
+def _(t):
+    """Form with one row per (row, tree), used when tree prefixes are compared."""
+    d = st.leaf_values(t.panel(), _stumps(t), ["ticker", "date"], MODEL)
+    return d.groupBy("ticker", "date", "horizon").agg(F.sum("leaf").alias("score"))
+
+
 @query("m19_attributions", f"SELECT ticker, date, horizon, feature, {r('sum(leaf-mean)', 'attribution', 9)} FROM leaves GROUP BY 1,2,3,4", views=SV, digits=9)
 def _(t):
     return st.attributions(t.panel(), _stumps(t), ["ticker", "date"], MODEL)
@@ -348,7 +355,7 @@ def _(t):
 @query("j21_repair_predictions", f"""WITH s AS (SELECT ticker, date, sum(leaf)+0.001 AS p FROM leaves WHERE horizon='1d' GROUP BY 1,2), l AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'PROMO' ELSE 'NONE' END AS ticker, entry_date AS date, CASE WHEN id % 3 = 0 THEN 0.5 END AS pred_1d FROM trades)
 SELECT l.id, {r('coalesce(l.pred_1d, s.p)', 'pred_1d', 9)}, s.ticker IS NULL AS unmatched FROM l LEFT JOIN s ON s.ticker=l.ticker AND s.date=l.date""", views=SV, digits=9)
 def _(t):
-    scored = st.scores_wide(st.score_stumps(t.panel(), _stumps(t), ["ticker", "date"], MODEL, BASE), ["ticker", "date"])
+    scored = st.add_predictions(t.panel(), _stumps(t), MODEL, BASE)
     log = t.trades().select("id", F.when(F.col("id") % 2 == 0, "PROMO").otherwise("NONE").alias("ticker"), F.col("entry_date").alias("date"),
                             F.when(F.col("id") % 3 == 0, 0.5).alias("pred_1d"))
     fixed = joins.repair_predictions(log, scored, ["pred_1d"])
