@@ -23,10 +23,13 @@ def assemble(df: DataFrame, features: Sequence[str], out="features") -> DataFram
 def fit_stumps(train: DataFrame, features: Sequence[str], target: str, *, weight: str | None = None, n_trees=50,
                step=0.02, subsample=0.7, seed=42, depth=1):
     """Gradient-boosted trees of depth one (squared or absolute loss instead of pseudo-Huber)."""
-    rows = assemble(train.where(F.col(target).isNotNull()), features)
+    rows = assemble(train.where(F.col(target).isNotNull()), features).select(
+        "features", F.col(target).cast("double").alias(target), *([weight] if weight else [])).persist()
     gbt = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="pred", maxDepth=depth, maxIter=n_trees,
                        stepSize=step, subsamplingRate=subsample, seed=seed)
-    return (gbt.setWeightCol(weight) if weight else gbt).fit(rows)
+    model = (gbt.setWeightCol(weight) if weight else gbt).fit(rows)  # passes over the rows once per tree
+    rows.unpersist()
+    return model
 
 
 def prefix_stumps(model, features: Sequence[str], horizon="5d"):
@@ -169,13 +172,14 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str, *, weigh
     asm = VectorAssembler(inputCols=list(features), outputCol="_raw")
     sc = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True)
     ix = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep")
-    step1 = asm.transform(filled)
+    step1 = asm.transform(filled).select("_raw", label, *([weight] if weight else [])).persist()
     scm = sc.fit(step1)
     ixm = ix.fit(step1)
     lr = LogisticRegression(featuresCol="_scaled", labelCol="_y", predictionCol="pred", probabilityCol="_prob",
                             maxIter=max_iter, regParam=1e-3)
     lr = lr.setWeightCol(weight) if weight else lr
     model = lr.fit(ixm.transform(scm.transform(step1)))
+    step1.unpersist()
     return PipelineModel([asm, scm, model]), list(ixm.labels)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.exprs import ratio
 from pulsegrid.functions.signals import decay_colour
 from pulsegrid.operators.ordering import row_index, running
+from pulsegrid.session import settle
 
 
 def sequence_key(day: str, unique_id: str) -> Column:
@@ -28,7 +29,7 @@ def cusum(trades: DataFrame, order: Sequence[Column], by: Column, pred: str, act
         "_s", F.when(F.col(pred) * F.col(actual) > 0, 1.0).otherwise(-1.0))
     st = src.agg(F.avg("_s").alias("_mu"), F.greatest(F.stddev_pop("_s"), F.lit(0.1)).alias("_sd"))
     z = src.crossJoin(F.broadcast(st)).withColumn("_inc", k - (F.col("_s") - F.col("_mu")) / F.col("_sd"))  # one row
-    p = running(z, order, by, sums={"_p": "_inc"}, n_buckets=n_buckets)
+    p = settle(running(z, order, by, sums={"_p": "_inc"}, n_buckets=n_buckets))
     m = running(p, order, by, minima={"_min": "_p"}, n_buckets=n_buckets)
     s = F.col("_p") - F.least(F.col("_min"), F.lit(0.0))
     return m.withColumn("cusum", s).withColumn("breach", F.col("cusum") > h).drop("_s", "_mu", "_sd", "_inc", "_p", "_min")

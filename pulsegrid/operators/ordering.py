@@ -131,20 +131,20 @@ def exact_quantiles(
     wanted = total.withColumn("_q", F.explode(spec)).withColumn(
         "_h", F.col("_q.p") * (F.col("_n") - 1)
     )
-    # the two order statistics around each position: ranks h and h + 1 (0-based, floored)
-    lo = F.floor("_h") + 1
-    hi = F.least(lo + 1, F.col("_n"))
     last = F.col("rank_first") + F.col("n_ties") - 1
+
+    def covers(w: Column) -> Column:
+        """Does this value hold one of the two order statistics around the position?"""
+        lo = F.floor(w["_h"]) + 1
+        return (F.col("rank_first") <= F.least(lo + 1, w["_n"])) & (last >= lo)
+
     hit = attach(
         ranks,
         _per_group(wanted, group, F.collect_list(F.struct("_q", "_h", "_n")).alias("_want")),
         group,
     )
-    pts = (
-        hit.withColumn("_w", F.explode("_want"))
-        .select(*group, value, "rank_first", "n_ties", "_w._q", "_w._h", "_w._n")
-        .where((F.col("rank_first") <= hi) & (last >= lo))
-    )
+    # only the few rows next to a wanted position are ever copied
+    pts = hit.withColumn("_w", F.explode(F.filter("_want", covers))).select(*group, value, "_w._q", "_w._h")
     picked = pts.groupBy(*group, F.col("_q.name").alias("_name"), "_h").agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi")
     )

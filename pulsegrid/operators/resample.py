@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.exprs import ratio
 from pulsegrid.operators.ic import spearman
 from pulsegrid.operators.ordering import BUCKET, average_rank
-from pulsegrid.session import shuffle_width
+from pulsegrid.session import settle, shuffle_width
 
 PRIME = 2147483647
 
@@ -57,10 +57,11 @@ def permutation_test(df: DataFrame, row_id: str, pred: str, actual: str, n_permu
     Ranks are computed once; a permutation only re-pairs them. ``row_id`` must number
     the rows 1..n (``row_index``).
     """
-    rows = df.where(F.col(pred).isNotNull() & F.col(actual).isNotNull())
+    rows = settle(df.select(row_id, pred, actual).where(F.col(pred).isNotNull() & F.col(actual).isNotNull()))
     rp = average_rank(rows, pred, n_buckets=n_buckets).select(pred, F.col("rank_avg").alias("_rp"))
     ra = average_rank(rows, actual, n_buckets=n_buckets).select(actual, F.col("rank_avg").alias("_ra"))
     ranked = rows.select(row_id, pred, actual).join(rp, pred).join(ra, actual).select(row_id, "_rp", "_ra")
+    ranked = settle(ranked)  # read once per side and once for the observed value
     width = n_buckets or shuffle_width(df.sparkSession)
     left = replicates(ranked.select(F.col(row_id).alias("_pos"), "_rp"), n_permutations)
     right = shuffled_position(replicates(ranked.select(row_id, "_ra"), n_permutations), row_id, "b", "_pos", width)
@@ -85,7 +86,7 @@ def bootstrap_draws(df: DataFrame, row_id: str, n_boot: int) -> DataFrame:
 def bootstrap_ic(df: DataFrame, row_id: str, pred: str, actual: str, n_boot=50, min_n=5,
                  n_buckets: int | None = None) -> DataFrame:
     """M4: IC of each resample. Draws are counted, so a row is carried once per replicate."""
-    rows = df.where(F.col(pred).isNotNull() & F.col(actual).isNotNull()).select(row_id, pred, actual)
+    rows = settle(df.where(F.col(pred).isNotNull() & F.col(actual).isNotNull()).select(row_id, pred, actual))
     draws = bootstrap_draws(rows, row_id, n_boot)
     return spearman(draws.join(rows, row_id), pred, actual, ["b"], min_n=min_n, on_small=0.0, weight="_times",
                     n_buckets=n_buckets)
@@ -100,6 +101,7 @@ def bootstrap_summary(ics: DataFrame, limit=0.03) -> DataFrame:
 
 def block_bootstrap(df: DataFrame, row_id: str, value: str, block=5, n_boot=1000) -> DataFrame:
     """M5: Sharpe per replicate of a moving-block resample of numbered rows 1..n."""
+    df = settle(df.select(row_id, value))
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     width = F.greatest(F.lit(1), F.col("_n") - block + 1)
     # one slot per block: rows numbered 1, 1 + block, 1 + 2 block, ...

@@ -37,6 +37,16 @@ def daily_comment_rollup(comments: DataFrame, key="ticker", time="date", score="
     )
 
 
+def linked_comment_rollup(comments: DataFrame, posts: DataFrame, key="ticker", time="date", score="score") -> DataFrame:
+    """A2 over J6: comments are summed per post and day first, so a post that holds a large
+    share of all comments enters the join as one row per day."""
+    from pulsegrid.operators.joins import comments_to_keys
+
+    per_post = daily_comment_rollup(comments, "link_id", time, score)
+    linked = comments_to_keys(per_post, posts, key=key)
+    return linked.groupBy(key, time).agg(*[F.sum(c).alias(c) for c in ("comment_count_d", "comment_sum_d", "comment_cnt_d")])
+
+
 def news_daily(articles: DataFrame, key="ticker", epoch="datetime", score="score", source="source") -> DataFrame:
     """A3: article count, mean / max / min score and distinct non-blank sources per UTC day."""
     day = F.to_date(F.timestamp_seconds(epoch)).alias("date")

@@ -53,8 +53,8 @@ def calendar_panel(posts: DataFrame, comments: DataFrame, news: DataFrame, bars:
     dense = windows.densify(daily, ["count_d", "comments_d", "score_sum_d", "score_cnt_d", "abs_sum_d"], start=_before(start), end=end)
     social = windows.lagged_post_features(dense).withColumnRenamed("avg_sentiment_1d", "vader_sentiment_1d").drop("avg_sentiment_3d")
 
-    linked = joins.comments_to_keys(comments, posts.select(F.col("post_id").alias("id"), "ticker"))
-    dense_c = windows.densify(rollups.daily_comment_rollup(linked), ["comment_count_d", "comment_sum_d", "comment_cnt_d"], start=_before(start), end=end)
+    per_day = rollups.linked_comment_rollup(comments, posts.select(F.col("post_id").alias("id"), "ticker"))
+    dense_c = windows.densify(per_day, ["comment_count_d", "comment_sum_d", "comment_cnt_d"], start=_before(start), end=end)
     talk = windows.lagged_comment_features(dense_c)
 
     zero = lambda *cs: {c: 0.0 for c in cs}

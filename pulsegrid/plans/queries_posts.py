@@ -106,7 +106,8 @@ def _(t):
 @query("a02_daily_comment_rollup", f"""WITH {LINK} SELECT p.ticker, c.date, count(*) AS comment_count_d, {r('coalesce(sum(CASE WHEN c.score <> 0 THEN c.score END),0)', 'comment_sum_d')},
  count(CASE WHEN c.score <> 0 THEN 1 END) AS comment_cnt_d FROM comments c JOIN post_keys p ON replace(c.link_id,'t3_','') = p.post_id GROUP BY 1,2""")
 def _(t):
-    return rollups.daily_comment_rollup(_linked(t))
+    posts = t.base("events").select((F.col("event_id") % 200).alias("id"), F.col("event_type").alias("ticker"))
+    return rollups.linked_comment_rollup(t.comments(), posts)
 
 
 @query("a02_lagged_comment_features", f"""WITH {LINK},

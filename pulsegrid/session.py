@@ -86,6 +86,20 @@ def small_input(df: DataFrame) -> bool:
     return all(total <= limit for total in accumulate(sizes))
 
 
+def settle(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut the lineage of an intermediate that a plan reads several times.
+
+    It is written once to the shared folder and read back, so later steps neither repeat
+    its work nor depend on lost executors, and they see its true size. Small inputs are
+    left as they are.
+    """
+    if small_input(df):
+        return df
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession, at_most: int = 2000) -> int:
     """Bucket count for range-bucketed operators: follows the shuffle width."""
     return max(4, min(int(spark.conf.get("spark.sql.shuffle.partitions")), at_most))

@@ -13,9 +13,13 @@ from pulsegrid.session import scratch_path
 
 
 def write_panel(df: DataFrame, path: str, time="date", partition="year") -> None:
-    """Overwrite the panel, partitioned by year so later date filters prune files."""
+    """Overwrite the panel, partitioned by year so later date filters prune files.
+
+    The rebalance hint lets Spark split large years and merge small ones into files of
+    its advisory size.
+    """
     out = df if partition in df.columns else df.withColumn(partition, F.year(time))
-    out.repartition(F.col(partition), F.pmod(F.hash(time), F.lit(16))).write.partitionBy(partition).mode("overwrite").parquet(path)
+    out.hint("rebalance", F.col(partition)).write.partitionBy(partition).mode("overwrite").parquet(path)
 
 
 def upsert_panel(new: DataFrame, path: str, keys: Sequence[str] = ("ticker", "date"), time="date", partition="year") -> None:
@@ -34,7 +38,7 @@ def upsert_panel(new: DataFrame, path: str, keys: Sequence[str] = ("ticker", "da
     merged = keep_last([stored.join(F.broadcast(touched), partition, "left_semi"), new.select(*stored.columns)], keys)
     stage = scratch_path(spark, "upsert")
     merged.write.parquet(stage)
-    (spark.read.parquet(stage).repartition(partition).write.partitionBy(partition).mode("overwrite")
+    (spark.read.parquet(stage).hint("rebalance", F.col(partition)).write.partitionBy(partition).mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").parquet(path))
 
 

@@ -93,6 +93,18 @@ def _greedy(days: list[int], last: int | None, wait: int) -> tuple[list[int], in
     return kept, last
 
 
+def _distinct_days(events: DataFrame, key: str) -> DataFrame:
+    """Repeats of (key, day) dropped inside every Arrow batch, before rows are sent to their key:
+    a key with a large share of the events sends few rows."""
+
+    def thin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pdf.drop_duplicates()
+
+    d = events.select(key, "date")
+    return d.mapInPandas(thin, d.schema)
+
+
 def cooldown_stream(events: DataFrame, wait=7, key="ticker") -> DataFrame:
     """T5: an event passes if the last *passed* event of its key is ``wait`` days old."""
 
@@ -105,7 +117,7 @@ def cooldown_stream(events: DataFrame, wait=7, key="ticker") -> DataFrame:
         if kept:
             yield pd.DataFrame({"ticker": [k[0]] * len(kept), "date": [(EPOCH + pd.Timedelta(days=d)).date() for d in kept]})
 
-    return events.groupBy(key).applyInPandasWithState(step, COOL_OUT, "last bigint", "append", GroupStateTimeout.NoTimeout)
+    return _distinct_days(events, key).groupBy(key).applyInPandasWithState(step, COOL_OUT, "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def cooldown_batch(events: DataFrame, wait=7, key="ticker", time="date") -> DataFrame:

@@ -1,0 +1,21 @@
+"""The plans large inputs get (size shortcut off) give the same results."""
+
+import pytest
+
+from pulsegrid.plans import registered
+
+SF = "/root/testdata/sf0.001"
+NAMES = ["a11_quartile_returns", "a23_describe_by_key", "p16_fill_train_median", "m02_feature_ic_table", "m03_permutation_test", "m04_bootstrap_ic",
+         "m05_block_bootstrap_sharpe", "w20_cusum_series", "w21_equity_drawdown", "w22_rolling_win_rate", "m11_granger_lag1", "o07_stratified_sample"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_large_input_plan_agrees(spark, name):
+    small = registered.QUERIES[name](spark, SF)
+    want = sorted(map(str, small.collect()))
+    spark.conf.set("pulsegrid.smallInputBytes", "0")
+    try:
+        got = sorted(map(str, registered.QUERIES[name](spark, SF).collect()))
+    finally:
+        spark.conf.unset("pulsegrid.smallInputBytes")
+    assert got == want
