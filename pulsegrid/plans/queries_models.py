@@ -80,7 +80,29 @@ def _preopen(t, **kw):
                               market_required=["close", "volume", "returns_1d"], **kw)
 
 
-@query("e1_preopen_panel")
+def _e1_sql() -> str:
+    """The pre-open panel: attention windows, recursive indicators, filters and split."""
+    from pulsegrid.plans.queries_posts import W1_SQL
+
+    w = f"OVER {L}"
+    def full(n, expr):
+        return f"CASE WHEN count(*) OVER {_f(n)} >= {n} THEN {expr.format(f=_f(n))} END"
+    soc = W1_SQL.format(src="(SELECT * FROM posts_small WHERE ticker <> 'U3')").replace("FROM posts)", "FROM event_bars)", 1)
+    step = "UNION ALL SELECT s.ticker, s.i, {0} FROM {1} f JOIN {2} s ON s.ticker=f.ticker AND s.i=f.i+1"
+    return f"""WITH RECURSIVE s1 AS (SELECT ticker, date, close, volume, high, low, row_number() {w} AS i, close-lag(close) {w} AS d, greatest(high-low, coalesce(abs(high-lag(close) {w}),0), coalesce(abs(low-lag(close) {w}),0)) AS tr FROM event_bars),
+s2 AS (SELECT ticker, i-1 AS i, greatest(d,0) AS up, greatest(-d,0) AS dn FROM s1 WHERE d IS NOT NULL),
+ra AS (SELECT ticker, i, tr AS atr FROM s1 WHERE i=1 {step.format('f.atr+(s.tr-f.atr)/14', 'ra', 's1')}),
+rr AS (SELECT ticker, i, up AS g, dn AS l FROM s2 WHERE i=1 {step.format('f.g+(s.up-f.g)/14, f.l+(s.dn-f.l)/14', 'rr', 's2')}),
+mk AS (SELECT s1.ticker, date, close, volume, close/lag(close,1) {w}-1 AS returns_1d, close/lag(close,5) {w}-1 AS returns_5d, close/lag(close,20) {w}-1 AS returns_20d, {full(20, 'volume/avg(volume) OVER {f}')} AS relative_volume,
+ {full(20, 'close/avg(close) OVER {f}-1')} AS dist_from_20ma, {full(50, 'close/avg(close) OVER {f}-1')} AS dist_from_50ma, lead(close,5) {w}/close-1 AS target_return_5d, lead(close,3) {w}/close-1 AS target_return_3d, lead(close,1) {w}/close-1 AS target_return_1d, lead(close,10) {w}/close-1 AS target_return_10d, i FROM s1),
+soc AS ({soc})
+SELECT soc.*, {', '.join(r('m.' + c, c, 9) for c in ('close', 'volume', 'returns_1d', 'returns_5d', 'returns_20d'))}, {r('CASE WHEN m.i >= 15 THEN 100*rr.g/nullif(rr.g+rr.l,0) END', 'rsi_14', 9)}, {r('ra.atr/m.close', 'atr_14', 9)},
+ {', '.join(r('m.' + c, c, 9) for c in ('relative_volume', 'dist_from_20ma', 'dist_from_50ma', 'target_return_5d', 'target_return_3d', 'target_return_1d', 'target_return_10d'))}, CASE WHEN soc.date < DATE '2024-01-20' THEN 'train' ELSE 'test' END AS split
+FROM soc JOIN mk m ON m.ticker=soc.ticker AND m.date=soc.date JOIN ra ON ra.ticker=m.ticker AND ra.i=m.i LEFT JOIN rr ON rr.ticker=m.ticker AND rr.i=m.i-1
+WHERE m.target_return_5d IS NOT NULL AND abs(m.target_return_5d) <= 0.5 AND m.returns_1d IS NOT NULL"""
+
+
+@query("e1_preopen_panel", _e1_sql(), digits=9)
 def _(t):
     return _preopen(t)[0]
 

@@ -441,3 +441,19 @@ def _(t):
     nxt = windows.shift_trading_days(q, days, 3, out="next_3")
     prv = windows.shift_trading_days(q, days, -2, out="prev_2").drop("is_trading_day")
     return nxt.join(prv, "date").select("date", "is_trading_day", "next_3", "prev_2")
+
+
+# extension points ------------------------------------------------------------------------------------------
+@query("x05_group_function", f"SELECT ticker, date, {r('count - avg(count) OVER (PARTITION BY ticker)', 'centred')} FROM daily_small")
+def _(t):
+    from pulsegrid.operators.extend import per_key
+
+    def centre(pdf):
+        return pdf[["ticker", "date"]].assign(centred=(pdf["count"] - pdf["count"].mean()).astype(float))
+    return per_key(t.daily_small(), ["ticker"], centre, "ticker string, date date, centred double")
+
+
+@query("x06_row_generator", """SELECT id, CAST(unnest(range(len(string_split(title, ' ')))) AS INT) AS pos, unnest(string_split(title, ' ')) AS word FROM texts""")
+def _(t):
+    from pulsegrid.operators.extend import generate_rows
+    return generate_rows(t.texts(), "title", lambda v: enumerate(v.split(" ")), "pos int, word string", keep=["id"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import equity, folds, granger, ic, joins, quality, resample, rollups
 from pulsegrid.operators.ordering import exact_quantiles, row_index, running
 from pulsegrid.plans import studies
-from pulsegrid.plans.catalog import query, r, rs
+from pulsegrid.plans.catalog import ORACLES, query, r, rs
 
 FEATS = ["post_count_1d", "sentiment_1d", "returns_1d", "returns_20d", "relative_volume"]
 Y = "target_return_5d"
@@ -52,7 +52,24 @@ def _(t):
     return ic.spearman(t.panel(), "returns_1d", Y, ["date"], min_n=5, on_small=0.0)
 
 
-@query("m01_spearman_p_value")
+def simpson(density: str, upper: str, n: int = 2000) -> str:
+    """SQL for the integral of ``density`` (in x) from 0 to ``upper``."""
+    return (f"(SELECT sum(CASE WHEN k=0 OR k={n} THEN 1 WHEN k%2=1 THEN 4 ELSE 2 END * ({density.replace('{x}', f'(k*({upper})/{n})')}))*({upper})/{3 * n} "
+            f"FROM (SELECT unnest(generate_series(0,{n})) AS k))")
+
+
+def t_two_sided_sql(t: str, v: str) -> str:
+    pdf = f"exp(lgamma((({v})+1)/2.0)-lgamma(({v})/2.0))/sqrt(({v})*pi())*pow(1+{{x}}*{{x}}/({v}), -(({v})+1)/2.0)"
+    return f"greatest(0, 1-2*{simpson(pdf, f'abs({t})')})"
+
+
+def normal_cdf_sql(z: str) -> str:
+    part = simpson("exp(-{x}*{x}/2)/sqrt(2*pi())", f"least(abs({z}),9)")
+    return f"(0.5 + sign({z})*{part})"
+
+
+@query("m01_spearman_p_value", f"""WITH c AS (SELECT ticker, count(*) AS n, corr(rx,ry) AS ic FROM ({ranked('panel', 'returns_1d', Y, 'ticker')}) GROUP BY 1), d AS (SELECT *, ic*sqrt((n-2)/(1-ic*ic)) AS t, n-2.0E0 AS v FROM c)
+SELECT ticker, n, {r('ic', 'ic')}, {r(t_two_sided_sql('d.t', 'd.v'), 'p_value')} FROM d""")
 def _(t):
     return ic.spearman(t.panel(), "returns_1d", Y, ["ticker"], with_p=True)
 
@@ -128,7 +145,8 @@ def _(t):
     return equity.cusum_summary(equity.cusum(last, order, by, "pred", "actual"), F.struct("exit_date", "id"))
 
 
-@query("f15_decay_status")
+@query("f15_decay_status", f"""SELECT i.*, c.*, CASE WHEN rolling_ic IS NULL THEN 'GREY' WHEN rolling_ic < 0 OR cusum_breach THEN 'RED' WHEN rolling_ic < 0.02 THEN 'AMBER' ELSE 'GREEN' END AS color,
+ CASE WHEN rolling_ic IS NULL THEN 'INSUFFICIENT_DATA' WHEN rolling_ic < 0 OR cusum_breach THEN 'SIGNAL_DEAD' WHEN rolling_ic < 0.02 THEN 'SIGNAL_WEAK' ELSE 'SIGNAL_ALIVE' END AS status FROM ({ORACLES['w19_last_60_trades_ic']}) i, ({ORACLES['w20_cusum_last_60']}) c""")
 def _(t):
     order, by = _order()
     last = t.trades().orderBy(F.col("exit_date").desc(), F.col("id").desc()).limit(60)
@@ -304,7 +322,11 @@ def _(t):
     return resample.win_interval(t.trades())
 
 
-@query("m08_significance")
+UPPER = "(SELECT sum(exp(lgamma(n+1)-lgamma(i+1)-lgamma(n-i+1)-n*ln(2))) FROM (SELECT unnest(generate_series(CAST({k} AS BIGINT), n)) AS i))"
+
+
+@query("m08_significance", f"""WITH g AS (SELECT count(*) AS n, count(*) FILTER (pnl_pct > 0) AS k FROM trades), p AS (SELECT *, k/n AS p, least(1, 2*{UPPER.format(k='greatest(k,n-k)')}) AS two, {UPPER.format(k='k')} AS up FROM g)
+SELECT w.*, {r('two', 'p_two_sided')}, {r('up', 'p_greater')}, two < 0.05 AS significant, CASE WHEN two >= 0.05 AND p > 0.5 THEN CAST(ceil(pow(1.96/(2*(p-0.5)),2)*p*(1-p)) AS BIGINT) END AS n_needed FROM ({ORACLES['m08_win_interval']}) w, p""")
 def _(t):
     return resample.significance(t.trades())
 
@@ -315,12 +337,19 @@ def _(t):
     return resample.return_moments(t.trades(), "pnl_pct")
 
 
-@query("m09_sharpe_significance")
+RAW = """SELECT count(*) AS n, avg(pnl_pct) AS mean, stddev_pop(pnl_pct) AS sp, stddev_samp(pnl_pct) AS ss, avg(pow(pnl_pct-m,3))/pow(avg(pow(pnl_pct-m,2)),1.5) AS sk, avg(pow(pnl_pct-m,4))/pow(avg(pow(pnl_pct-m,2)),2)-3 AS ku FROM trades, (SELECT avg(pnl_pct) AS m FROM trades)"""
+# fixed values: standard normal quantiles of 1 - 1/50, 1 - 1/(50 e), 0.95 and 1 - 1/23
+Z50, Z50E, Z95, Z23 = 2.053748910631822, 2.4393139538578943, 1.6448536269514715, 1.7116753065097288
+
+
+@query("m09_sharpe_significance", f"""WITH q AS ({RAW}), a AS (SELECT n, mean/(sp+1e-10) AS sr, sk*sqrt(n*(n-1.0E0))/(n-2) AS g1, (n-1.0E0)/((n-2.0E0)*(n-3.0E0))*((n+1)*ku+6)+3 AS g2 FROM q),
+b AS (SELECT *, 1-g1*sr+(g2-1)/4*sr*sr AS sp, 0.5*((1-0.5772156649)*{Z50}+0.5772156649*{Z50E}) AS sr0 FROM a), c AS (SELECT *, sqrt(greatest(sp/(n-1),1e-12)) AS se FROM b), d AS (SELECT *, sr/se AS z1, (sr-sr0)/se AS z2 FROM c)
+SELECT n, {r('sr', 'sharpe')}, {r(normal_cdf_sql('d.z1'), 'psr')}, {r(normal_cdf_sql('d.z2'), 'dsr')}, {r('sr0', 'sr0')}, CAST(ceil({Z95}*{Z95}*sp/(sr*sr)+1) AS BIGINT) AS min_track_record FROM d""")
 def _(t):
     return resample.sharpe_significance(t.trades(), "pnl_pct")
 
 
-@query("m09_deflated_confidence")
+@query("m09_deflated_confidence", f"""WITH q AS ({RAW}), a AS (SELECT *, mean/ss AS sr FROM q), b AS (SELECT *, (sr-{Z23})/sqrt(abs((1-sk*sr+(ku+2)/4*sr*sr)/(n-1))) AS z FROM a) SELECT n, {r('sr', 'sharpe')}, {r('z', 'z')}, {r(normal_cdf_sql('b.z'), 'confidence')} FROM b""")
 def _(t):
     return resample.deflated_confidence(t.trades(), "pnl_pct", 23)
 
@@ -392,7 +421,18 @@ def _(t):
     return quality.check_purge_gap(folds.expanding_folds(t.bench()))
 
 
-@query("m12_integrity_suite")
+ALLF = "(" + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, {Y} AS y FROM panel" for c in FEATS) + ")"
+SUITE = f"""SELECT '1_future_targets' AS "check", CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS n_violations FROM panel WHERE date >= DATE '2001-11-23' AND {Y} <> 0
+UNION ALL SELECT '2_return_recomputation', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END, count(*) FROM (SELECT *, lag(close,1) OVER w AS p1, lag(close,20) OVER w AS p20, row_number() OVER w AS i FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY date)) WHERE i > 20 AND (abs(returns_1d-(close-p1)/p1) > 0.005 OR abs(returns_20d-(close-p20)/p20) > 0.005)
+UNION ALL SELECT * FROM ({ORACLES['m12_check3_purge_gap']})
+UNION ALL SELECT '4_target_correlation', CASE WHEN count(*) FILTER (a > 0.85) > 0 THEN 'FAIL' WHEN count(*) FILTER (a > 0.5) > 0 THEN 'WARN' ELSE 'PASS' END, count(*) FILTER (a > 0.5) FROM (SELECT feature, abs(corr(rx,ry)) AS a FROM ({ranked(ALLF, 'x', 'y', 'feature')}) GROUP BY 1)
+UNION ALL SELECT '5_normalisation', CASE WHEN count(*) > 0 THEN 'WARN' ELSE 'PASS' END, count(*) FROM (SELECT min(v) AS lo, max(v) AS hi, avg(v) AS m, stddev_samp(v) AS sd FROM (SELECT 'v' AS f, volume AS v FROM panel UNION ALL SELECT 'r', returns_1d FROM panel) WHERE v IS NOT NULL GROUP BY f)
+ WHERE (lo >= -0.01 AND hi <= 1.01 AND m > 0.1 AND m < 0.9) OR (abs(m) < 0.05 AND sd > 0.9 AND sd < 1.1 AND abs(lo) < 5 AND abs(hi) < 5)
+UNION ALL SELECT '6_duplicates', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END, CAST(coalesce(sum(n),0) AS BIGINT) FROM (SELECT count(*) AS n FROM panel GROUP BY ticker, date HAVING count(*) > 1)
+UNION ALL SELECT '7_timestamps', CASE WHEN w > 0 THEN 'WARN' ELSE 'PASS' END, w FROM (SELECT count(*) AS w FROM (SELECT p.*, row_number() OVER (PARTITION BY p.ticker ORDER BY p.date) AS i FROM panel p JOIN (SELECT ticker, min(date) AS f FROM panel GROUP BY 1) k ON k.ticker=p.ticker WHERE k.f >= (SELECT min(date) FROM panel) + 60) WHERE i <= 3 AND abs(sentiment_accel) > 0.001)"""
+
+
+@query("m12_integrity_suite", SUITE)
 def _(t):
     return quality.integrity_suite(t.panel(), folds.expanding_folds(t.bench()), FEATS, ["returns_1d", "volume"], today="2001-11-30",
                                    train_end="1998-12-31", test_start="1999-01-01")
@@ -423,7 +463,8 @@ def _(t):
     return granger.granger_lag1(t.panel(), G, Y, "year", ["date", "ticker"], _seq(), with_p=False, n_buckets=16)
 
 
-@query("m11_granger_significant_years")
+@query("m11_granger_significant_years", f"""WITH t AS ({GSQL}), p AS (SELECT *, sqrt(f_stat) AS t, CAST(dof AS DOUBLE) AS v FROM t), q AS (SELECT feature, year, {t_two_sided_sql('p.t', 'p.v')} < 0.05 AS sig FROM p)
+SELECT CASE feature WHEN 'sentiment_1d' THEN 'sentiment' ELSE 'attention' END AS family, count(DISTINCT year) AS n_groups, count(DISTINCT CASE WHEN sig THEN year END) AS n_significant FROM q GROUP BY 1""")
 def _(t):
     tests = granger.granger_lag1(t.panel(), G, Y, "year", ["date", "ticker"], _seq())
     return granger.significant_groups(tests, {"sentiment": ["sentiment_1d"], "attention": ["post_count_1d"]}, "year")
@@ -447,7 +488,13 @@ def _(t):
     return studies.source_study(t.panel(), FAM, Y)
 
 
-@query("m27_adoption_verdict")
+VERDICT = f"""WITH w AS ({MONTHLY}), e AS (SELECT 0.05*0.5*greatest(0,least(1,1-stddev_pop(ic)/avg(abs(ic)))) - 0.12/252*5 AS eff FROM w),
+g AS (SELECT (SELECT verdict IN ('ADOPT','MARGINAL') FROM ({ORACLES['m07_regime_gate']})) AS r1, (SELECT p_value < 0.10 FROM ({ORACLES['m03_permutation_test']})) AS r2a, (SELECT p_value < 0.05 FROM ({ORACLES['m03_permutation_test']})) AS r2b,
+ (SELECT eff > 0 FROM e) AS r3, (SELECT ic_combined >= ic_market - 0.005 FROM ({ORACLES['m16_model_gate']})) AS r4)
+SELECT *, CASE WHEN r1 AND r2a AND r3 AND r4 AND r2b THEN 'ADOPT' WHEN r1 AND r2a AND r3 AND r4 THEN 'ADOPT_MARGINAL' ELSE 'REJECT' END AS verdict FROM g"""
+
+
+@query("m27_adoption_verdict", VERDICT)
 def _(t):
     m = lambda c: ic.grouped_ic(t.panel(), c, Y, F.date_format("date", "yyyy-MM"))
     perm = resample.permutation_test(_numbered(t), "row_index", "pred", "actual", B)
