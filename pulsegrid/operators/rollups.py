@@ -395,7 +395,7 @@ def action_summary(runs: DataFrame, time="date", actions="actions") -> DataFrame
     """Opens, closes and skip reason per day from an array of action strings."""
     a = F.col(actions)
     def n(prefix: str) -> Column:
-        return F.size(F.filter(a, lambda x: x.startswith(prefix)))
+        return F.size(F.filter(a, lambda x: x.startswith(prefix))).cast("bigint")
     return runs.select(
         time, n("OPEN").alias("opens"), n("CLOSE").alias("closes"),
         F.get(F.filter(a, lambda x: x.startswith("SKIP")), F.lit(0)).alias("skip_reason"),

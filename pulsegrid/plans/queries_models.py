@@ -67,7 +67,7 @@ FROM grid g LEFT JOIN mk3 m ON m.ticker=g.ticker AND m.date=g.date LEFT JOIN pf
 @query("e2_calendar_panel", f"""SELECT ticker, date, year, split, {r('1.5', 'sample_weight')}, {r('pc', 'post_count_1d')}, {r('abn', 'abnormal_attention_1d')}, {r('tc', 'total_comments_1d')}, {r('v1', 'vader_sentiment_1d')}, {r('ext', 'sentiment_extremity')}, {r('acc', 'sentiment_accel')},
  {r('cs', 'comment_sentiment_1d')}, {r('volume', 'volume')}, {r('relative_volume', 'relative_volume')}, {r('returns_1d', 'returns_1d')}, {r('returns_20d', 'returns_20d')}, {r('coalesce(100-100/(1+g/nullif(l,0)),50)', 'rsi_14')}, {r('dist', 'dist_from_20ma_pct')}, {r('pead', 'pead_proxy')},
  {r('ns', 'news_sentiment_1d')}, {r('nc', 'news_count_1d')}, {r('vp', 'vix_percentile')}, {r('sa', 'spy_above_200ma')}, {r('0.6*sa+0.4*(1-vp)', 'regime_score')}, {r('vp*relative_volume', 'vix_x_volume')}, {r('t1', 'target_return_1d')}, {r('t3', 'target_return_3d')}, {r('t5', 'target_return_5d')}, {r('close', 'close')}
-FROM (SELECT *, year(date) AS year, 'test' AS split, least(10.0, pc/(coalesce(CASE WHEN count(pc) OVER {_f(20)} >= 5 THEN avg(pc) OVER {_f(20)} END,1.0)+1.0)) AS abn FROM jn) WHERE close IS NOT NULL AND volume > 0""", views=PANEL2)
+FROM (SELECT *, CAST(year(date) AS INTEGER) AS year, 'test' AS split, least(10.0, pc/(coalesce(CASE WHEN count(pc) OVER {_f(20)} >= 5 THEN avg(pc) OVER {_f(20)} END,1.0)+1.0)) AS abn FROM jn) WHERE close IS NOT NULL AND volume > 0""", views=PANEL2)
 def _(t):
     """Whole calendar-day panel from posts, comments, news and bars."""
     d = _calendar_panel(t)

@@ -236,7 +236,7 @@ def _(t):
     return rollups.coverage(d, "posts")
 
 
-@query("a09_coverage_by_year", f"SELECT year(date) AS year, count(*) AS n_rows, count(DISTINCT ticker) AS n_keys, {r('avg(sentiment_1d)', 'mean_value')} FROM panel GROUP BY 1")
+@query("a09_coverage_by_year", f"SELECT CAST(year(date) AS INT) AS year, count(*) AS n_rows, count(DISTINCT ticker) AS n_keys, {r('avg(sentiment_1d)', 'mean_value')} FROM panel GROUP BY 1")
 def _(t):
     return rollups.coverage_by_year(t.panel(), "sentiment_1d")
 

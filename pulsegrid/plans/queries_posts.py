@@ -346,7 +346,7 @@ def _(t):
 
 
 @query("p10_normalise_posts", """SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 10 = 0 THEN 'deleted' ELSE source END AS author, trim(title) AS title, CASE WHEN id % 7 = 0 THEN '' ELSE trim(body) END AS selftext, id % 50 AS score,
- CAST(make_timestamp((1704067200 + id*3600)*1000000) AS DATE) AS date, year(make_timestamp((1704067200 + id*3600)*1000000)) AS year FROM texts""")
+ CAST(make_timestamp((1704067200 + id*3600)*1000000) AS DATE) AS date, CAST(year(make_timestamp((1704067200 + id*3600)*1000000)) AS INT) AS year FROM texts""")
 def _(t):
     raw = t.texts().select(
         "id", F.col("source").alias("subreddit"),
@@ -419,7 +419,7 @@ def _(t):
     return dates.date_windows(t.base("orders").agg(F.min(d).alias("start"), F.max(d).alias("end")), 7)
 
 
-@query("f08_epoch_and_hour", "SELECT event_id, CAST(ts AS DATE) AS date, hour(ts) AS hour FROM events")
+@query("f08_epoch_and_hour", "SELECT event_id, CAST(ts AS DATE) AS date, CAST(hour(ts) AS INT) AS hour FROM events")
 def _(t):
     e = F.unix_timestamp(F.col("ts").cast("timestamp"))
     return t.base("events").select("event_id", F.to_date(dates.unix_to_utc(e)).alias("date"), dates.hour_of_day(e).alias("hour"))

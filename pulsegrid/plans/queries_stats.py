@@ -292,7 +292,7 @@ BOOT = f"""WITH d AS (SELECT b, {mix_sql('row_index', 'b')} % (SELECT count(*) F
 k AS ({ranked('j', 'pred', 'actual', 'b')}), c AS (SELECT b, count(*) AS n, corr(rx,ry) AS ic FROM k GROUP BY 1)"""
 
 
-@query("m04_bootstrap_ic", f"{BOOT} SELECT b, CAST(n AS BIGINT) AS n, {r('ic', 'ic')} FROM c", views=NUM)
+@query("m04_bootstrap_ic", f"{BOOT} SELECT CAST(b AS INT) AS b, CAST(n AS BIGINT) AS n, {r('ic', 'ic')} FROM c", views=NUM)
 def _(t):
     return resample.bootstrap_ic(_numbered(t), "row_index", "pred", "actual", B)
 
@@ -306,7 +306,7 @@ BLOCK = f"""WITH n AS (SELECT count(*) AS n FROM numbered), s AS (SELECT b, row_
 p AS (SELECT b, st + k + 1 AS row_index FROM s, (SELECT unnest(generate_series(0,4)) AS k) WHERE slot + k <= n AND st + k < n), g AS (SELECT p.b, avg(pnl_pct) AS m, stddev_pop(pnl_pct) AS sd FROM p JOIN numbered x ON x.row_index=p.row_index GROUP BY 1)"""
 
 
-@query("m05_block_bootstrap_sharpe", f"{BLOCK} SELECT b, {r('m/sd*sqrt(252)', 'sharpe')} FROM g WHERE sd > 0", views=NUM)
+@query("m05_block_bootstrap_sharpe", f"{BLOCK} SELECT CAST(b AS INT) AS b, {r('m/sd*sqrt(252)', 'sharpe')} FROM g WHERE sd > 0", views=NUM)
 def _(t):
     return resample.block_bootstrap(_numbered(t), "row_index", "pnl_pct", 5, B)
 

@@ -208,7 +208,7 @@ VIEWS = {
   close/lag(close,1) OVER w - 1 AS returns_1d, close/lag(close,20) OVER w - 1 AS returns_20d,
   coalesce(CASE WHEN count(volume) OVER w20 >= 5 THEN volume/avg(volume) OVER w20 END, 1.0) AS relative_volume,
   lead(close,1) OVER w/close - 1 AS target_return_1d, lead(close,5) OVER w/close - 1 AS target_return_5d,
-  year(date) AS year, CASE WHEN year(date)<=1998 THEN 'train' WHEN year(date)<=2000 THEN 'test' ELSE 'live' END AS split,
+  CAST(year(date) AS INTEGER) AS year, CASE WHEN year(date)<=1998 THEN 'train' WHEN year(date)<=2000 THEN 'test' ELSE 'live' END AS split,
   discount-0.05 - coalesce(lag(discount-0.05,1) OVER w, 0.0) AS sentiment_accel
 FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date), w20 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
     "posts": _posts_sql("event_type"),
