@@ -400,22 +400,25 @@ def _(t):
     return rollups.closed_trade_totals(rollups.closed_trade_report(d))
 
 
-ACT = "SELECT entry_date AS date, count(*) FILTER (id % 3 = 0) AS opens, count(*) FILTER (id % 3 = 1) AS closes, CASE WHEN count(*) FILTER (id % 3 = 2) > 0 THEN 'SKIP low' END AS skip_reason FROM trades GROUP BY 1"
+ACT = "SELECT id, CAST(CASE WHEN id % 3 = 0 THEN 2 ELSE 0 END AS BIGINT) AS opens, CAST(CASE WHEN id % 3 = 1 THEN 1 ELSE 0 END AS BIGINT) AS closes, CASE WHEN id % 3 = 2 THEN concat('SKIP ', ticker) END AS skip_reason FROM trades"
 
 
 def _actions(t):
-    a = F.when(F.col("id") % 3 == 0, F.concat(F.lit("OPEN "), "ticker")).when(F.col("id") % 3 == 1, F.concat(F.lit("CLOSE "), "ticker")).otherwise("SKIP low")
-    return t.trades().groupBy(F.col("entry_date").alias("date")).agg(F.collect_list(a).alias("actions"))
+    """Runs with their action arrays: opens, a close, or a skip with its reason."""
+    tag = lambda p: F.concat(F.lit(p), "ticker")
+    a = (F.when(F.col("id") % 3 == 0, F.array(tag("OPEN "), tag("OPEN "))).when(F.col("id") % 3 == 1, F.array(tag("CLOSE ")))
+         .otherwise(F.array(tag("SKIP "))))
+    return t.trades().select("id", a.alias("actions"))
 
 
 @query("a30_action_summary", ACT)
 def _(t):
-    return rollups.action_summary(_actions(t))
+    return rollups.action_summary(_actions(t), time="id")
 
 
 @query("a30_action_totals", f"SELECT skip_reason, count(*) AS n_days, CAST(sum(opens) AS BIGINT) AS opens, CAST(sum(closes) AS BIGINT) AS closes FROM ({ACT}) GROUP BY 1")
 def _(t):
-    return rollups.action_totals(rollups.action_summary(_actions(t)))
+    return rollups.action_totals(rollups.action_summary(_actions(t), time="id"))
 
 
 # quality ---------------------------------------------------------------------------------------------
