@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from itertools import accumulate
 
@@ -44,7 +43,7 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests) a local folder is made.
+    A session that names none may only be a local one, where driver and executors are one process.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -54,7 +53,9 @@ def shared_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="pulsegrid-")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    folder = f"/tmp/checkpoints/pulsegrid-{uuid.uuid4().hex}"  # one process: its folder is shared by definition
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
