@@ -29,17 +29,6 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function over one Arrow batch as one for ``mapInArrow``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
-
-    return run
-
-
 def texts_of(column: pa.Array) -> list[str]:
     """The strings of a column, null as empty."""
     return [t or "" for t in column.to_pylist()]
@@ -62,3 +51,10 @@ def fit_in_one_task(rows: DataFrame, fit: Callable[[pd.DataFrame], bytes]) -> by
     """Run ``fit`` over a bounded sample inside one task and bring back the model's bytes."""
     model = rows.groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: pd.DataFrame({"model": [fit(pdf)]}), "model binary").collect()
     return bytes(model[0]["model"]) if model else fit(pd.DataFrame({c: [] for c in rows.columns}))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a task holds few decoded texts at once."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import quality, topk, toxicity
+from pulsegrid.llm import licences, pieces, pii, quality, topk, toxicity
 from pulsegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,22 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document."""
     return toxicity.toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+@query("op3_personal_data")
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base counts and digest, and all spans."""
+    found = pii.personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and whether they decode to its text."""
+    return pieces.encode_and_check(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op10_licences", licences.check_sql())
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named by every document."""
+    return licences.licence_scan(table(spark, sf_dir, "documents", "doc_id", "text"))

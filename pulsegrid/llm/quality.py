@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import fit_in_one_task, labelled_sample, texts_of
+from pulsegrid.llm.common import fit_in_one_task, labelled_sample, slices, texts_of
 
 #: Labelled rows that the fit uses at most; scoring covers every row.
 FIT_ROWS = 8_000
@@ -147,7 +147,7 @@ def train(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     """Fit on at most ``fit_rows`` rows of ``labels``."""
 
     def bags(batches):
-        for b in batches:
+        for b in slices(batches):
             bag = pa.array([passage_matrix(t).tobytes() for t in texts_of(b["text"])], pa.binary())
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["label"], bag], ["doc_id", "label", "bag"])
 
@@ -182,10 +182,8 @@ def quality(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, a
 
     def run(batches):
         net = unpacked(model)
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(probabilities(net, texts_of(part["text"])), pa.float64())], ["doc_id", "score"])
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(probabilities(net, texts_of(part["text"])), pa.float64())], ["doc_id", "score"])
 
     scored = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))

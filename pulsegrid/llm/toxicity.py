@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import fit_in_one_task, labelled_sample, texts_of
+from pulsegrid.llm.common import fit_in_one_task, labelled_sample, slices, texts_of
 
 #: Labelled rows that the fit uses at most; scoring covers every row.
 FIT_ROWS = 12_000
@@ -142,7 +142,7 @@ def train(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     """Fit on at most ``fit_rows`` labelled documents."""
 
     def words_of(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["label"], pa.array([sorted(distinct_words(t)) for t in texts_of(b["text"])], pa.list_(pa.string()))], ["doc_id", "label", "words"])
 
     sample = labelled_sample(documents, labels, "toxic", fit_rows)
@@ -189,7 +189,7 @@ def score(documents: DataFrame, model: bytes, text: str = "text", severity: str
 
     def run(batches):
         scorer = Scorer(model)
-        for b in batches:
+        for b in slices(batches):
             values = pa.array(scorer.severity(texts_of(b[text])), pa.float64())
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), values], [*kept, severity])
 
