@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import licences, pieces, pii, quality, topk, toxicity
+from pulsegrid.llm import licences, pieces, pii, quality, topk, toxicity, warc
 from pulsegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,21 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences named by every document."""
     return licences.licence_scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query(
+    "op8_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS digest FROM p),
+    k AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS kept FROM d)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+        CASE WHEN n >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN n >= 1000 AND page_id <> kept THEN kept END AS refers_to
+    FROM k
+    """,
+)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back through the capture index."""
+    read = warc.archive_and_read_back(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
