@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import licences, pieces, pii, quality, topk, toxicity, warc
+from pulsegrid.llm import licences, ngram_join, pieces, pii, quality, topk, toxicity, warc
 from pulsegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read back through the capture index."""
     read = warc.archive_and_read_back(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_ngram_join")
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 80 % shingle similarity."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), percent=80)
