@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import licences, ngram_join, pieces, pii, quality, topk, toxicity, warc
+from pulsegrid.llm import decontaminate, licences, ngram_join, pieces, pii, quality, topk, toxicity, warc
 from pulsegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of 80 % shingle similarity."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), percent=80)
+
+
+@query("op5_decontamination", decontaminate.CHECK_SQL)
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in every document."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
