@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from pulsegrid.llm import decontaminate, licences, ngram_join, pieces, pii, quality, topk, toxicity, warc
 from pulsegrid.llm.common import table
 
@@ -104,3 +106,9 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in every document."""
     return decontaminate.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole corpus pipeline over the documents table."""
+    return corpus_pipeline.run(spark, sf_dir)
