@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from pulsegrid.llm import decontaminate, licences, ngram_join, pieces, pii, quality, topk, toxicity, warc
+from pulsegrid.llm import decontaminate, licences, ngram_join, pieces, pii, quality, repeats, topk, toxicity, warc
 from pulsegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole corpus pipeline over the documents table."""
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op7_repeats")
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeated strings of 400 bytes cover."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
