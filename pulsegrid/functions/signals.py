@@ -207,6 +207,3 @@ def density_boost(count, second, per=20, cap=5) -> Column:
     """first-feed count plus a capped share of the second feed's count."""
     return _c(count) + F.least(F.floor(_c(second) / per), F.lit(cap))
 
-
-def above_flag(value, average) -> Column:
-    return flag(_c(value) > _c(average))

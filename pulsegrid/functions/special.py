@@ -73,11 +73,6 @@ def normal_cdf(z: pd.Series) -> pd.Series:
     return _skip_null(lambda v: 0.5 * math.erfc(-v / math.sqrt(2.0)))(z)
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    return _skip_null(NormalDist().inv_cdf)(p)
-
-
 @F.pandas_udf(T.DoubleType())
 def spearman_p_value(ic: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a rank correlation from the t approximation."""

@@ -196,6 +196,3 @@ def time_ordered_share(df: DataFrame, share=0.8, time="date") -> DataFrame:
     d = df.crossJoin(F.broadcast(b))  # one row
     return d.withColumn("is_train", F.datediff(time, "_a") <= share * F.datediff("_b", "_a")).drop("_a", "_b")
 
-
-def seeded_rows(df: DataFrame, row_id: str, share: float, seed=7) -> DataFrame:
-    return df.where(mix(F.col(row_id), F.lit(seed)) < int(share * 2147483647))

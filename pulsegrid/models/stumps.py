@@ -107,11 +107,6 @@ def _base(base: dict[str, float] | None):
     return F.coalesce(F.try_element_at(m, F.col("horizon")), F.lit(0.0))
 
 
-def scores_wide(scores: DataFrame, ids: Sequence[str], horizons=("1d", "3d", "5d"), prefix="pred_") -> DataFrame:
-    return scores.groupBy(*ids).agg(
-        *[F.coalesce(F.max(F.when(F.col("horizon") == h, F.col("score"))), F.lit(0.0)).alias(f"{prefix}{h}") for h in horizons])
-
-
 def attributions(panel: DataFrame, stumps: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Additive attribution of depth-one trees: leaf minus hessian-weighted mean leaf, per
     feature the model uses."""

@@ -14,8 +14,10 @@ from pulsegrid.session import settle
 
 
 def sequence_key(day: str, unique_id: str) -> Column:
-    """Numeric order of (date, id): days carry the high part, ids below 2^32 the low part."""
-    return F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).cast("double") * float(2**32) + F.col(unique_id)
+    """A number that never falls in the order of (date, id), for any 64-bit id: the day plus a share of it that
+    rises with the id. Neighbours may get equal numbers; the order columns decide between them."""
+    i = F.col(unique_id).cast("double")
+    return F.datediff(F.col(day), F.lit("1970-01-01").cast("date")) + 0.5 + 0.5 * i / (F.abs(i) + float(2**24))
 
 
 def cusum(trades: DataFrame, order: Sequence[Column], by: Column, pred: str, actual: str, k=0.5, h=4.0,
@@ -70,11 +72,11 @@ def rolling_rows(df: DataFrame, index: str, size: int, aggs: dict[str, Column],
     """Aggregates over the last ``size`` rows of one long numbered sequence.
 
     Rows are cut into blocks by number; each block also receives copies of the
-    ``size - 1`` rows before it, so every task is complete on its own.
+    ``size - 1`` rows before it, from as many blocks as these lie in, so every task is complete on its own.
     """
     blk = F.floor((F.col(index) - 1) / block)
-    halo = F.when((F.col(index) - 1) % block >= block - (size - 1), F.array(blk, blk + 1)).otherwise(F.array(blk))
-    spread = df.withColumn("_home", blk).withColumn("_blk", F.explode(halo))
+    reach = F.floor((F.col(index) - 1 + (size - 1)) / block)
+    spread = df.withColumn("_home", blk).withColumn("_blk", F.explode(F.sequence(blk, reach)))
     w = Window.partitionBy(*group, "_blk").orderBy(index).rowsBetween(-(size - 1), 0)
     out = spread.withColumns({n: a.over(w) for n, a in aggs.items()})
     return out.where(F.col("_blk") == F.col("_home")).drop("_blk", "_home")
@@ -88,11 +90,6 @@ def rolling_win_rate(trades: DataFrame, order: Sequence[Column], by: Column, pnl
     return rolling_rows(idx, "row_index", size, {"win_rate": win})
 
 
-def daily_values(equity: DataFrame, time="date", value="equity") -> DataFrame:
-    """Last value per day: a series bounded by the calendar."""
-    return equity.groupBy(time).agg(F.max_by(value, F.col(time)).alias(value))
-
-
 def equity_statistics(curve: DataFrame, time="date", value="equity", ddof=1, benchmark: float | None = None) -> DataFrame:
     """Total and annualised return, Sharpe, Sortino, drawdown and Calmar of a daily curve.
 

@@ -20,7 +20,16 @@ PRIME = 2147483647
 
 
 def mix(row: Column, replicate: Column) -> Column:
-    """Hash of two non-negative integers to [0, 2^31 - 1), exact in 64-bit arithmetic."""
+    """Hash of two non-negative integers to [0, PRIME^2), exact in 64-bit arithmetic.
+
+    Rows that agree modulo PRIME differ in the second half, so row numbers up to PRIME^2 hash apart.
+    """
+    row = row.cast("bigint")
+    high = F.round((row - row % PRIME) / PRIME).cast("bigint")  # a whole multiple, below 2^31
+    return _half(row, replicate) * F.lit(PRIME).cast("bigint") + _half(row + high, replicate)
+
+
+def _half(row: Column, replicate: Column) -> Column:
     p = F.lit(PRIME).cast("bigint")
     h = (row.cast("bigint") % p * F.lit(48271).cast("bigint") + replicate.cast("bigint") * 69621 + 11) % p
     h = (h * h + h * F.lit(1103515245).cast("bigint")) % p
@@ -41,7 +50,7 @@ def shuffled_position(df: DataFrame, row_id: str, replicate: str, out: str, widt
     one task, only bucket counts are scanned.
     """
     h = mix(F.col(row_id), F.col(replicate))
-    b = df.withColumn("_h", h).withColumn(BUCKET, F.floor(F.col("_h") * width / PRIME))
+    b = df.withColumn("_h", h).withColumn(BUCKET, F.floor(F.floor(F.col("_h") / PRIME) * width / PRIME))
     cnt = b.groupBy(replicate, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
     w0 = Window.partitionBy(replicate).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     off = cnt.select(replicate, BUCKET, F.coalesce(F.sum("_n").over(w0), F.lit(0)).alias("_off"))

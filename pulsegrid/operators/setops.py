@@ -12,10 +12,12 @@ def keep_best(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     """One row per key tuple, the one with the greatest ``order`` tuple.
 
     Done as an aggregate, so copies are folded before the shuffle and a key with
-    millions of copies costs one row per task.
+    millions of copies costs one row per task. Rows that tie on ``order`` are settled by their other
+    columns, so the choice does not depend on how rows arrive.
     """
     rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_b"))
+    closing = [F.col(f"`{c}`") for c, kind in df.dtypes if c in rest and not any(x in kind for x in ("map<", "variant"))]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, *closing)).alias("_b"))
     return best.select(*keys, *[F.col(f"_b.`{c}`").alias(c) for c in rest]).select(*df.columns)
 
 

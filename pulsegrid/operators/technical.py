@@ -75,18 +75,6 @@ def atr_simple(df: DataFrame, n=14, key="ticker", time="date", out="atr_14") ->
     return d.withColumn(out, mean_over("_tr", trailing(n, key, time), n)).drop("_tr")
 
 
-def _smooth(values, alpha: float, normalised: bool):
-    out, num, den = [], 0.0, 0.0
-    for v in values:
-        if v is not None and v == v:
-            if normalised or den == 0.0:
-                num, den = num * (1 - alpha) + v, den * (1 - alpha) + 1.0
-            else:
-                num += alpha * (v - num)
-        out.append(num / den if den else None)
-    return out
-
-
 def wilder_average(df: DataFrame, inputs: dict[str, str], n=14, key="ticker", time="date",
                    normalised: bool = False) -> DataFrame:
     """Recursive average with weight 1/n for each ``{out: source}``: seeded by the first
@@ -102,7 +90,7 @@ def wilder_average(df: DataFrame, inputs: dict[str, str], n=14, key="ticker", ti
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(time, kind="mergesort")
         for o, src in inputs.items():
-            pdf[o] = _smooth(pdf[src].tolist(), alpha, normalised)
+            pdf[o] = pdf[src].astype("float64").ewm(alpha=alpha, adjust=normalised, ignore_na=True).mean()
         return pdf
 
     return df.groupBy(key).applyInPandas(fold, schema)

@@ -266,13 +266,16 @@ def _(t):
 
 # resampling --------------------------------------------------------------------------------------------
 def mix_sql(row: str, b: str) -> str:
-    h1 = f"((({row})::BIGINT % 2147483647) * 48271 + ({b})::BIGINT * 69621 + 11) % 2147483647"
-    h2 = f"((({h1})*({h1}) + ({h1})*1103515245) % 2147483647)"
-    return f"(({h2}*{h2} + ({b})::BIGINT*40692) % 2147483647)"
+    def half(row: str) -> str:
+        h1 = f"((({row})::BIGINT % 2147483647) * 48271 + ({b})::BIGINT * 69621 + 11) % 2147483647"
+        h2 = f"((({h1})*({h1}) + ({h1})*1103515245) % 2147483647)"
+        return f"(({h2}*{h2} + ({b})::BIGINT*40692) % 2147483647)"
+
+    return f"({half(row)} * 2147483647 + {half(f'({row}) + ({row}) // 2147483647')})"
 
 
 NUM = {"numbered": "SELECT id, row_number() OVER (ORDER BY id) AS row_index, pred, actual, pnl_pct FROM trades"}
-B = 20
+PERMUTED, BOOTSTRAPPED, BLOCKED = 100, 50, 1000  # replicates of the three tests
 
 
 def _numbered(t):
@@ -280,40 +283,40 @@ def _numbered(t):
     return row_index(d, ["id"], F.col("id").cast("double"))
 
 
-@query("m03_permutation_test", f"""WITH k AS ({ranked('numbered', 'pred', 'actual')}), h AS (SELECT b, row_index, ry, {mix_sql('row_index', 'b')} AS h FROM k, (SELECT unnest(generate_series(1,{B})) AS b)),
+@query("m03_permutation_test", f"""WITH k AS ({ranked('numbered', 'pred', 'actual')}), h AS (SELECT b, row_index, ry, {mix_sql('row_index', 'b')} AS h FROM k, (SELECT unnest(generate_series(1,{PERMUTED})) AS b)),
 s AS (SELECT b, ry, row_number() OVER (PARTITION BY b ORDER BY h, row_index) AS pos FROM h), n AS (SELECT s.b, corr(k.rx, s.ry) AS ic FROM k JOIN s ON s.pos=k.row_index GROUP BY 1), o AS (SELECT corr(rx,ry) AS o FROM k)
 SELECT {r('max(o)', 'observed_ic')}, count(*) AS n_permutations, {r('avg(ic)', 'null_ic_mean')}, {r('stddev_pop(ic)', 'null_ic_std')}, {r('quantile_cont(ic,0.95)', 'null_ic_p95')}, {r('avg(CASE WHEN ic >= o THEN 1.0 ELSE 0 END)', 'p_value')},
  CASE WHEN avg(CASE WHEN ic >= o THEN 1.0 ELSE 0 END) < 0.05 THEN 'SIGNIFICANT' ELSE 'SPURIOUS' END AS verdict FROM n, o""", views=NUM)
 def _(t):
-    return resample.permutation_test(_numbered(t), "row_index", "pred", "actual", B)
+    return resample.permutation_test(_numbered(t), "row_index", "pred", "actual", PERMUTED)
 
 
-BOOT = f"""WITH d AS (SELECT b, {mix_sql('row_index', 'b')} % (SELECT count(*) FROM numbered) + 1 AS row_index FROM numbered, (SELECT unnest(generate_series(1,{B})) AS b)), j AS (SELECT d.b, n.pred, n.actual FROM d JOIN numbered n ON n.row_index=d.row_index),
+BOOT = f"""WITH d AS (SELECT b, {mix_sql('row_index', 'b')} % (SELECT count(*) FROM numbered) + 1 AS row_index FROM numbered, (SELECT unnest(generate_series(1,{BOOTSTRAPPED})) AS b)), j AS (SELECT d.b, n.pred, n.actual FROM d JOIN numbered n ON n.row_index=d.row_index),
 k AS ({ranked('j', 'pred', 'actual', 'b')}), c AS (SELECT b, count(*) AS n, corr(rx,ry) AS ic FROM k GROUP BY 1)"""
 
 
 @query("m04_bootstrap_ic", f"{BOOT} SELECT CAST(b AS INT) AS b, CAST(n AS BIGINT) AS n, {r('ic', 'ic')} FROM c", views=NUM)
 def _(t):
-    return resample.bootstrap_ic(_numbered(t), "row_index", "pred", "actual", B)
+    return resample.bootstrap_ic(_numbered(t), "row_index", "pred", "actual", BOOTSTRAPPED)
 
 
 @query("m04_bootstrap_summary", f"""{BOOT} SELECT count(*) AS n_bootstrap, {r('avg(ic)', 'ic_mean')}, {r('stddev_pop(ic)', 'ic_std')}, {r('quantile_cont(ic,0.025)', 'ic_ci_low')}, {r('quantile_cont(ic,0.975)', 'ic_ci_high')}, CASE WHEN stddev_pop(ic) < 0.03 THEN 'STABLE' ELSE 'UNSTABLE' END AS verdict FROM c""", views=NUM)
 def _(t):
-    return resample.bootstrap_summary(resample.bootstrap_ic(_numbered(t), "row_index", "pred", "actual", B))
+    return resample.bootstrap_summary(resample.bootstrap_ic(_numbered(t), "row_index", "pred", "actual", BOOTSTRAPPED))
 
 
-BLOCK = f"""WITH n AS (SELECT count(*) AS n FROM numbered), s AS (SELECT b, row_index AS slot, {mix_sql('row_index', 'b')} % greatest(1, n.n-4) AS st, n.n FROM numbered, n, (SELECT unnest(generate_series(1,{B})) AS b) WHERE (row_index-1) % 5 = 0),
+BLOCK = f"""WITH n AS (SELECT count(*) AS n FROM numbered), s AS (SELECT b, row_index AS slot, {mix_sql('row_index', 'b')} % greatest(1, n.n-4) AS st, n.n FROM numbered, n, (SELECT unnest(generate_series(1,{BLOCKED})) AS b) WHERE (row_index-1) % 5 = 0),
 p AS (SELECT b, st + k + 1 AS row_index FROM s, (SELECT unnest(generate_series(0,4)) AS k) WHERE slot + k <= n AND st + k < n), g AS (SELECT p.b, avg(pnl_pct) AS m, stddev_pop(pnl_pct) AS sd FROM p JOIN numbered x ON x.row_index=p.row_index GROUP BY 1)"""
 
 
 @query("m05_block_bootstrap_sharpe", f"{BLOCK} SELECT CAST(b AS INT) AS b, {r('m/sd*sqrt(252)', 'sharpe')} FROM g WHERE sd > 0", views=NUM)
 def _(t):
-    return resample.block_bootstrap(_numbered(t), "row_index", "pnl_pct", 5, B)
+    return resample.block_bootstrap(_numbered(t), "row_index", "pnl_pct", 5, BLOCKED)
 
 
 @query("m05_sharpe_interval", f"{BLOCK}, c AS (SELECT m/sd*sqrt(252) AS s FROM g WHERE sd > 0) SELECT count(*) AS n_bootstrap, {r('avg(s)', 'sharpe_mean')}, {r('quantile_cont(s,0.025)', 'sharpe_ci_low')}, {r('quantile_cont(s,0.975)', 'sharpe_ci_high')} FROM c", views=NUM)
 def _(t):
-    return resample.sharpe_interval(resample.block_bootstrap(_numbered(t), "row_index", "pnl_pct", 5, B))
+    return resample.sharpe_interval(resample.block_bootstrap(_numbered(t), "row_index", "pnl_pct", 5, BLOCKED))
 
 
 @query("m08_win_interval", f"""WITH g AS (SELECT count(*) AS n, count(*) FILTER (pnl_pct > 0) AS k FROM trades), p AS (SELECT *, k/n AS p, 1.96*1.96 AS z2 FROM g)

@@ -81,7 +81,7 @@ def _staged(t, df, name):
 def _(t):
     bars = t.event_bars().select("ticker", "date", "close")
     ev = stateful.as_label_events(bars.where("day(date) % 3 = 0"), bars)
-    return sinks.drain(stateful.pending_labels(_staged(t, ev, "label-events"))).select("ticker", "date", "target_return")
+    return sinks.drain(stateful.pending_labels(_staged(t, ev, "label-events"), min_days=5)).select("ticker", "date", "target_return")
 
 
 @query("t08_stream_rolling_baseline", f"""WITH s AS (SELECT ticker, date, count(*) AS n FROM posts_small WHERE source='purchase' AND sentiment_conf > 0.8 GROUP BY 1,2), b AS (SELECT ticker, min(date) AS lo, max(date) AS hi FROM s GROUP BY 1),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,42 +64,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/staging/{name}-{uuid.uuid4().hex}"
 
 
-SMALL_INPUT = "pulsegrid.smallInputBytes"
-SMALL_INPUT_DEFAULT = 64 * 1024 * 1024
-
-
-def small_input(df: DataFrame) -> bool:
-    """Do all files and tables below ``df`` together stay under the limit?
-
-    The sizes come from the relations in the analysed plan; no job runs. A source of
-    unknown size counts as large. Operators use it to take one ordered window instead
-    of the bucketed form when there is provably little to order.
-    """
-    limit = int(df.sparkSession.conf.get(SMALL_INPUT, str(SMALL_INPUT_DEFAULT)))
-    if limit <= 0:
-        return False
-    jdf = getattr(df, "_jdf", None)
-    if jdf is None:  # no local plan to look at (remote client)
-        return False
-    leaves = jdf.queryExecution().analyzed().collectLeaves()
-    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return all(total <= limit for total in accumulate(sizes))
-
-
 def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut the lineage of an intermediate that a plan reads several times.
 
     It is written once to the shared folder and read back, so later steps neither repeat
-    its work nor depend on lost executors, and they see its true size. Small inputs are
-    left as they are.
+    its work nor depend on lost executors, and they see its true size.
     """
-    if small_input(df):
-        return df
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shuffle_width(spark: SparkSession, at_most: int = 2000) -> int:
-    """Bucket count for range-bucketed operators: follows the shuffle width."""
-    return max(4, min(int(spark.conf.get("spark.sql.shuffle.partitions")), at_most))
+def shuffle_width(spark: SparkSession) -> int:
+    """Bucket count for range-bucketed operators: follows the shuffle width, which follows the data."""
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))

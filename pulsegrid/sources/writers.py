@@ -22,6 +22,16 @@ def write_panel(df: DataFrame, path: str, time="date", partition="year") -> None
     out.hint("rebalance", F.col(partition)).write.partitionBy(partition).mode("overwrite").parquet(path)
 
 
+def _stored(new: DataFrame, path: str) -> DataFrame | None:
+    """The stored panel, or None where there is no such path; any other fault in reading it is raised."""
+    try:
+        return new.sparkSession.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def upsert_panel(new: DataFrame, path: str, keys: Sequence[str] = ("ticker", "date"), time="date", partition="year") -> None:
     """Keep the last row per key; only the year partitions touched by ``new`` are rewritten.
 
@@ -29,10 +39,9 @@ def upsert_panel(new: DataFrame, path: str, keys: Sequence[str] = ("ticker", "da
     """
     spark = new.sparkSession
     new = new if partition in new.columns else new.withColumn(partition, F.year(time))
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:
-        write_panel(new, path, time, partition)
+    stored = _stored(new, path)
+    if stored is None:
+        write_panel(keep_last([new], keys), path, time, partition)
         return
     touched = new.select(partition).distinct()
     merged = keep_last([stored.join(F.broadcast(touched), partition, "left_semi"), new.select(*stored.columns)], keys)
@@ -43,10 +52,13 @@ def upsert_panel(new: DataFrame, path: str, keys: Sequence[str] = ("ticker", "da
 
 
 def insert_panel(new: DataFrame, path: str, keys: Sequence[str] = ("ticker", "date"), time="date", partition="year") -> None:
-    """Add rows whose key is not stored; stored rows never change, so this is a pure append."""
-    spark = new.sparkSession
+    """Add rows whose key is not stored, one per key; stored rows never change, so this is a pure append."""
     new = new if partition in new.columns else new.withColumn(partition, F.year(time))
-    stored = spark.read.parquet(path)
+    new = keep_last([new], keys)
+    stored = _stored(new, path)
+    if stored is None:
+        write_panel(new, path, time, partition)
+        return
     fresh = new.join(stored.select(*keys).distinct(), list(keys), "left_anti")
     fresh.select(*stored.columns).write.partitionBy(partition).mode("append").parquet(path)
 

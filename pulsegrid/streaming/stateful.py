@@ -25,58 +25,45 @@ def _days(s: pd.Series) -> pd.Series:
 LABEL_OUT = "ticker string, date date, close_t0 double, close_tn double, target_return double"
 
 
-def pending_labels(events: DataFrame, rows=5, min_days=7, history=12, key="ticker") -> DataFrame:
-    """T4: a signal waits until ``rows`` later bars of its key have arrived.
-
-    ``events`` holds (ticker, date, kind, close) with kind ``signal`` or ``bar``. The bar
-    of the signal's date (or the first later one) is the base; state keeps open signals
-    with their bar counters and the latest few bars for signals that come late.
+def pending_labels(events: DataFrame, rows=5, min_days=7, keep_days=3660, key="ticker") -> DataFrame:
+    """T4: the label of a signal is the close ``rows`` bars after its base, by bar date.
+
+    ``events`` holds (ticker, date, kind, close) with kind ``signal`` or ``bar``. The base is the bar of the
+    signal's date or the first later one. Bars count in the order of their dates, however they arrive. A label is
+    emitted once its bar is known and, where later bars are still to come, bars reach ``min_days`` past the signal;
+    so bars that are late by less than that still enter. State keeps a key's bars, one per day, over ``keep_days``;
+    a signal older than that is reported at once with null closes instead of a wrong base.
     """
 
     def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sd, base, seen, hd, hc = (list(x) for x in state.get) if state.exists else ([], [], [], [], [])
+        open_days, days, closes = (list(x) for x in state.get) if state.exists else ([], [], [])
         pdf = pd.concat(list(parts))
-        pdf = pdf.assign(_d=_days(pdf["date"]), _k=(pdf["kind"] == "bar").astype(int)).sort_values(["_d", "_k"], kind="mergesort")
-        out = []
-
-        def advance(i: int, day: int, close: float) -> bool:
-            if day < sd[i]:
-                return False
-            if seen[i] == 0:
-                base[i] = close
-            seen[i] += 1
-            if seen[i] == rows + 1 and day - sd[i] >= min_days:
-                out.append((k[0], EPOCH + pd.Timedelta(days=sd[i]), base[i], close, close / base[i] - 1))
-                return True
-            if seen[i] > rows:  # enough bars, too few calendar days: the label is the rows-th bar
-                out.append((k[0], EPOCH + pd.Timedelta(days=sd[i]), base[i], close, close / base[i] - 1))
-                return True
-            return False
-
-        for day, kind, close in zip(pdf["_d"].tolist(), pdf["kind"].tolist(), pdf["close"].tolist()):
-            if kind == "signal":
-                sd.append(day), base.append(0.0), seen.append(0)
-                i, done = len(sd) - 1, False
-                for d, c in zip(hd, hc):
-                    done = done or advance(i, d, c)
-                if done:
-                    del sd[i], base[i], seen[i]
+        pdf = pdf.assign(_d=_days(pdf["date"]))
+        is_bar = pdf["kind"] == "bar"
+        known = dict(zip(days, closes)) | dict(zip(pdf["_d"][is_bar].tolist(), pdf["close"][is_bar].tolist()))
+        bars = pd.Series(known, dtype="float64").sort_index()
+        newest = bars.index[-1] if len(bars) else None
+        horizon = newest - keep_days if newest is not None else None
+        waiting, out = [], []
+        for day in [*open_days, *pdf["_d"][~is_bar].tolist()]:
+            at = bars.index.searchsorted(day)
+            if horizon is not None and day < horizon:
+                out.append((k[0], day, None, None, None))
+            elif at + rows < len(bars) and newest - day >= min_days:
+                base, last = float(bars.iloc[at]), float(bars.iloc[at + rows])
+                out.append((k[0], day, base, last, last / base - 1))
             else:
-                closed = [i for i in range(len(sd)) if advance(i, day, close)]
-                for i in reversed(closed):
-                    del sd[i], base[i], seen[i]
-                hd.append(day), hc.append(close)
-                hd, hc = hd[-history:], hc[-history:]
-        state.update((sd, base, seen, hd, hc))
-        df = pd.DataFrame(out, columns=["ticker", "date", "close_t0", "close_tn", "target_return"])
-        df["date"] = pd.to_datetime(df["date"]).dt.date
-        if len(df):
+                waiting.append(int(day))
+        if horizon is not None:
+            bars = bars[bars.index >= horizon]
+        state.update((waiting, [int(d) for d in bars.index], bars.tolist()))
+        if out:
+            df = pd.DataFrame(out, columns=["ticker", "date", "close_t0", "close_tn", "target_return"])
+            df["date"] = [(EPOCH + pd.Timedelta(days=d)).date() for d in df["date"]]
             yield df
 
     return events.groupBy(key).applyInPandasWithState(
-        step, LABEL_OUT,
-        "sd array<bigint>, base array<double>, seen array<bigint>, hd array<bigint>, hc array<double>",
-        "append", GroupStateTimeout.NoTimeout)
+        step, LABEL_OUT, "open array<bigint>, days array<bigint>, closes array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 # --- T5 ----------------------------------------------------------------------------------
@@ -137,7 +124,8 @@ BASE_OUT = "ticker string, date date, count bigint, baseline double, spike_ratio
 
 def rolling_baseline(daily: DataFrame, size=20, min_rows=5, cap=10.0, key="ticker") -> DataFrame:
     """Each day's count against the mean of the last ``size`` days of its key; days without
-    posts between two arrivals enter as zeros (and are emitted)."""
+    posts between two arrivals enter as zeros (and are emitted). A day that is not after the last one of its key
+    has been emitted already and is left out."""
 
     def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, hist = (state.get[0], list(state.get[1])) if state.exists else (None, [])
@@ -145,6 +133,8 @@ def rolling_baseline(daily: DataFrame, size=20, min_rows=5, cap=10.0, key="ticke
         pdf = pdf.assign(_d=_days(pdf["date"])).sort_values("_d")
         out = []
         for d, n in zip(pdf["_d"].tolist(), pdf["count"].tolist()):
+            if last is not None and d <= last:
+                continue
             gap = [] if last is None else [(x, 0) for x in range(last + 1, d)]
             for day, c in [*gap, (d, int(n))]:
                 hist = (hist + [c])[-size:]

@@ -20,7 +20,7 @@ SAMPLE = ["w06_pct_change", "w08_atr_wilder", "w12_rolling_percentile", "w01_w03
 def test_every_check_has_a_query():
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) > 230
-    assert all(re.match(r"^[a-z]\d{2}[ab]?_|^e[123]_", n) for n in q)
+    assert all(re.match(r"^[a-z]\d{2}[ab]?_|^e[123]_|^op\d+_|^pipeline$", n) for n in q)
 
 
 def test_entry_runs(spark):

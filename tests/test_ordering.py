@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import equity, ic
 from pulsegrid.operators.ordering import average_rank, exact_quantiles, row_index, running
-from pulsegrid.session import small_input
 
 
 @pytest.fixture(scope="module")
@@ -82,15 +81,3 @@ def test_cusum_equals_the_recursion(spark):
         c = max(0.0, c - v + 0.5)
         want.append(c)
     assert np.allclose(got, want)
-
-
-def test_size_check_reads_file_sizes(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.range(1000).write.parquet(path)
-    d = spark.read.parquet(path).groupBy("id").count()
-    assert small_input(d)
-    spark.conf.set("pulsegrid.smallInputBytes", "10")
-    try:
-        assert not small_input(d)
-    finally:
-        spark.conf.unset("pulsegrid.smallInputBytes")

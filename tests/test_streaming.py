@@ -71,3 +71,37 @@ def test_readers_skip_what_is_broken(spark, tmp_path):
     (tmp_path / "s.txt").write_text("nvda\n# note\n\n AMD \nNVDA\ntsla\n")
     s = readers.symbol_list(spark, str(tmp_path / "s.txt"), exclude=["TSLA"]).orderBy("position").collect()
     assert [r.ticker for r in s] == ["NVDA", "AMD"]
+
+
+def test_labels_of_late_signals_and_unordered_bars(spark, tmp_path):
+    bars = [("A", day(i), "bar", 100.0 + i) for i in range(45)]
+    first = ev(spark, [*bars[:20:2], *bars[1:20:2]])  # every second bar comes late
+    second = ev(spark, bars[20:])
+    third = ev(spark, [("A", day(3), "signal", 0.0)])  # 41 bars late
+    out = sinks.drain(stateful.pending_labels(staged_stream(spark, str(tmp_path / "l"), [first, second, third]))).collect()
+    assert [(r.date, r.close_t0, r.close_tn) for r in out] == [(day(3), 103.0, 108.0)]
+    old = ev(spark, [*bars, ("A", day(3), "signal", 0.0)])
+    short = sinks.drain(stateful.pending_labels(staged_stream(spark, str(tmp_path / "o"), [old]), keep_days=10)).collect()
+    assert [(r.date, r.close_t0) for r in short] == [(day(3), None)]
+
+
+def test_baseline_leaves_out_late_days(spark, tmp_path):
+    d = spark.createDataFrame([("A", day(i), 4) for i in (0, 1, 2, 3)], "ticker string, date date, count long")
+    late = d.where("day(date) = 2")
+    out = sinks.drain(stateful.rolling_baseline(staged_stream(spark, str(tmp_path / "b"), [d, late]))).collect()
+    assert sorted(r.date for r in out) == [day(i) for i in range(4)]
+
+
+def test_upserts_raise_on_a_broken_panel_and_fold_repeats(spark, tmp_path):
+    import pytest
+
+    p = tmp_path / "panel"
+    rows = spark.createDataFrame([("A", dt.date(2023, 1, 1), 1.0), ("A", dt.date(2023, 1, 1), 2.0)], "ticker string, date date, v double")
+    writers.insert_panel(rows, str(p))
+    writers.insert_panel(rows.selectExpr("concat(ticker, 'B') AS ticker", "date", "v"), str(p))
+    assert {(r.ticker, r.v) for r in spark.read.parquet(str(p)).collect()} == {("A", 2.0), ("AB", 2.0)}
+    for f in p.glob("year=*/*.parquet"):
+        f.write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        writers.upsert_panel(rows, str(p))
+    assert all(f.read_bytes() == b"no parquet" for f in p.glob("year=*/*.parquet"))
