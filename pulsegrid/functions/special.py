@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import functions as F

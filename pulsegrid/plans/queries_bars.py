@@ -153,9 +153,9 @@ def _(t):
 
 @query("j04_asof_series", f"""SELECT ticker, date, {r('value', 'value')} FROM (
  SELECT b.ticker, b.date, coalesce((SELECT arg_max(i.value, i.date) FROM idx i WHERE i.date <= b.date), 0.5) AS value FROM brand_bars b)""",
-       views={"idx": "SELECT date, value FROM index_series WHERE dayofweek(date) = 0"})
+       views={"idx": "SELECT CAST(date_trunc('week', date) AS DATE) AS date, max(value) AS value FROM index_series GROUP BY 1"})
 def _(t):
-    idx = t.index_series().where(F.dayofweek("date") == 1)
+    idx = t.index_series().groupBy(F.to_date(F.date_trunc("week", "date")).alias("date")).agg(F.max("value").alias("value"))
     return joins.asof_series(t.brand_bars().select("ticker", "date"), idx, "value", 0.5)
 
 

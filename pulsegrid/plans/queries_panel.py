@@ -150,11 +150,11 @@ def _(t):
 
 
 # joins ---------------------------------------------------------------------------------------------
-DC = "(SELECT ticker, date, count(*) AS posts, CAST(sum(num_comments) AS BIGINT) AS comments FROM posts_small WHERE sentiment_conf > 0.9 GROUP BY 1,2)"
+DC = "(SELECT ticker, date, count(*) AS posts, CAST(sum(num_comments) AS BIGINT) AS comments FROM posts_by_user GROUP BY 1,2)"
 
 
 def _sparse_counts(t):
-    return t.posts_small().where("sentiment_conf > 0.9").groupBy("ticker", "date").agg(
+    return t.posts_by_user().groupBy("ticker", "date").agg(
         F.count(F.lit(1)).alias("posts"), F.sum("num_comments").alias("comments"))
 
 
@@ -184,11 +184,11 @@ def _(t):
 
 
 NEXT = "SELECT t.id, t.ticker, t.entry_date, (SELECT min(e.event_date) FROM ev e WHERE e.ticker=t.ticker AND e.event_date >= t.entry_date AND e.event_date <= t.entry_date + 90) AS next_event FROM trades t"
-EV = {"ev": "SELECT DISTINCT ticker, event_date FROM calendar_events WHERE dayofyear(event_date) % 17 = 0"}
+EV = {"ev": "SELECT DISTINCT ticker, event_date FROM calendar_events"}
 
 
 def _events(t):
-    return t.calendar_events().where(F.dayofyear("event_date") % 17 == 0)
+    return t.calendar_events()
 
 
 @query("j09_next_event", f"WITH n AS ({NEXT}) SELECT * FROM n", views=EV)
@@ -201,9 +201,9 @@ def _(t):
     return joins.clear_of_events(t.trades().select("id", "ticker", "entry_date"), _events(t)).select("id")
 
 
-@query("j14_trades_with_side", f"""SELECT t.id, coalesce(s.signal, 'BULLISH') AS signal FROM trades t LEFT JOIN (SELECT ticker, entry_date AS date, max(side) AS signal FROM trades WHERE id % 4 = 0 GROUP BY 1,2) s ON s.ticker=t.ticker AND s.date=t.entry_date""")
+@query("j14_trades_with_side", f"""SELECT t.id, coalesce(s.signal, 'BULLISH') AS signal FROM trades t LEFT JOIN (SELECT ticker, exit_date AS date, max(side) AS signal FROM trades GROUP BY 1,2) s ON s.ticker=t.ticker AND s.date=t.entry_date""")
 def _(t):
-    sig = t.trades().where("id % 4 = 0").select("ticker", F.col("entry_date").alias("date"), F.col("side").alias("signal"))
+    sig = t.trades().select("ticker", F.col("exit_date").alias("date"), F.col("side").alias("signal"))
     return joins.trades_with_side(t.trades().select("id", "ticker", "entry_date"), sig).select("id", "signal")
 
 

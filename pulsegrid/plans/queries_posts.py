@@ -59,9 +59,9 @@ def _(t):
 @query("j05_densify_calendar", """SELECT k.ticker, c.date, coalesce(s.count, 0) AS count FROM (SELECT DISTINCT ticker FROM sparse) k
 CROSS JOIN (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM sparse) c
 LEFT JOIN sparse s ON s.ticker=k.ticker AND s.date=c.date""",
-       views={"sparse": "SELECT ticker, date, count(*) AS count FROM posts_small WHERE source='purchase' AND sentiment_conf > 0.8 GROUP BY 1,2"})
+       views={"sparse": "SELECT ticker, date, count(*) AS count FROM posts_by_user GROUP BY 1,2"})
 def _(t):
-    d = t.posts_small().where("source = 'purchase' AND sentiment_conf > 0.8").groupBy("ticker", "date").agg(F.count(F.lit(1)).alias("count"))
+    d = t.posts_by_user().groupBy("ticker", "date").agg(F.count(F.lit(1)).alias("count"))
     return windows.densify(d, ["count"])
 
 
@@ -74,12 +74,12 @@ l AS (SELECT ticker, date, lag(count_d) OVER w AS c1, lag(comments_d) OVER w AS
  FROM g WINDOW w AS (PARTITION BY ticker ORDER BY date), w3 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
 SELECT ticker, date, CAST(c1 AS BIGINT) AS post_count_1d, CAST(m1 AS BIGINT) AS total_comments_1d, {r('v1', 'avg_sentiment_1d')}, {r('v3', 'avg_sentiment_3d')},
  {r('ext', 'sentiment_extremity')}, {r('v1-v3', 'sentiment_accel')} FROM l"""
-SPARSE = {"sparse_posts": "SELECT * FROM posts_small WHERE source='purchase' AND sentiment_conf > 0.5"}
+SPARSE = {"sparse_posts": "SELECT * FROM posts_by_user"}
 
 
 @query("w04_w05_lagged_post_features", LAG_SQL, views=SPARSE)
 def _(t):
-    p = t.posts_small().where("source = 'purchase' AND sentiment_conf > 0.5")
+    p = t.posts_by_user()
     d = windows.densify(rollups.daily_post_rollup(p), ["count_d", "comments_d", "score_sum_d", "score_cnt_d", "abs_sum_d"])
     return windows.lagged_post_features(d)
 
@@ -254,11 +254,11 @@ def _(t):
 
 
 @query("j12_merge_live_feeds", f"""SELECT coalesce(a.ticker,b.ticker,c.ticker) AS ticker, coalesce(a.post_count_1d,0) AS post_count_1d, {r('coalesce(b.mention_growth_7d,1.0)', 'mention_growth_7d')}, {r('coalesce(c.st_bull_pct,0.5)', 'st_bull_pct')}
-FROM (SELECT ticker, count(*) AS post_count_1d FROM posts_small WHERE date = DATE '2024-01-05' AND sentiment_conf > 0.8 GROUP BY 1) a
-FULL OUTER JOIN (SELECT ticker, count(*)/10.0E0 AS mention_growth_7d FROM posts_small WHERE date = DATE '2024-01-06' AND sentiment_conf > 0.8 GROUP BY 1) b ON a.ticker=b.ticker
-FULL OUTER JOIN (SELECT ticker, avg(CASE WHEN sentiment_label='positive' THEN 1.0 ELSE 0.0 END) AS st_bull_pct FROM posts_small WHERE date = DATE '2024-01-07' AND sentiment_conf > 0.8 GROUP BY 1) c ON c.ticker=coalesce(a.ticker,b.ticker)""")
+FROM (SELECT ticker, count(*) AS post_count_1d FROM posts_by_user WHERE date = DATE '2024-01-05' GROUP BY 1) a
+FULL OUTER JOIN (SELECT ticker, count(*)/10.0E0 AS mention_growth_7d FROM posts_by_user WHERE date = DATE '2024-01-06' GROUP BY 1) b ON a.ticker=b.ticker
+FULL OUTER JOIN (SELECT ticker, avg(CASE WHEN sentiment_label='positive' THEN 1.0 ELSE 0.0 END) AS st_bull_pct FROM posts_by_user WHERE date = DATE '2024-01-07' GROUP BY 1) c ON c.ticker=coalesce(a.ticker,b.ticker)""")
 def _(t):
-    p = t.posts_small().where("sentiment_conf > 0.8")
+    p = t.posts_by_user()
     day = lambda d: p.where(F.col("date") == F.lit(d).cast("date")).groupBy("ticker")
     return joins.merge_live_feeds([
         (day("2024-01-05").agg(F.count(F.lit(1)).alias("post_count_1d")), {"post_count_1d": 0}),

@@ -252,11 +252,11 @@ def _(t):
 
 
 # universe staging -----------------------------------------------------------------------------------------------
-CAND = {"cand": "SELECT ticker AS symbol, date, count(*) AS n_mentions FROM posts_small WHERE sentiment_conf > 0.5 GROUP BY 1,2"}
+CAND = {"cand": "SELECT ticker AS symbol, date, count(*) AS n_mentions FROM posts_small GROUP BY 1,2"}
 
 
 def _cand(t):
-    return t.posts_small().where("sentiment_conf > 0.5").groupBy(F.col("ticker").alias("symbol"), "date").agg(F.count(F.lit(1)).alias("n_mentions"))
+    return t.posts_small().groupBy(F.col("ticker").alias("symbol"), "date").agg(F.count(F.lit(1)).alias("n_mentions"))
 
 
 @query("w28_promote_candidates", """WITH q AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS i, date_diff('day', date, lag(date) OVER (PARTITION BY symbol ORDER BY date DESC)) AS gap FROM cand WHERE n_mentions >= 11 AND date BETWEEN DATE '2024-01-30' - 14 AND DATE '2024-01-30')

@@ -84,12 +84,12 @@ def _(t):
     return sinks.drain(stateful.pending_labels(_staged(t, ev, "label-events"), min_days=5)).select("ticker", "date", "target_return")
 
 
-@query("t08_stream_rolling_baseline", f"""WITH s AS (SELECT ticker, date, count(*) AS n FROM posts_small WHERE source='purchase' AND sentiment_conf > 0.8 GROUP BY 1,2), b AS (SELECT ticker, min(date) AS lo, max(date) AS hi FROM s GROUP BY 1),
+@query("t08_stream_rolling_baseline", f"""WITH s AS (SELECT ticker, date, count(*) AS n FROM posts_by_user GROUP BY 1,2), b AS (SELECT ticker, min(date) AS lo, max(date) AS hi FROM s GROUP BY 1),
 g AS (SELECT b.ticker, CAST(d AS DATE) AS date FROM b, LATERAL (SELECT unnest(generate_series(b.lo, b.hi, INTERVAL 1 DAY)) AS d)), f AS (SELECT g.ticker, g.date, coalesce(s.n,0) AS c FROM g LEFT JOIN s ON s.ticker=g.ticker AND s.date=g.date),
 w AS (SELECT *, CASE WHEN count(*) OVER x >= 5 THEN avg(c) OVER x ELSE 1.0 END AS m FROM f WINDOW x AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
 SELECT ticker, date, CAST(c AS BIGINT) AS count, {r('m', 'baseline')}, {r('least(c/(m+1),10)', 'spike_ratio')} FROM w""")
 def _(t):
-    d = t.posts_small().where("source = 'purchase' AND sentiment_conf > 0.8").groupBy("ticker", "date").agg(F.count(F.lit(1)).alias("count"))
+    d = t.posts_by_user().groupBy("ticker", "date").agg(F.count(F.lit(1)).alias("count"))
     return sinks.drain(stateful.rolling_baseline(_staged(t, d, "daily-counts")))
 
 

@@ -85,6 +85,10 @@ class Tables:
     def posts_small(self) -> DataFrame:
         return self._posts(F.concat(F.lit("U"), F.col("user_id") % 20))
 
+    def posts_by_user(self) -> DataFrame:
+        """Posts keyed by user: many keys, and days on which a key has no post."""
+        return self._posts(F.concat(F.lit("U"), F.col("user_id")))
+
     def event_bars(self) -> DataFrame:
         """Daily bars of the small post keys, from event values."""
         e = self.base("events").select(
@@ -213,6 +217,7 @@ VIEWS = {
 FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date), w20 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
     "posts": _posts_sql("event_type"),
     "posts_small": _posts_sql("concat('U', user_id % 20)"),
+    "posts_by_user": _posts_sql("concat('U', user_id)"),
     "event_bars": """SELECT concat('U', user_id % 20) AS ticker, CAST(ts AS DATE) AS date,
   CAST(10.0 AS DOUBLE)+CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE)/COUNT(*) AS close, CAST(10.0 AS DOUBLE)+MAX(value) AS high,
   CAST(10.0 AS DOUBLE)+MIN(value) AS low, CAST(COUNT(*) AS DOUBLE) AS volume FROM events GROUP BY 1,2""",
