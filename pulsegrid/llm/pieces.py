@@ -11,6 +11,7 @@ path, the one that merging gives. Backward pointers give the ids.
 from __future__ import annotations
 
 import re
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -22,11 +23,44 @@ from pulsegrid.llm.common import slices, texts_of
 MARK = "▁"
 #: Default vocabulary file; the path is a parameter of every function.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-CACHED_WORDS, CACHED_LENGTH, CACHED_PAIRS = 500_000, 64, 1_000_000
+CACHED_WORDS, CACHED_LENGTH, CACHED_PAIRS = 200_000, 64, 300_000
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNIGRAM, BPE = 1, 2
 
 
+class Endings:
+    """Which pieces end at each position of a text: a trie of the pieces with links to the longest suffix in it."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.next: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]
+        own = {}
+        for piece, i in ids.items():
+            at = 0
+            for c in piece:
+                if c not in self.next[at]:
+                    self.next[at][c] = len(self.next)
+                    self.next.append({})
+                    self.ends.append(())
+                at = self.next[at][c]
+            own[at] = (i, len(piece))
+        self.suffix = [0] * len(self.next)
+        level = [0]
+        while level:
+            below = []
+            for at in level:
+                for c, to in self.next[at].items():
+                    self.suffix[to] = self.step(self.suffix[at], c) if at else 0
+                    self.ends[to] = ((own[to],) if to in own else ()) + self.ends[self.suffix[to]]
+                    below.append(to)
+            level = below
+
+    def step(self, at: int, c: str) -> int:
+        while at and c not in self.next[at]:
+            at = self.suffix[at]
+        return self.next[at].get(c, 0)
+
+
 class Pieces:
     """Encoder and decoder over the piece table of one model file."""
 
@@ -50,7 +84,6 @@ class Pieces:
         self.unknown = table.unk_id()
         self.ids = {table.id_to_piece(i): i for i in every if i not in self.special and not table.is_byte(i)}
         self.scores = {p: table.get_score(i) for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids), default=1)
         self.whole = any(MARK in p.lstrip(MARK) for p in self.ids)  # a piece crosses words: the text is one word
         self.unknown_score = min(self.scores.values(), default=0.0) - 10.0
         self.surface = [b"" if i in self.special else table.id_to_piece(i).replace(MARK, " ").encode() for i in every]
@@ -60,10 +93,11 @@ class Pieces:
             self.surface[self.unknown] = " ⁇ ".encode()
         self.prefix = self.normalise("a").startswith(MARK)
         self.lead = MARK if plain and mark else ""
-        self.reach: dict[str, int] = {}  # length of the longest piece with these last two characters
-        for p in self.ids:
-            self.reach[p[-2:]] = max(self.reach.get(p[-2:], 1), len(p))
-        self.apart_memo: dict[tuple[str, str], bool] = {}
+        self.values = {i: self.scores[p] for p, i in self.ids.items()}
+        self.sizes = {i: len(p) for p, i in self.ids.items()}
+        self.endings = Endings(self.ids)
+        self.names = {i: p for p, i in self.ids.items()}
+        self.apart: dict[int, bool] = {}  # may one piece follow another in a merged text?
         self.known: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -79,64 +113,55 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def apart(self, left: str, right: str) -> bool:
-        """May ``right`` follow ``left`` in a merged text?"""
-        key = (left, right)
-        known = self.apart_memo.get(key)
-        if known is None:
-            if len(self.apart_memo) >= CACHED_PAIRS:
-                self.apart_memo.clear()
-            if not left or left not in self.ids:  # at the start, or after a character that is no piece
-                known = self.merged(right) == [right]
-            else:
-                known = self.merged(left + right) == [left, right]
-            self.apart_memo[key] = known
+    def fits(self, before: int, i: int) -> bool:
+        """BPE: may piece ``i`` follow piece ``before`` (-1: an unknown character, -2: the start of the word)?"""
+        if len(self.apart) >= CACHED_PAIRS:
+            self.apart.clear()
+        left, right = self.names.get(before, ""), self.names[i]
+        known = self.apart[(before + 2 << 32) + i] = self.merged(left + right) == [*([left] if left else []), right]
         return known
 
-    def column(self, word: str, end: int, last: list[str], score: list[float]) -> tuple[str, float]:
-        """The best last piece of ``word[:end]`` and its score, from the columns of the shorter prefixes."""
-        if self.kind == BPE:
-            ids, known = self.ids, self.apart_memo
-            for at in range(max(0, end - self.reach.get(word[max(0, end - 2) : end], 1)), end):
-                piece = word[at:end]
-                if piece in ids:
-                    before = last[at]
-                    fits = known.get((before, piece))
-                    if self.apart(before, piece) if fits is None else fits:
-                        return piece, 0.0
-            return word[end - 1 : end], 0.0
-        best, top = word[end - 1 : end], score[end - 1] + self.scores.get(word[end - 1 : end], self.unknown_score)
-        for n in range(2, min(self.longest, end) + 1):
-            s = self.scores.get(word[end - n : end])
-            if s is not None and score[end - n] + s > top:
-                best, top = word[end - n : end], score[end - n] + s
-        return best, top
-
-    def piece_ids(self, piece: str) -> list[int]:
-        i = self.ids.get(piece)
-        if i is not None:
-            return [i]
-        return [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
-
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids (as int32 bytes) of distinct words, in one depth-first walk over their trie."""
+        """Ids (as int32 bytes) of distinct words, in one depth-first walk over their trie.
+
+        ``last`` and ``score`` are the forward columns of the current word's prefixes, ``node`` the place in the
+        automaton of pieces, which knows all pieces that end at a position.
+        """
         out: dict[str, bytes] = {}
-        last, score, before = [""], [0.0], ""
+        merging, known, values, sizes = self.kind == BPE, self.apart, self.values, self.sizes
+        step, ends = self.endings.step, self.endings.ends
+        last, score, node, before = [-2], [0.0], [0], ""
         for word in sorted(words):
             shared = 0
             limit = min(len(word), len(before))
             while shared < limit and word[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :], score[shared + 1 :]
+            del last[shared + 1 :], score[shared + 1 :], node[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                piece, total = self.column(word, end, last, score)
-                last.append(piece)
-                score.append(total)
+                at = step(node[-1], word[end - 1])
+                node.append(at)
+                best, top = -1, score[end - 1] + self.unknown_score
+                for i, n in ends[at]:  # longest first
+                    if merging:
+                        fit = known.get((last[end - n] + 2 << 32) + i)
+                        if self.fits(last[end - n], i) if fit is None else fit:
+                            best = i
+                            break
+                    elif (total := score[end - n] + values[i]) > top:
+                        best, top = i, total
+                last.append(best)
+                score.append(0.0 if merging else top)
             path, end = [], len(word)
             while end:
-                path.append(last[end])
-                end -= len(last[end])
-            out[word] = np.array([i for p in reversed(path) for i in self.piece_ids(p)], np.int32).tobytes()
+                i = last[end]
+                if i >= 0:
+                    path.append(i)
+                    end -= sizes[i]
+                else:
+                    path += reversed([self.byte_ids[x] for x in word[end - 1].encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown])
+                    end -= 1
+            path.reverse()
+            out[word] = array("i", path).tobytes()
             before = word
         return out
 
@@ -196,7 +221,7 @@ def encode(documents: DataFrame, model_path: str = MODEL_PATH, text: str = "text
 
     def run(batches):
         pieces = loaded(model)
-        for b in slices(batches):
+        for b in slices(batches, 1024):
             ids = pieces.encode(texts_of(b[text]))
             sizes = np.array([len(x) for x in ids], np.int64)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
@@ -227,7 +252,7 @@ def encode_and_check(documents: DataFrame, model_path: str = MODEL_PATH) -> Data
 
     def run(batches):
         pieces = loaded(model)
-        for b in slices(batches):
+        for b in slices(batches, 1024):
             texts = texts_of(b["text"])
             ids = pieces.encode(texts)
             same = [pieces.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
