@@ -130,12 +130,18 @@ def normalised_curve(curve: DataFrame, benchmark_total: float, time="date", valu
 
 
 def trailing_pnl_limits(pnl: DataFrame, time="date", value="daily_pnl", days=7, daily_limit=-0.03, weekly_limit=-0.07,
-                        group: Sequence[str] = ()) -> DataFrame:
-    """Result of the day and the last ``days`` days, and the limits they hit."""
+                        group: Sequence[str] = (), n_open: str | None = None, regime: str | None = None) -> DataFrame:
+    """Result of the day and the last ``days`` days, and the limits they hit.
+
+    With ``n_open`` and ``regime`` (columns) the positions that the regime allows are a limit too.
+    """
     n = F.datediff(F.col(time), F.lit("1970-01-01").cast("date"))
     w = Window.partitionBy(*group).orderBy(n).rangeBetween(-days, 0)
     d = pnl.withColumn("weekly_pnl", F.sum(value).over(w))
     d = d.withColumns({"daily_hit": F.col(value) < daily_limit, "weekly_hit": F.col("weekly_pnl") < weekly_limit})
+    if n_open and regime:
+        d = d.withColumn("max_positions_reached", F.col(n_open) >= max_positions(F.col(regime)))
+        return d.withColumn("can_open", ~(F.col("daily_hit") | F.col("weekly_hit") | F.col("max_positions_reached")))
     return d.withColumn("can_open", ~(F.col("daily_hit") | F.col("weekly_hit")))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,10 +107,9 @@ def late_key_rows(panel: DataFrame, new_after_days=60, first_rows=3, key="ticker
     return d.withColumn("row_in_key", F.row_number().over(by_key(key, time))).where(F.col("row_in_key") <= first_rows)
 
 
-def integrity_suite(panel: DataFrame, folds: DataFrame, features: Sequence[str], suspects: Sequence[str], *, today: str | None = None,
+def integrity_suite(panel: DataFrame, folds: DataFrame, features: Sequence[str], suspects: Sequence[str], *, today: str,
                     train_end="2023-12-31", test_start="2024-01-01", n_buckets: int | None = None) -> DataFrame:
     """All seven checks as rows (check, status, n_violations)."""
-    today = today or date.today().isoformat()
     parts = [
         check_future_targets(panel, today), check_return_recomputation(panel), check_purge_gap(folds),
         check_target_correlation(panel, features, n_buckets=n_buckets), check_normalisation(panel, suspects),

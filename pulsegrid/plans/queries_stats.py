@@ -222,6 +222,23 @@ def _(t):
     return equity.trailing_pnl_limits(d, daily_limit=-0.00301, weekly_limit=-0.00701, group=["ticker"])
 
 
+@query("w33_position_limit", f"""WITH f AS (SELECT ticker, entry_date AS date, 1 AS k FROM trades UNION ALL SELECT ticker, exit_date, -1 FROM trades), o AS (SELECT ticker, date, sum(k) AS k FROM f GROUP BY 1,2),
+c AS (SELECT ticker, date, CAST(sum(k) OVER (PARTITION BY ticker ORDER BY date) AS BIGINT) // 4 AS n_open FROM o), d AS (SELECT ticker, exit_date AS date, sum(pnl_pct)/50 AS daily_pnl FROM trades GROUP BY 1,2),
+w AS (SELECT d.*, n_open, CASE day(d.date) % 3 WHEN 0 THEN 'BULL' WHEN 1 THEN 'bear' ELSE 'neutral' END AS regime, sum(daily_pnl) OVER (PARTITION BY d.ticker ORDER BY d.date RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS weekly_pnl FROM d JOIN c ON c.ticker=d.ticker AND c.date=d.date),
+m AS (SELECT *, n_open >= CASE regime WHEN 'BULL' THEN 6 WHEN 'bear' THEN 3 ELSE 2 END AS reached FROM w)
+SELECT ticker, date, n_open, regime, reached AS max_positions_reached, NOT (daily_pnl < -0.00301 OR weekly_pnl < -0.00701 OR reached) AS can_open FROM m""")
+def _(t):
+    """Open positions per key and day (entries less exits so far, in lots of four) against what the regime allows."""
+    tr = t.trades()
+    flow = tr.select("ticker", F.col("entry_date").alias("date"), F.lit(1).alias("k")).unionByName(tr.select("ticker", F.col("exit_date").alias("date"), F.lit(-1).alias("k")))
+    daily = flow.groupBy("ticker", "date").agg(F.sum("k").alias("k"))
+    n_open = daily.select("ticker", "date", F.floor(F.sum("k").over(Window.partitionBy("ticker").orderBy("date")) / 4).alias("n_open"))
+    regime = F.when(F.day("date") % 3 == 0, "BULL").when(F.day("date") % 3 == 1, "bear").otherwise("neutral")
+    d = tr.groupBy("ticker", F.col("exit_date").alias("date")).agg((F.sum("pnl_pct") / 50).alias("daily_pnl")).join(n_open, ["ticker", "date"]).withColumn("regime", regime)
+    out = equity.trailing_pnl_limits(d, daily_limit=-0.00301, weekly_limit=-0.00701, group=["ticker"], n_open="n_open", regime="regime")
+    return out.select("ticker", "date", "n_open", "regime", "max_positions_reached", "can_open")
+
+
 @query("m06_effective_ic", f"""WITH w AS ({MONTHLY}), g AS (SELECT count(*) AS n, stddev_pop(ic) AS sd, avg(abs(ic)) AS m FROM w), c AS (SELECT count(*) FILTER (post_count_1d >= 5)/count(*) AS cov FROM panel)
 SELECT n AS n_windows, {r('0.05*least(cov,1)*greatest(0,least(1,1-sd/m)) - 0.12/252*5', 'effective_ic')}, {r('round(cov,4)', 'coverage')}, {r('round(greatest(0,least(1,1-sd/m)),4)', 'stability')}, {r('round(0.12/252*5,6)', 'turnover_penalty')} FROM g, c""")
 def _(t):
@@ -500,7 +517,7 @@ SELECT *, CASE WHEN r1 AND r2a AND r3 AND r4 AND r2b THEN 'ADOPT' WHEN r1 AND r2
 @query("m27_adoption_verdict", VERDICT)
 def _(t):
     m = lambda c: ic.grouped_ic(t.panel(), c, Y, F.date_format("date", "yyyy-MM"))
-    perm = resample.permutation_test(_numbered(t), "row_index", "pred", "actual", B)
+    perm = resample.permutation_test(_numbered(t), "row_index", "pred", "actual", PERMUTED)
     return studies.adoption_verdict(ic.regime_gate(m("returns_1d")), perm, ic.effective_ic(m("returns_1d").where("ic IS NOT NULL"), 0.05, 1, 2),
                                     m("returns_1d"), m("sentiment_1d"))
 
