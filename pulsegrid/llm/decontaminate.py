@@ -26,7 +26,7 @@ from pulsegrid.llm.common import stage
 
 SHINGLE = 5
 BLOCKS, BLOCK_BITS, RADIUS = 8, 8, 23
-#: A side of a join is broadcast only if it was counted and has at most this many rows.
+#: A side of a join is broadcast only if it was counted and has at most this many rows or listed entries.
 BROADCAST_ROWS = 1_000_000
 NO_WORD = r"[^\p{L}\p{M}\p{N}]+"
 LANE = 0x0000000100000001
@@ -64,9 +64,10 @@ def near_values() -> list[int]:
     return [sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), n)]
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it is provably small, else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, listed: str | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it was counted and is small, else as it is. Entries of the array ``listed`` count as rows."""
+    size = df.agg(F.sum(F.size(listed)) if listed else F.count("*")).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_ROWS else df
 
 
 def prepared(benchmark: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
     hits = reduce(DataFrame.unionByName, seen).join(probe, ["k", "h"])
     per_doc = stage(hits.groupBy("key", "k").agg(F.collect_set(F.struct("pos", "w")).alias("hits")), "hits")
 
-    touched = docs.join(small(per_doc), "key").select("key", "k", "hits", words(F.col("text")).alias("ws"))
+    touched = docs.join(small(per_doc, "hits"), "key").select("key", "k", "hits", words(F.col("text")).alias("ws"))
     arrays = touched.select("key", "k", "hits", F.size("ws").alias("n"), reduce(lambda rest, n: F.when(F.col("k") == n, shingles(F.col("ws"), n)).otherwise(rest), sizes[1:], shingles(F.col("ws"), sizes[0])).alias("all"))
     starts = F.flatten(F.transform("hits", lambda x: F.transform(
         F.sequence(F.greatest(F.lit(0), x["pos"] - (x["w"] - F.col("k"))), F.least(x["pos"], F.greatest(F.lit(0), F.col("n") - x["w"]))),
@@ -133,7 +134,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, percent: int = 80)
     """
     found = matches(documents, benchmark, percent)
     per_doc = stage(found.groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("ids"), F.max("similarity").alias("best")), "contaminated")
-    rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("key")).join(small(per_doc), "key", "left")
+    rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("key")).join(small(per_doc, "ids"), "key", "left")
     return rows.select(
         "doc_id", F.col("ids").isNotNull().alias("contaminated"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce(F.array_join("ids", ","), F.lit("")).alias("item_ids"), F.coalesce("best", F.lit(0.0)).alias("similarity"),
