@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import slices, stage, width
-from pulsegrid.llm.shingling import mixed, powers
+from pulsegrid.llm.shingling import BATCH_BYTES, mixed, powers
 
 LENGTH, GRAM, BLOCK = 400, 32, 64
 #: Segments of one core that one task orders together at most, and segments ordered at once.
 GROUP, CHUNK = 2_048, 16_384
 _U = np.uint64
 _POS = 26  # bits of a position within a batch
-PIECE = 1 << 24
+PIECE = 1 << 22
 
 
 def data_of(column: pa.Array) -> list[bytes]:
@@ -63,7 +63,7 @@ def anchors(docs: list[bytes], length: int) -> list[tuple[np.ndarray, ...]]:
             shifted = [(h, *(x + at * PIECE for x in rest)) for at, (h, *rest) in enumerate(found)]
             out[i] = tuple(map(np.concatenate, zip(*shifted, strict=True)))
             continue
-        if part and sum(len(docs[j]) for j in part) + len(docs[i]) >= 1 << 22:
+        if part and sum(len(docs[j]) for j in part) + len(docs[i]) >= BATCH_BYTES:
             anchored(docs, part, length, out)
             part = []
         part.append(i)
@@ -234,7 +234,7 @@ def counted(hot: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(out, pa.schema([("segment", pa.binary()), ("x", pa.int32()), ("window", pa.binary())]))
 
     windows = stage(hot.mapInArrow(run, "segment binary, x int, window binary"), "windows")
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    twice = stage(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "twice")
     # a window as a run of its own; runs of one segment meet again when spans are merged
     return windows.join(twice, "window").select("segment", F.array(F.array("x", "x")).alias("runs"))
 
@@ -259,7 +259,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> tuple[DataFram
     docs = documents.select("doc_id", "text").withColumn("row", F.unhex(F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text")))))
     rows = stage(scanned(docs, length), "rows")
     spots = rows.select("row", F.explode("anchors").alias("a")).select("row", "a.*")
-    twice = spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # settled, so that both sides of the join below are plain exchanges, which Spark can split where an anchor is hot
+    twice = stage(spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
     listed = spots.join(twice, "h").groupBy("row").agg(F.collect_set(F.struct("pos", "lo", "hi")).alias("spans"))
     suspects = stage(docs.join(listed, "row").select("row", "text", "spans"), "suspects")
 

@@ -7,18 +7,23 @@ import numpy as np
 WORDS_PER_SHINGLE = 5
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes hashed at once (a longer text is hashed alone), and powers that a worker keeps.
+BATCH_BYTES, KEPT_POWERS = 1 << 20, (1 << 20) + 4096
 _powers = [np.ones(1, _U), np.ones(1, _U)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            steps = np.full(size, base, _U)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    fresh = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        steps = np.full(max(n, KEPT_POWERS), base, _U)
+        steps[0] = 1
+        fresh.append(np.multiply.accumulate(steps))
+    if n <= KEPT_POWERS:
+        _powers[:] = fresh
+    return fresh[0][:n], fresh[1][:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -48,7 +53,18 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer words than a shingle make one, no words none."""
-    hashes, counts = word_hashes([t.encode("utf-8", "surrogatepass") for t in texts])
+    out, part, size = [], [], 0
+    for raw in (t.encode("utf-8", "surrogatepass") for t in texts):
+        if part and size + len(raw) >= BATCH_BYTES:
+            out += _sets(part)
+            part, size = [], 0
+        part.append(raw)
+        size += len(raw) + 1
+    return out + _sets(part) if part else out
+
+
+def _sets(texts: list[bytes]) -> list[np.ndarray]:
+    hashes, counts = word_hashes(texts)
     k = WORDS_PER_SHINGLE
     rolled = np.zeros(max(0, len(hashes) - k + 1), _U)
     for j in range(k):
