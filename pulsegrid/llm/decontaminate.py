@@ -22,12 +22,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import stage
+from pulsegrid.llm.common import small, stage
 
 SHINGLE = 5
 BLOCKS, BLOCK_BITS, RADIUS = 8, 8, 23
-#: A side of a join is broadcast only if it was counted and has at most this many rows or listed entries.
-BROADCAST_ROWS = 1_000_000
 NO_WORD = r"[^\p{L}\p{M}\p{N}]+"
 LANE = 0x0000000100000001
 
@@ -64,12 +62,6 @@ def near_values() -> list[int]:
     return [sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), n)]
 
 
-def small(df: DataFrame, listed: str | None = None) -> DataFrame:
-    """``df`` marked for broadcast if it was counted and is small, else as it is. Entries of the array ``listed`` count as rows."""
-    size = df.agg(F.sum(F.size(listed)) if listed else F.count("*")).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_ROWS else df
-
-
 def prepared(benchmark: DataFrame) -> DataFrame:
     """``item_id, w, k, hashes, counts, print`` of every item that has words."""
     items = benchmark.select("item_id", words(F.col("text")).alias("ws")).where(F.size("ws") > 0).distinct()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import slices, stage, texts_of
+from pulsegrid.llm.common import slices, small, stage, texts_of
 from pulsegrid.llm.graph import components
 from pulsegrid.llm.shingling import shingle_sets
 
@@ -27,7 +27,7 @@ from pulsegrid.llm.shingling import shingle_sets
 COSTLY = 24
 #: Spare shingles beyond the usual prefix: this many, or this share of the set.
 SPARE, SPARE_SHARE = 4, 0.04
-STAR_ROUNDS = 4
+STAR_ROUNDS = 6
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -53,12 +53,12 @@ def sketches(documents: DataFrame, percent: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary, prefix binary")
 
 
-def rows_of(sets: DataFrame, column: str) -> DataFrame:
-    """``node, n, token, pos`` for the shingles packed in ``column``."""
+def rows_of(sets: DataFrame) -> DataFrame:
+    """``node, n, token, pos`` for the shingles packed in ``prefix``."""
 
     def run(batches):
         for b in slices(batches, 2048):
-            parts = [np.frombuffer(x, np.int64) for x in b[column].to_pylist()]
+            parts = [np.frombuffer(x, np.int64) for x in b["prefix"].to_pylist()]
             sizes = np.array([len(p) for p in parts])
             if not sizes.sum():
                 continue
@@ -68,45 +68,68 @@ def rows_of(sets: DataFrame, column: str) -> DataFrame:
                 ["node", "n", "token", "pos"],
             )
 
-    return sets.select("node", "n", column).mapInArrow(run, "node long, n long, token long, pos int")
+    return sets.select("node", "n", "prefix").mapInArrow(run, "node long, n long, token long, pos int")
+
+
+def occupied(shingles: np.ndarray) -> bytes:
+    """A bit map of the set: bit h mod m is set for each hash h, with m a power of two of at least twice the set."""
+    bits = np.zeros(max(64, 1 << int(2 * len(shingles) - 1).bit_length()), bool)
+    bits[(shingles & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of how many elements are in just one of two sets: the bits in which their maps differ."""
+    left, right = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    folded = np.bitwise_or.reduce(right.reshape(-1, len(left)), axis=0)
+    return int(np.bitwise_count(left ^ folded).sum())
 
 
 def whole_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, n, shingles`` of the documents in ``nodes``, from their texts."""
+    """``node, n, shingles, bits`` of the documents in ``nodes``, from their texts."""
 
     def run(batches):
         for b in slices(batches):
             sets = shingle_sets(texts_of(b["text"]))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "shingles"])
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([occupied(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *columns], ["node", "n", "shingles", "bits"])
+
+    wanted = stage(nodes.select(F.col("node").alias("doc_id")), "nodes")
+    source = documents.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi")  # texts stay where they are if few are wanted
+    return source.mapInArrow(run, "node long, n long, shingles array<long>, bits binary")
 
-    return documents.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "node long, n long, shingles binary")
+
+def with_sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Pairs with ``column`` and set size of both sides, as ``x, n`` and ``y, m``."""
+    left = sets.select(F.col("node").alias("a"), F.col(column).alias("x"), "n")
+    right = sets.select(F.col("node").alias("b"), F.col(column).alias("y"), F.col("n").alias("m"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m")
 
 
 def verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a, b``) whose whole sets are similar enough."""
-    pairs = stage(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs
+    """Of the settled ``pairs`` (``a, b``) those whose whole sets are similar enough.
+
+    Bit maps, a fraction of the sets' size, rule out most pairs before whole sets are moved; they rule out none
+    that is similar enough.
+    """
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = stage(whole_sets(documents, nodes), "sets")
 
-    def run(batches):
-        for batch in batches:
-            for b in slices([batch], 512):
-                keep = []
-                for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True):
-                    left, right = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    same = len(np.intersect1d(left, right, assume_unique=True))
-                    keep.append(100 * same >= percent * (len(left) + len(right) - same))
-                yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def near(batches):
+        for b in slices(batches, 512):
+            rows = zip(*(b[c].to_pylist() for c in ("x", "y", "n", "m")), strict=True)
+            mask = [least_difference(x, y) * (100 + percent) <= (100 - percent) * (n + m) for x, y, n, m in rows]
+            yield b.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
+    may = with_sides(pairs, sets, "bits").mapInArrow(near, "a long, b long").distinct()
+    same = F.size(F.array_intersect("x", "y"))
+    full = with_sides(may, sets, "shingles").select("a", "b", "n", "m", same.alias("same"))
+    return stage(full.where(F.col("same") * 100 >= (F.col("n") + F.col("m") - F.col("same")) * percent).select("a", "b").distinct(), "verified")
 
 
 def final_prefixes(reps: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """``token, node, n`` of the shingles that make candidates, each held by at least two documents."""
-    rows = rows_of(reps, "prefix")
+    rows = rows_of(reps)
     held = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = stage(rows.join(held, "token"), "shared")
     need = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100) + 1  # as prefix_size
@@ -121,7 +144,8 @@ def final_prefixes(reps: DataFrame, documents: DataFrame, percent: int) -> DataF
         .where(F.col("pos") < F.coalesce("end", need)).select("token", "node", "n")
     )
     # documents without enough cheap shingles: their whole sets, cheap ones first, costly ones after them
-    heavy_sets = rows_of(stage(whole_sets(documents, ends.where("dense")), "dense"), "shingles")
+    heavy_sets = whole_sets(documents, ends.where("dense")).select("node", "n", F.posexplode("shingles").alias("pos", "token"))
+    heavy_sets = stage(heavy_sets, "dense")
     named = costly.select("token").distinct().withColumn("costly", F.lit(1))
     ranked = heavy_sets.join(named, "token", "left").select("token", "node", "n", "pos", F.coalesce("costly", F.lit(0)).alias("costly"))
     cheap = ranked.where("costly = 0").groupBy("node").agg(F.sort_array(F.collect_list("pos")).alias("at0"))
@@ -153,11 +177,16 @@ def similar_links(reps: DataFrame, documents: DataFrame, percent: int) -> DataFr
             .select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b"), F.least("n", "top.n").alias("n"), F.greatest("n", "top.n").alias("m"))
             .where(fits).select("a", "b").distinct()
         )
+        pairs = stage(pairs, "pairs")
+        tried = pairs.count()
+        if not tried:
+            break
         found = verified(pairs, documents, percent)
-        if not found.isEmpty():
+        hits = found.count()
+        if hits:
             links = found if links is None else stage(links.unionByName(found), "found")
             label = stage(components(links).withColumnRenamed("component", "comp"), "labels")
-        else:
+        if turn and 2 * hits < tried:  # rounds pay while they mostly join; what is left is compared below
             break
     named = rows.withColumn("comp", F.col("node")) if label is None else rows.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
@@ -166,7 +195,7 @@ def similar_links(reps: DataFrame, documents: DataFrame, percent: int) -> DataFr
     pairs = (
         open_rows.withColumnRenamed("node", "a").join(other, "token").where("comp <> other AND (n < m OR (n = m AND a < b))").where(fits).select("a", "b").distinct()
     )
-    found = verified(pairs, documents, percent)
+    found = verified(stage(pairs, "pairs"), documents, percent)
     return found if links is None else links.unionByName(found)
 
 
