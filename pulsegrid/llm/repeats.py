@@ -10,7 +10,7 @@ A byte goes if a string of ``length`` bytes that covers it starts anywhere else
 * Segments with equal cores are compared column by column, from the right: each round inserts one symbol per
   segment, updating the sorted order of the suffixes that start in this column (the column's part of the
   collection's Burrows-Wheeler transform) and the common prefix of neighbours. The core is one symbol. Columns lie
-  in a sequential file, so that a round holds one column. Windows are aligned by their anchors, hence suffixes of
+  in a sequential file below the shared folder, and a round holds one column. Windows are aligned by their anchors, so suffixes of
   one round are all that need comparing. A window is repeated where a neighbour shares ``length`` bytes.
 * A core with more than ``GROUP`` different surroundings is split: its windows are counted one by one.
 """
@@ -18,7 +18,7 @@ A byte goes if a string of ``length`` bytes that covers it starts anywhere else
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import slices, stage, width
 from pulsegrid.llm.shingling import BATCH_BYTES, mixed, powers
+from pulsegrid.llm.warc import create, opened
+from pulsegrid.session import scratch_path
 
 LENGTH, GRAM, BLOCK = 400, 32, 64
 #: Segments of one core that one task orders together at most, and segments ordered at once.
@@ -157,7 +159,7 @@ def insert_column(order: np.ndarray, common: np.ndarray, symbols: np.ndarray, we
     return put, out
 
 
-def repeated_windows(core: np.ndarray, before: list[bytes], after: list[bytes], length: int) -> np.ndarray:
+def repeated_windows(core: np.ndarray, before: list[bytes], after: list[bytes], length: int, folder: str) -> np.ndarray:
     """Segments x ``BLOCK``: which windows another segment of the collection has too. Rounds go from right to left."""
     n, side = len(core), BLOCK - 1
     left, right = np.full((side, n), 256, np.uint16), np.full((side, n), 256, np.uint16)  # 256: beyond the covered bytes
@@ -171,11 +173,13 @@ def repeated_windows(core: np.ndarray, before: list[bytes], after: list[bytes],
         near = common >= length
         hit[order, x] = near | np.append(near[1:], False)
 
-    with tempfile.TemporaryFile() as columns:
+    name = f"{folder}/{uuid.uuid4().hex}"
+    with create(name) as columns:
         for c in (*right[::-1], *left[::-1]):
             columns.write(c.tobytes())
-        del left, right
-        columns.seek(0)
+    del left, right
+    system, path = opened(name)
+    with system.open_input_stream(path) as columns:
         for _ in range(side):
             order, common = insert_column(order, common, np.frombuffer(columns.read(2 * n), np.uint16), 1)
         order, common = insert_column(order, common, core, length - side)
@@ -183,15 +187,16 @@ def repeated_windows(core: np.ndarray, before: list[bytes], after: list[bytes],
         for x in range(side - 1, -1, -1):
             order, common = insert_column(order, common, np.frombuffer(columns.read(2 * n), np.uint16), 1)
             mark(x)
+    system.delete_file(path)
     return hit
 
 
-def compared(groups: DataFrame, length: int) -> DataFrame:
+def compared(groups: DataFrame, length: int, folder: str) -> DataFrame:
     """``segment, x`` of repeated windows, for segments dealt and sorted by core."""
 
     def work(held: list[tuple]) -> pa.RecordBatch:
         number = {c: i for i, c in enumerate(dict.fromkeys(h[1] for h in held))}
-        hit = repeated_windows(np.array([number[h[1]] for h in held], np.int64), [h[2] for h in held], [h[3] for h in held], length)
+        hit = repeated_windows(np.array([number[h[1]] for h in held], np.int64), [h[2] for h in held], [h[3] for h in held], length, folder)
         lo, hi = np.array([h[4] for h in held])[:, None], np.array([h[5] for h in held])[:, None]
         x = np.arange(BLOCK)[None, :]
         hit &= (x >= lo) & (x <= hi)
@@ -269,7 +274,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> tuple[DataFram
     groups = stage(kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1"), "groups")
     several = kinds.join(groups, "core")
     ordered = several.where(F.col("kinds") <= GROUP).repartition(width(documents.sparkSession), "core").sortWithinPartitions("core")
-    runs = compared(ordered, length).unionByName(counted(several.where(F.col("kinds") > GROUP)))
+    runs = compared(ordered, length, scratch_path(documents.sparkSession, "columns")).unionByName(counted(several.where(F.col("kinds") > GROUP)))
     alone = kinds.where("n = 1").select("segment").join(runs, "segment")  # segments that occur twice are repeated throughout
     whole = kinds.where("n > 1").select("segment", F.array(F.array("lo", "hi")).alias("runs"))
     hits = stage(alone.unionByName(whole), "repeated")
