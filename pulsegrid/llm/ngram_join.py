@@ -112,8 +112,8 @@ def verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     Bit maps, a fraction of the sets' size, rule out most pairs before whole sets are moved; they rule out none
     that is similar enough.
     """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stage(whole_sets(documents, nodes), "sets")
+    nodes = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    maps = stage(whole_sets(documents, nodes(pairs)).select("node", "n", "bits"), "maps")
 
     def near(batches):
         for b in slices(batches, 512):
@@ -121,7 +121,8 @@ def verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
             mask = [least_difference(x, y) * (100 + percent) <= (100 - percent) * (n + m) for x, y, n, m in rows]
             yield b.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
-    may = with_sides(pairs, sets, "bits").mapInArrow(near, "a long, b long").distinct()
+    may = stage(with_sides(pairs, maps, "bits").mapInArrow(near, "a long, b long").distinct(), "near")
+    sets = stage(whole_sets(documents, nodes(may)).select("node", "n", "shingles"), "sets")  # of the few that are left
     same = F.size(F.array_intersect("x", "y"))
     full = with_sides(may, sets, "shingles").select("a", "b", "n", "m", same.alias("same"))
     return stage(full.where(F.col("same") * 100 >= (F.col("n") + F.col("m") - F.col("same")) * percent).select("a", "b").distinct(), "verified")
