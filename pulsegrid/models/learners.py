@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators.ic import spearman
 from pulsegrid.operators.resample import mix
+from pulsegrid.session import settle
 
 
 def assemble(df: DataFrame, features: Sequence[str], out="features") -> DataFrame:
@@ -90,6 +91,12 @@ def train_horizon(panel: DataFrame, features: Sequence[str], target: str, *, val
     return final, n_best, ic.join(directional_accuracy(scored, "pred", target, ["period"]).drop("n"), "period")
 
 
+def year_windows(panel: DataFrame, target: str, *, time="date", width=3) -> list[tuple[tuple[int, ...], tuple[int]]]:
+    """Every window of ``width`` years with labelled rows and the year that follows it."""
+    years = sorted(r[0] for r in panel.where(F.col(target).isNotNull()).select(F.year(time)).distinct().collect())
+    return [(tuple(years[i - width:i]), (years[i],)) for i in range(width, len(years))]
+
+
 def walk_forward_ics(panel: DataFrame, sets: dict[str, Sequence[str]], windows: Sequence[tuple[Sequence[int], Sequence[int]]],
                      target: str, *, time="date", n_trees=10, step=0.05, depth=4, min_train=100, min_test=30) -> DataFrame:
     """One fit per window and feature set; predictions stay distributed, ICs form one table."""
@@ -120,15 +127,15 @@ def shuffle_columns(df: DataFrame, columns: Sequence[str], row_id: str, replicat
 def refit_permutation(train: DataFrame, test: DataFrame, features: Sequence[str], shuffled: Sequence[str], target: str,
                       row_id: str, *, n=20, n_trees=10, depth=2) -> DataFrame:
     """IC of models refitted on shuffled columns; a bounded number of refits."""
-    def ic_of(tr: DataFrame, b: int) -> DataFrame:
+    spark = train.sparkSession
+    train, test = settle(train), settle(test)  # read once per refit
+
+    def ic_of(tr: DataFrame, b: int) -> tuple[int, float | None]:
         m = fit_stumps(tr, features, target, n_trees=n_trees, step=0.05, subsample=0.8, depth=depth)
-        return spearman(m.transform(assemble(test, features)), "pred", target, min_n=20).select(F.lit(b).alias("b"), "ic")
-    real = ic_of(train, 0)
-    null = None
-    for b in range(1, n + 1):
-        r = ic_of(shuffle_columns(train, shuffled, row_id, b), b)
-        null = r if null is None else null.unionByName(r)
-    return null.crossJoin(F.broadcast(real.select(F.col("ic").alias("real_ic")))).agg(  # one row
+        return b, spearman(m.transform(assemble(test, features)), "pred", target, min_n=20).first().ic  # one row
+    real = spark.createDataFrame([ic_of(train, 0)], "b int, real_ic double").select("real_ic")
+    null = spark.createDataFrame([ic_of(shuffle_columns(train, shuffled, row_id, b), b) for b in range(1, n + 1)], "b int, ic double")
+    return null.crossJoin(F.broadcast(real)).agg(  # one row
         F.max("real_ic").alias("real_ic"), F.avg("ic").alias("perm_ic_mean"), F.stddev_pop("ic").alias("perm_ic_std"),
         F.avg((F.col("ic") >= F.col("real_ic")).cast("double")).alias("p_value"), F.count(F.lit(1)).alias("n_permutations"),
     ).withColumns({"stage_a_pass": F.col("p_value") < 0.10, "stage_b_pass": F.col("p_value") < 0.05})

@@ -132,27 +132,27 @@ def _(t):
 @query("m20_boosted_stumps")
 def _(t):
     """Tree count chosen on validation rows; IC and accuracy per period."""
-    _m, _n, report = learners.train_horizon(t.panel(), FEATS, Y, val_start="1998-07-01", test_start="1999-01-01", gate=3, n_trees=10, every=5)
+    _m, _n, report = learners.train_horizon(t.panel(), FEATS, Y, val_start="1998-07-01", test_start="1999-01-01", gate=3, n_trees=1000, every=5)
     return report
 
 
 @query("m21_walk_forward_ablation")
 def _(t):
     sets = {"market": ["returns_1d", "returns_20d", "relative_volume"], "all": FEATS}
-    wins = [((1995, 1996, 1997), (1998,)), ((1996, 1997, 1998), (1999,))]
-    return learners.walk_forward_ics(t.panel(), sets, wins, Y, n_trees=3, depth=2)
+    p = t.panel()
+    return learners.walk_forward_ics(p, sets, learners.year_windows(p, Y), Y, n_trees=500, depth=4)
 
 
 @query("m22_refit_permutation")
 def _(t):
     p = t.panel().where(F.col(Y).isNotNull()).select("ticker", "date", "year", Y, *FEATS)
     tr = row_index(p.where("year <= 1997"), ["date", "ticker"], F.datediff("date", F.lit("1970-01-01").cast("date")).cast("double"))
-    return learners.refit_permutation(tr, p.where("year = 1998"), FEATS, ["sentiment_1d"], Y, "row_index", n=2, n_trees=3)
+    return learners.refit_permutation(tr, p.where("year > 1997"), FEATS, ["sentiment_1d"], Y, "row_index", n=100, n_trees=500, depth=4)
 
 
 @query("m23_learning_curve")
 def _(t):
-    return learners.learning_curve(t.panel(), FEATS, Y, test_start="1999-01-01", shares=(0.5, 1.0), n_trees=3)
+    return learners.learning_curve(t.panel(), FEATS, Y, test_start="1999-01-01", shares=(0.25, 0.5, 0.75, 1.0), n_trees=100)
 
 
 @query("m24_logistic_regime")
@@ -160,7 +160,7 @@ def _(t):
     """Balanced two-class model on bars, by-year split, precision and recall on later years."""
     p = t.panel().where(F.col(Y).isNotNull()).withColumn("up", F.when(F.col(Y) > 0, "up").otherwise("down"))
     tr = learners.balanced_weights(p.where("split = 'train'"), "up")
-    model, labels = learners.fit_logistic(tr, FEATS, "up", weight="class_weight", max_iter=20)
+    model, labels = learners.fit_logistic(tr, FEATS, "up", weight="class_weight", max_iter=1000)
     return rollups.confusion(learners.predict_logistic(model, labels, p.where("split = 'test'"), FEATS), "up", "pred_label")
 
 
@@ -171,5 +171,5 @@ def _(t):
     d = t.posts().where("sentiment_label IS NOT NULL").withColumns({
         "log_score": F.log1p(F.greatest(F.col("score"), F.lit(0)).cast("double")), "log_comments": F.log1p(F.col("num_comments").cast("double"))})
     d = learners.time_ordered_share(d)
-    model, labels = learners.fit_logistic(d.where("is_train"), cols, "sentiment_label", max_iter=20)
+    model, labels = learners.fit_logistic(d.where("is_train"), cols, "sentiment_label", max_iter=1000)
     return rollups.confusion(learners.predict_logistic(model, labels, d.where("NOT is_train"), cols), "sentiment_label", "pred_label")
