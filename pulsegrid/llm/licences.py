@@ -2,7 +2,8 @@
 
 Texts are cut into sentences, sentences are normalised, known ones are mapped to identifiers, and the
 sequence of identifiers is matched against ordered rules. Unknown sentences are skipped, so a notice may be
-interrupted by other text.
+interrupted by other text. Pieces between line breaks are also looked up joined, so a known sentence may be
+wrapped anywhere.
 """
 
 from __future__ import annotations
@@ -86,12 +87,44 @@ def normalised(sentence: str) -> str:
     return _OTHER.sub(" ", sentence.lower()).strip(" ")
 
 
-def sentences_of(text: str) -> list[str]:
-    """The raw sentences of a text, comment marks at line starts removed."""
+def blocks_of(text: str) -> list[list[str]]:
+    """The raw text between ends of sentences by punctuation, each as its pieces between line breaks that may end one; comment marks at line starts removed."""
     text = _MARK.sub("\n", "\n" + text)
-    for pattern, to in _ENDS:
-        text = pattern.sub(to, text)
-    return text.split("\x01")
+    (stop, to), *breaks = _ENDS
+    blocks = stop.sub(to, text).split("\x01")
+    for pattern, to in breaks:
+        blocks = [pattern.sub(to, b) for b in blocks]
+    return [b.split("\x01") for b in blocks]
+
+
+def sentences_of(text: str) -> list[str]:
+    """The raw sentences of a text, where every line break that may end one does."""
+    return [p for block in blocks_of(text) for p in block]
+
+
+def starts_of(table: dict[str, str]) -> set[str]:
+    """Every run of first words of the known sentences."""
+    return {" ".join(words[:i]) for words in map(str.split, table) for i in range(1, len(words) + 1)}
+
+
+def known_in(text: str, table: dict[str, str], starts: set[str]) -> list[str]:
+    """Identifiers of the known sentences of a text: from each piece on, the longest join of pieces that is known."""
+    found = []
+    for block in blocks_of(text):
+        pieces = [p for p in map(normalised, block) if p]
+        at = 0
+        while at < len(pieces):
+            joined, end, hit = pieces[at], at + 1, None
+            while joined in starts:
+                if joined in table:
+                    hit, after = table[joined], end
+                if end == len(pieces):
+                    break
+                joined, end = f"{joined} {pieces[end]}", end + 1
+            if hit:
+                found.append(hit)
+            at = after if hit else at + 1
+    return found
 
 
 def known_parts(sentences: dict[str, str]) -> tuple[dict[str, str], dict[str, list[str]]]:
@@ -99,7 +132,7 @@ def known_parts(sentences: dict[str, str]) -> tuple[dict[str, str], dict[str, li
     table: dict[str, str] = {}
     parts_of: dict[str, list[str]] = {}
     for name, text in sentences.items():
-        parts = [p for p in map(normalised, sentences_of(text)) if p]
+        parts = [p for p in map(normalised, sentences_of(" ".join(text.split()))) if p]
         for i, part in enumerate(parts):
             table.setdefault(part, name if len(parts) == 1 else f"{name}#{i}")
         parts_of[name] = [table[p] for p in parts]
@@ -117,14 +150,12 @@ def licence_scan(documents: DataFrame, sentences: dict[str, str] | None = None,
     results; a repeated sentence counts each time; an empty table gives no rows; other columns are ignored.
     """
     table, parts_of = known_parts(sentences or SENTENCES)
+    starts = starts_of(table)
     ordered = [(name, "".join(f">{p}" for s in seq for p in parts_of[s]) + ">") for name, seq in (rules or RULES)]
 
     def run(batches):
         for b in slices(batches):
-            ids = []
-            for text in texts_of(b["text"]):
-                found = (table.get(normalised(s)) for s in sentences_of(text))
-                ids.append([i for i in found if i])
+            ids = [known_in(text, table, starts) for text in texts_of(b["text"])]
             chains = ["".join(f">{i}" for i in x) + ">" for x in ids]
             names = [",".join(sorted({n for n, seq in ordered if seq in c})) for c in chains]
             yield pa.RecordBatch.from_arrays(
@@ -136,7 +167,7 @@ def licence_scan(documents: DataFrame, sentences: dict[str, str] | None = None,
 
 
 def check_sql() -> str:
-    """The same scan for DuckDB."""
+    """The same scan for DuckDB, without the lookup of joined pieces."""
     table, parts_of = known_parts(SENTENCES)
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in table.items())
