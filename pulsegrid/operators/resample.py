@@ -108,13 +108,16 @@ def bootstrap_summary(ics: DataFrame, limit=0.03) -> DataFrame:
     ).withColumn("verdict", F.when(F.col("ic_std") < limit, "STABLE").otherwise("UNSTABLE"))
 
 
-def block_bootstrap(df: DataFrame, row_id: str, value: str, block=5, n_boot=1000) -> DataFrame:
-    """M5: Sharpe per replicate of a moving-block resample of numbered rows 1..n."""
+def block_bootstrap(df: DataFrame, row_id: str, value: str, block=5, n_boot=1000, min_n=20) -> DataFrame:
+    """M5: Sharpe per replicate of a moving-block resample of numbered rows 1..n.
+
+    Fewer than ``min_n`` rows give no replicates, and so a null interval.
+    """
     df = settle(df.select(row_id, value))
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     width = F.greatest(F.lit(1), F.col("_n") - block + 1)
     # one slot per block: rows numbered 1, 1 + block, 1 + 2 block, ...
-    slots = replicates(df.select(row_id).where((F.col(row_id) - 1) % block == 0), n_boot).crossJoin(F.broadcast(n))
+    slots = replicates(df.select(row_id).where((F.col(row_id) - 1) % block == 0), n_boot).crossJoin(F.broadcast(n.where(F.col("_n") >= min_n)))
     start = mix(F.col(row_id), F.col("b")) % width
     step = F.explode(F.sequence(F.lit(0), F.lit(block - 1)))
     pos = slots.select("b", F.col(row_id).alias("_slot"), start.alias("_start"), "_n").withColumn("_k", step).where(
