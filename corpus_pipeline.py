@@ -27,7 +27,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of each near-duplicate component the row with the smallest doc_id; of rows with equal id and text the first as JSON.
 
     Rows without any word are in no group and all stay, also those that share their doc_id with others. Rows with
-    different texts under one doc_id are documents of their own. Rows without a doc_id all stay, copies too.
+    different texts under one doc_id are documents of their own. Rows without a doc_id all stay, any number of exact copies of them too.
     """
     worded = F.coalesce(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")), F.lit(0)) > 0
     named = worded & F.col("doc_id").isNotNull()
