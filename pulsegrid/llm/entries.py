@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from pulsegrid.llm import decontaminate, licences, ngram_join, pieces, pii, quality, repeats, topk, toxicity, warc
+from pulsegrid.llm import decontaminate, licences, ngram_join, pieces, pii, quality, repeats, simhash, topk, toxicity, warc
 from pulsegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that repeated strings of 400 bytes cover."""
     return repeats.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op11_simhash")
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and its component under links of at most 4 differing bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), threshold=4)
