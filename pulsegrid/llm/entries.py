@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from pulsegrid.llm import decontaminate, licences, ngram_join, pieces, pii, quality, repeats, simhash, topk, toxicity, warc
+from pulsegrid.llm import align, decontaminate, licences, ngram_join, pieces, pii, quality, repeats, simhash, spelling, topk, toxicity, warc
 from pulsegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,15 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and its component under links of at most 4 differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), threshold=4)
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the two public tokenizers in every document, with corpus-wide counts of linked id pairs."""
+    return align.alignment(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op12_spelling")
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the corpus with its more frequent form one edit away, and where such forms end."""
+    return spelling.variants(table(spark, sf_dir, "documents", "doc_id", "text"))
