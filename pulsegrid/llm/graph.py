@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import stage
 
 #: A key counts as hot above this many rows, and above this share of all rows; so there are at most ``1 / HOT_SHARE`` hot keys.
-HOT_ROWS, HOT_SHARE = 5_000, 1e-5
+HOT_ROWS, HOT_SHARE = 256, 1e-4
 
 
 def hot_join(rows: DataFrame, looked_up: DataFrame, key: str, total: int) -> DataFrame:

@@ -1,13 +1,20 @@
 """Join of near-equal documents on word shingles, with adaptive multi-match prefixes.
 
-Shingles are ordered by their hash. Two documents with Jaccard similarity of at least t share at least l
-shingles among their first n - ceil(t n) + l, for every l. With l = 1 that is the usual prefix; a shingle that
-many documents hold would then make many candidates. So each document is given the l that its candidate cost
-asks for: one more for every costly shingle that its prefix holds, on a prefix that is longer by as many. As l
-shared shingles are asked for and l - 1 of them may be costly, at least one shared shingle is not, and only
-those make candidates. Documents whose shingles are nearly all costly (members of large groups of copies) keep
-costly shingles too, as the last of their order; within such a group a few rounds compare its members with one
-drawn member, and only members of different components are compared further. Candidates are verified on whole sets.
+Shingles are ordered cheap ones first, then by hash. Two documents with Jaccard similarity of at least t share at
+least l shingles among their first n - ceil(t n) + l, for every l. With l = 1 that is the usual prefix; what many
+documents hold would then make many candidates. So each document gets the l that its candidates are estimated to
+cost, on a prefix that is longer by as many, and a pair is looked at only if its shared prefix shingles, counted,
+reach the smaller l of both. A shingle in more than COSTLY prefixes is costly: prefixes pass over it.
+
+Dense documents have too few cheap shingles for a prefix (members of large groups of near copies, texts made of
+shared passages). Two of them share a cheap shingle, or differ in all their cheap ones, r of one and q of the other,
+and in at least as many costly ones as their numbers of these differ. For the latter kind the prefix is the whole set
+and l is a block: costly shingles are dealt by hash into more parts than similar documents may differ in, so all
+shingles of some part must be shared. No join is on a costly shingle.
+
+Before pairs are compared in full, a few rounds compare the holders of each key with one of them, drawn anew. What
+they link is one component, and only holders of different components are compared further, one link in a group of
+copies being as good as all. Candidates are verified on bit maps, then on whole sets.
 """
 
 from __future__ import annotations
@@ -16,18 +23,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import slices, small, stage, texts_of
-from pulsegrid.llm.graph import components
-from pulsegrid.llm.shingling import shingle_sets
+from pulsegrid.llm.graph import components, hot_join
+from pulsegrid.llm.shingling import mixed, shingle_sets
 
-#: A shingle held by more prefixes than this is costly.
+#: A shingle held by more prefixes (or dense documents) than this is costly.
 COSTLY = 24
 #: Spare shingles beyond the usual prefix: this many, or this share of the set.
 SPARE, SPARE_SHARE = 4, 0.04
-STAR_ROUNDS = 6
+ROUNDS = 3
+#: What a key is: a shingle of prefixes, a cheap shingle of dense documents, a part of their costly ones.
+PREFIX, CHEAP, PART = 0, 1, 2
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -86,34 +95,34 @@ def least_difference(x: bytes, y: bytes) -> int:
 
 
 def whole_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, n, shingles, bits`` of the documents in ``nodes``, from their texts."""
+    """``node, held, n, shingles, bits`` of the documents in ``nodes`` (``node, held``), from their texts."""
 
     def run(batches):
         for b in slices(batches):
             sets = shingle_sets(texts_of(b["text"]))
             columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([occupied(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *columns], ["node", "n", "shingles", "bits"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["held"], *columns], ["node", "held", "n", "shingles", "bits"])
 
-    wanted = stage(nodes.select(F.col("node").alias("doc_id")), "nodes")
-    source = documents.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi")  # texts stay where they are if few are wanted
-    return source.mapInArrow(run, "node long, n long, shingles array<long>, bits binary")
+    wanted = stage(nodes.withColumnRenamed("node", "doc_id"), "nodes")
+    source = documents.select("doc_id", "text").join(small(wanted), "doc_id").select("doc_id", "held", "text")  # texts stay where they are if few are wanted
+    return source.mapInArrow(run, "node long, held long, n long, shingles array<long>, bits binary")
 
 
-def with_sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """Pairs with ``column`` and set size of both sides, as ``x, n`` and ``y, m``."""
-    left = sets.select(F.col("node").alias("a"), F.col(column).alias("x"), "n")
-    right = sets.select(F.col("node").alias("b"), F.col(column).alias("y"), F.col("n").alias("m"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m")
+def with_sides(pairs: DataFrame, sets: DataFrame, column: str, total: int) -> DataFrame:
+    """Pairs with ``column`` and set size of both sides, as ``x, n`` and ``y, m``. Documents in very many pairs are not gathered."""
+    left = sets.select(F.col("node").alias("a"), F.col(column).alias("x"), F.col("n").alias("size"), F.col("held").alias("n"))
+    right = sets.select(F.col("node").alias("b"), F.col(column).alias("y"), F.col("n").alias("m"), F.col("held").alias("n"))
+    return hot_join(hot_join(pairs, left, "a", total), right, "b", total).select("a", "b", "x", "y", F.col("size").alias("n"), "m")
 
 
-def verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """Of the settled ``pairs`` (``a, b``) those whose whole sets are similar enough.
+def verified(pairs: DataFrame, total: int, documents: DataFrame, percent: int) -> DataFrame:
+    """Of the settled ``pairs`` (``a, b``; ``total`` of them) those whose whole sets are similar enough.
 
     Bit maps, a fraction of the sets' size, rule out most pairs before whole sets are moved; they rule out none
     that is similar enough.
     """
-    nodes = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    maps = stage(whole_sets(documents, nodes(pairs)).select("node", "n", "bits"), "maps")
+    nodes = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("held"))
+    maps = stage(whole_sets(documents, nodes(pairs)).select("node", "held", "n", "bits"), "maps")
 
     def near(batches):
         for b in slices(batches, 512):
@@ -121,82 +130,177 @@ def verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
             mask = [least_difference(x, y) * (100 + percent) <= (100 - percent) * (n + m) for x, y, n, m in rows]
             yield b.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
-    may = stage(with_sides(pairs, maps, "bits").mapInArrow(near, "a long, b long").distinct(), "near")
-    sets = stage(whole_sets(documents, nodes(may)).select("node", "n", "shingles"), "sets")  # of the few that are left
+    may = stage(with_sides(pairs, maps, "bits", total).mapInArrow(near, "a long, b long").distinct(), "near")
+    sets = stage(whole_sets(documents, nodes(may)).select("node", "held", "n", "shingles"), "sets")  # of the few that are left
     same = F.size(F.array_intersect("x", "y"))
-    full = with_sides(may, sets, "shingles").select("a", "b", "n", "m", same.alias("same"))
+    full = with_sides(may, sets, "shingles", total).select("a", "b", "n", "m", same.alias("same"))
     return stage(full.where(F.col("same") * 100 >= (F.col("n") + F.col("m") - F.col("same")) * percent).select("a", "b").distinct(), "verified")
 
 
-def final_prefixes(reps: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """``token, node, n`` of the shingles that make candidates, each held by at least two documents."""
+def bands(percent: int) -> list[int]:
+    """Set sizes at which bands begin; similar sets are in one band or in neighbouring ones."""
+    starts = [1]
+    while starts[-1] < 1 << 40:
+        starts.append(max(starts[-1] + 1, -(-100 * starts[-1] // min(percent, 99))))
+    return starts
+
+
+def part_keys(costly: np.ndarray, n: int, percent: int, starts: list[int]) -> np.ndarray:
+    """Keys of the parts of a document's costly shingles.
+
+    Scheme s serves pairs within band s - 1 and between bands s - 1 and s. These differ in at most k shingles, so of
+    k + 1 + z parts at least 1 + z are equal: one that is not empty, unless more than z parts are empty in both, and then both
+    have keys for empty parts too.
+    """
+    band = int(np.searchsorted(starts, n, side="right")) - 1
+    spread, keys = mixed(costly), []
+    for scheme in (band, band + 1):
+        k = (100 - percent) * (starts[scheme] + starts[scheme + 1] - 2) // (100 + percent)
+        spare = 1 + (k + 1) // 12
+        parts = k + 1 + spare
+        at = ((spread >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+        held = np.bincount(at, minlength=parts)
+        sums = np.zeros(parts, np.uint64)
+        np.add.at(sums, at, spread)
+        named = mixed(sums + mixed(np.arange(parts, dtype=np.uint64) + np.uint64(scheme << 32)))
+        keys.append(named if (held == 0).sum() > spare else named[held > 0])
+    return np.concatenate(keys)
+
+
+ROW = "key long, kind int, node long, n long, l int, r int, c int, dense boolean"
+
+
+def parts(dense: DataFrame, percent: int) -> DataFrame:
+    """Keys for the parts of dense documents (``node, n, r, c, costly``) that can be similar to one without a shared cheap shingle."""
+    starts = bands(percent)
+
+    def run(batches):
+        for b in slices(batches, 512):
+            columns = [b[c].to_pylist() for c in ("node", "n", "r", "c", "costly")]
+            keys = [part_keys(np.array(x, np.int64).view(np.uint64), n, percent, starts) for _, n, _, _, x in zip(*columns, strict=True)]
+            sizes = [len(k) for k in keys]
+            if not sum(sizes):
+                continue
+            node, n, r, c = (np.repeat(np.array(x), sizes) for x in columns[:4])
+            key = np.concatenate(keys).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(np.full(len(key), PART, np.int32)), pa.array(node), pa.array(n), pa.array(np.ones(len(key), np.int32)), pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(np.ones(len(key), bool))],
+                ["key", "kind", "node", "n", "l", "r", "c", "dense"],
+            )
+
+    able = dense.where(F.col("r") * (100 + percent) <= (100 - percent) * (F.col("n") + F.floor(F.col("n") * 100 / percent)))
+    return able.select("node", "n", "r", "c", "costly").mapInArrow(run, ROW)
+
+
+def key_rows(reps: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+    """All keys of all documents (``ROW``): similar documents share one of a kind that counts for them."""
     rows = rows_of(reps)
-    held = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = stage(rows.join(held, "token"), "shared")
+    held = stage(rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").withColumn("df", F.col("n")), "held")
+    total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = stage(hot_join(rows.withColumnRenamed("n", "size"), held, "token", total).withColumnRenamed("size", "n"), "shared")
     need = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100) + 1  # as prefix_size
-    # every costly shingle before a position pushes the end of the prefix back by one
-    costly = shared.where(F.col("df") > COSTLY)
-    spots = costly.groupBy("node", "n").agg(F.sort_array(F.collect_list("pos")).alias("spots"))  # at most one prefix of one document
-    grown = F.aggregate("spots", need.cast("int"), lambda end, p: F.when(p < end, end + 1).otherwise(end))
     spare = F.greatest(F.lit(SPARE), F.floor(F.lit(SPARE_SHARE) * F.col("n")).cast("int"))
-    ends = stage(spots.select("node", grown.alias("end"), (grown > F.least(need + spare, F.col("n"))).alias("dense")), "ends")
-    light = (
-        shared.join(ends, "node", "left").where((F.col("df") <= COSTLY) & ~F.coalesce("dense", F.lit(False)))
-        .where(F.col("pos") < F.coalesce("end", need)).select("token", "node", "n")
+    limit = F.least(need + spare, F.col("n"))
+    # every costly shingle before a position pushes the end of the prefix back by one
+    end = lambda extra: F.aggregate("spots", (need + extra).cast("int"), lambda e, p: F.when(p < e, e + 1).otherwise(e))
+    cost = F.sum(F.when((F.col("df") <= COSTLY) & (F.col("pos") < need), F.col("df") - 1).otherwise(0))
+    spots = shared.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.when(F.col("df") > COSTLY, F.col("pos")))).alias("spots"), cost.alias("cost"))  # at most one prefix of one document
+    spots = spots.withColumn("extra", F.least(F.ceil(F.col("cost") / need), spare).cast("int"))
+    fits = end(F.col("extra")) <= limit
+    ends = spots.select("node", F.when(fits, end(F.col("extra"))).otherwise(end(F.lit(0))).alias("end"), F.when(fits, F.col("extra") + 1).otherwise(1).alias("l"), (end(F.lit(0)) > limit).alias("dense"))
+    ends = stage(ends, "ends")
+    light = shared.where(F.col("df") <= COSTLY).join(ends.where("NOT dense"), "node").where(F.col("pos") < F.col("end"))
+    zero, no, yes = F.lit(0), F.lit(False), F.lit(True)
+    light = stage(light.select("token", "node", "n", "l"), "light")
+    # dense documents: whole sets, and how many dense documents hold each shingle
+    whole = stage(whole_sets(documents, ends.where("dense").select("node", F.lit(1).cast("long").alias("held"))).select("node", "n", F.xxhash64("shingles").alias("set"), F.posexplode("shingles").alias("pos", "token")), "dense")
+    passed = held.where(F.col("df") > COSTLY).select("token", yes.alias("passed"))
+    among = stage(whole.groupBy("token").agg(F.count("*").alias("n")).join(passed, "token", "left").select("token", "n", F.col("n").alias("df"), F.coalesce("passed", no).alias("passed")), "among")
+    count = among.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranked = stage(hot_join(whole.withColumnRenamed("n", "size"), among, "token", count).withColumnRenamed("size", "n"), "ranked")
+    dear = F.col("df") > COSTLY
+    per = ranked.groupBy("node", "n", "set").agg(  # of one document's shingles; rows of repeated documents count once
+        F.sort_array(F.collect_set(F.when(~F.col("passed"), F.col("pos")))).alias("ahead"), F.collect_set(F.when(dear, F.col("token"))).alias("costly"),
+    )
+    per = per.withColumn("c", F.size("costly")).withColumn("r", (F.col("n") - F.col("c")).cast("int"))
+    per = stage(per.withColumn("last", F.when(F.size("ahead") > need, F.get("ahead", (need - 1).cast("int"))).otherwise(F.lit(2**31 - 1))), "per")
+    first = ranked.where("NOT passed").join(per.select("node", "set", "last"), ["node", "set"]).where(F.col("pos") <= F.col("last")).select("token", "node", "n")
+    first = first.join(light.select("token").distinct(), "token", "left_semi")
+    cheap = ranked.where(~dear & (F.col("df") > 1)).join(per.select("node", "set", "r", "c"), ["node", "set"])
+    key = lambda kind: F.xxhash64(F.lit(kind), "token").alias("key")
+    one = F.lit(1)
+    found = (
+        light.select(key(PREFIX), F.lit(PREFIX).alias("kind"), "node", "n", "l", zero.alias("r"), zero.alias("c"), no.alias("dense"))
+        .unionByName(first.select(key(PREFIX), F.lit(PREFIX).alias("kind"), "node", "n", one.alias("l"), zero.alias("r"), zero.alias("c"), yes.alias("dense")))
+        .unionByName(cheap.select(key(CHEAP), F.lit(CHEAP).alias("kind"), "node", "n", one.alias("l"), "r", "c", yes.alias("dense")))
+        .unionByName(parts(per, percent))
     )
-    # documents without enough cheap shingles: their whole sets, cheap ones first, costly ones after them
-    heavy_sets = whole_sets(documents, ends.where("dense")).select("node", "n", F.posexplode("shingles").alias("pos", "token"))
-    heavy_sets = stage(heavy_sets, "dense")
-    named = costly.select("token").distinct().withColumn("costly", F.lit(1))
-    ranked = heavy_sets.join(named, "token", "left").select("token", "node", "n", "pos", F.coalesce("costly", F.lit(0)).alias("costly"))
-    cheap = ranked.where("costly = 0").groupBy("node").agg(F.sort_array(F.collect_list("pos")).alias("at0"))
-    dear = ranked.where("costly = 1").groupBy("node").agg(F.sort_array(F.collect_list("pos")).alias("at1"))
-    cut = cheap.join(dear, "node", "full").select("node", F.coalesce("at0", F.array().cast("array<int>")).alias("at0"), F.coalesce("at1", F.array().cast("array<int>")).alias("at1"))
-    heavy = ranked.join(cut, "node")
-    k = need.cast("int")
-    last0 = F.when(F.size("at0") > k, F.get("at0", k - 1)).otherwise(F.lit(2**31 - 1))  # inclusive end among cheap ones
-    left = k - F.size("at0")
-    last1 = F.when(left <= 0, F.lit(-1)).when(F.size("at1") > left, F.get("at1", left - 1)).otherwise(F.lit(2**31 - 1))
-    heavy = heavy.where(F.when(F.col("costly") == 0, F.col("pos") <= last0).otherwise(F.col("pos") <= last1)).select("token", "node", "n")
-    return stage(light.unionByName(heavy), "prefixes")
+    return stage(found, "keys")
+
+
+def may_be_similar(percent: int, n: str, m: str, kind: str, r: str, q: str, c: str, e: str, dense: str, other: str) -> Column:
+    """Whether sizes allow it, and whether the kind of key counts for the pair."""
+    n, m, kind, r, q, c, e = map(F.col, (n, m, kind, r, q, c, e))
+    sizes = (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+    counts = F.when(kind == PREFIX, ~(F.col(dense) & F.col(other))).when(kind == PART, (r + q + F.abs(c - e)) * (100 + percent) <= (100 - percent) * (n + m)).otherwise(True)
+    return sizes & counts
+
+
+def labelled(rows: DataFrame, label: DataFrame | None) -> DataFrame:
+    if label is None:
+        return rows.withColumn("comp", F.col("node"))
+    return rows.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def open_pairs(rows: DataFrame, total: int, percent: int) -> DataFrame:
+    """Pairs (``a, b``) of different components that share as many keys as they must. ``rows`` are key rows with ``comp``."""
+    spread = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("dense").alias("all_dense"), F.min("kind").alias("of"), F.count("*").alias("n"))
+    mixed_keys = stage(spread.where(f"lo <> hi AND NOT (of = {PREFIX} AND all_dense)").select("key", "n"), "mixed")
+    left = stage(hot_join(rows.withColumnRenamed("n", "size"), mixed_keys, "key", total), "open")
+    ours, theirs = (["key", "kind", F.col("node").alias(x), F.col("size").alias(n), F.col("l").alias(k), F.col("r").alias(r), F.col("c").alias(c), F.col("dense").alias(d), F.col("comp").alias(o)] for x, n, k, r, c, d, o in (("a", "n", "l", "r", "c", "dense", "comp"), ("b", "m", "k", "q", "e", "other", "theirs")))
+    test = may_be_similar(percent, "n", "m", "kind", "r", "q", "c", "e", "dense", "other") & (F.col("comp") != F.col("theirs"))
+    # prefixes: at most COSTLY light holders a key, with each other and with the dense holders
+    some = left.where(F.col("kind") == PREFIX)
+    prefix = some.where("NOT dense").select(*ours).join(some.select(*theirs), ["key", "kind"]).where(test & (F.col("other") | (F.col("a") < F.col("b"))))
+    enough = prefix.groupBy("a", "b").agg(F.count("*").alias("shared"), F.least(F.min("l"), F.min("k")).alias("asked")).where("shared >= asked").select("a", "b")
+    some = left.where(F.col("kind") == CHEAP)
+    cheap = some.select(*ours).join(some.select(*theirs), ["key", "kind"]).where(test & (F.col("a") < F.col("b"))).select("a", "b")
+    # parts: first which sizes and counts of cheap and costly shingles go together, then the documents that have them
+    some = left.where(F.col("kind") == PART)
+    profile = some.groupBy("key", "kind", "size", "r", "c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mine = profile.select("key", "kind", F.col("size").alias("n"), "r", "c", "lo", "hi", F.lit(True).alias("dense"))
+    others = profile.select("key", "kind", F.col("size").alias("m"), F.col("r").alias("q"), F.col("c").alias("e"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.lit(True).alias("other"))
+    ordered = F.struct("n", "r", "c") <= F.struct("m", "q", "e")
+    fit = mine.join(others, ["key", "kind"]).where(ordered & (F.least("lo", "lo2") < F.greatest("hi", "hi2")) & may_be_similar(percent, "n", "m", "kind", "r", "q", "c", "e", "dense", "other"))
+    fit = stage(fit.select("key", "n", "r", "c", "m", "q", "e"), "profiles")
+    sides = [some.select("key", F.col("node").alias(x), F.col("size").alias(n), F.col("r").alias(r), F.col("c").alias(c), F.col("comp").alias(o)) for x, n, r, c, o in (("a", "n", "r", "c", "comp"), ("b", "m", "q", "e", "theirs"))]
+    part = fit.join(sides[0], ["key", "n", "r", "c"]).join(sides[1], ["key", "m", "q", "e"]).where("comp <> theirs").select("a", "b")
+    return enough.unionByName(cheap).unionByName(part).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_links(reps: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """Links (``a, b``) that join all documents connected by similar pairs."""
-    rows = final_prefixes(reps, documents, percent)
-    fits = F.col("n") * 100 >= F.col("m") * percent  # the shorter set can reach the similarity
+    rows = key_rows(reps, documents, percent)
+    total = rows.count()
     links, label = None, None
-    for turn in range(STAR_ROUNDS):
-        named = rows if label is None else rows.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if label is None:
-            named = named.withColumn("comp", F.col("node"))
-        drawn = named.groupBy("token").agg(
-            F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn))).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held"),
-        ).where("lo <> hi" + ("" if turn == 0 else f" AND held > {COSTLY}"))
-        pairs = (
-            named.join(drawn, "token").where("comp <> top.comp")
-            .select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b"), F.least("n", "top.n").alias("n"), F.greatest("n", "top.n").alias("m"))
-            .where(fits).select("a", "b").distinct()
-        )
-        pairs = stage(pairs, "pairs")
+    for turn in range(ROUNDS):
+        named = stage(labelled(rows, label), "named") if label is not None else labelled(rows, None)
+        # a light holder before a dense one; at first a dense one with few cheap shingles, which is near the middle of its group
+        rank = F.struct("dense", F.when(F.lit(turn == 0), F.col("r")).otherwise(0), F.xxhash64("node", F.lit(turn)))
+        drawn = named.groupBy("key").agg(
+            F.min_by(F.struct("node", "n", "comp", "dense", "r", "c"), rank).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"),
+        ).where("lo <> hi").select("key", "n", *(F.col(f"top.{c}").alias(f"top_{c}") for c in ("node", "n", "comp", "dense", "r", "c")))
+        met = hot_join(named.withColumnRenamed("n", "size"), stage(drawn, "drawn"), "key", total).where("comp <> top_comp")
+        met = met.where(may_be_similar(percent, "size", "top_n", "kind", "r", "top_r", "c", "top_c", "dense", "top_dense"))
+        pairs = stage(met.select(F.col("node").alias("a"), F.col("top_node").alias("b")).distinct(), "pairs")
         tried = pairs.count()
-        if not tried:
+        found = verified(pairs, tried, documents, percent) if tried else None
+        if found is None or found.isEmpty():
             break
-        found = verified(pairs, documents, percent)
-        hits = found.count()
-        if hits:
-            links = found if links is None else stage(links.unionByName(found), "found")
-            label = stage(components(links).withColumnRenamed("component", "comp"), "labels")
-        if turn and 2 * hits < tried:  # rounds pay while they mostly join; what is left is compared below
-            break
-    named = rows.withColumn("comp", F.col("node")) if label is None else rows.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    open_rows = stage(named.join(mixed, "token"), "open")
-    other = open_rows.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    pairs = (
-        open_rows.withColumnRenamed("node", "a").join(other, "token").where("comp <> other AND (n < m OR (n = m AND a < b))").where(fits).select("a", "b").distinct()
-    )
-    found = verified(stage(pairs, "pairs"), documents, percent)
+        links = found if links is None else stage(links.unionByName(found), "found")
+        label = stage(components(links).withColumnRenamed("component", "comp"), "labels")
+    pairs = stage(open_pairs(stage(labelled(rows, label), "named"), total, percent), "pairs")
+    found = verified(pairs, pairs.count(), documents, percent)
     return found if links is None else links.unionByName(found)
 
 
