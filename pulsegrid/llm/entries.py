@@ -116,8 +116,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_repeats")
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of every document that repeated strings of 400 bytes cover."""
-    return repeats.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """Bytes of every document that repeated strings of 400 bytes cover, and the text that is left."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 @query("op11_simhash")

@@ -7,12 +7,16 @@ A byte goes if a string of ``length`` bytes that covers it starts anywhere else
 * The windows of an anchor are cut into blocks of ``BLOCK`` neighbouring offsets. All windows of a block share a
   core of ``length - BLOCK + 1`` bytes; equal windows have equal cores. What is left of a block is its segment:
   the core's fingerprint and up to ``BLOCK - 1`` bytes on either side. Equal segments are counted as one.
+* Anchors that recur at equal, short steps lie in a periodic stretch. They are kept as one run, and its windows give one
+  segment with a number, so a text of one repeated letter costs no more than others.
 * Segments with equal cores are compared column by column, from the right: each round inserts one symbol per
   segment, updating the sorted order of the suffixes that start in this column (the column's part of the
   collection's Burrows-Wheeler transform) and the common prefix of neighbours. The core is one symbol. Columns lie
   in a sequential file below the shared folder, and a round holds one column. Windows are aligned by their anchors, so suffixes of
   one round are all that need comparing. A window is repeated where a neighbour shares ``length`` bytes.
-* A core with more than ``GROUP`` different surroundings is split: its windows are counted one by one.
+* A core with more surroundings than one task orders at once is narrowed: one half of its windows covers all bytes
+  of a half block to the left of the core, the other half those to the right, so each half gets a longer core that splits it, and
+  blocks of half the size are ordered in the same way, down to single windows, which are all core.
 """
 
 from __future__ import annotations
@@ -25,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import slices, stage, width
+from pulsegrid.llm.common import slices, small, stage, width
+from pulsegrid.llm.graph import hot_join
 from pulsegrid.llm.shingling import BATCH_BYTES, mixed, powers
 from pulsegrid.llm.warc import create, opened
 from pulsegrid.session import scratch_path
 
 LENGTH, GRAM, BLOCK = 400, 32, 64
-#: Segments of one core that one task orders together at most, and segments ordered at once.
-GROUP, CHUNK = 2_048, 16_384
+#: Segments of one core that one task orders together at most, and segments ordered (or cut) at once.
+GROUP, CHUNK = 16_384, 16_384
 _U = np.uint64
 _POS = 26  # bits of a position within a batch
 PIECE = 1 << 22
@@ -93,24 +98,36 @@ def anchored(docs: list[bytes], part: list[int], length: int, out: list) -> None
         at += len(docs[i])
 
 
+def folded(h: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Anchors with ``step`` and ``times``: neighbours of equal hash, all moved on by the same step, which their grams span, are one run."""
+    if not len(h):
+        return (*(np.empty(0, np.int64) for _ in range(6)),)
+    step = np.diff(pos, prepend=pos[0])
+    goes_on = np.zeros(len(h), bool)
+    goes_on[1:] = (h[1:] == h[:-1]) & (step[1:] <= min(GRAM, length)) & (np.diff(lo) == step[1:]) & (np.diff(hi) == step[1:])
+    goes_on[2:] &= ~goes_on[1:-1] | (step[2:] == step[1:-1])
+    first = np.flatnonzero(~goes_on)
+    times = np.diff(np.append(first, len(h)))
+    return h[first], pos[first], lo[first], hi[first], np.where(times > 1, step[np.minimum(first + 1, len(h) - 1)], 0), times
+
+
+FIELDS = ("h", "pos", "lo", "hi", "step", "times")
+
+
 def scanned(documents: DataFrame, length: int) -> DataFrame:
-    """``row, doc_id, n_bytes, whole_sha256`` and the anchors of each document. ``row`` is a digest of id and text."""
+    """``row`` (a digest of id and text) and the anchors of each document that has any."""
 
     def run(batches):
-        kind = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())]))
+        kind = pa.list_(pa.struct([(c, pa.int64()) for c in FIELDS]))
         for b in slices(batches):
-            docs = data_of(b["text"])
-            found = anchors(docs, length)
+            found = [folded(*f, length) for f in anchors(data_of(b["text"]), length)]
             sizes = np.array([len(f[0]) for f in found])
-            values = pa.StructArray.from_arrays([pa.array(np.concatenate([f[j] for f in found])) for j in range(4)], names=["h", "pos", "lo", "hi"])
+            values = pa.StructArray.from_arrays([pa.array(np.concatenate([f[j] for f in found])) for j in range(len(FIELDS))], names=FIELDS)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values).cast(kind)
-            yield pa.RecordBatch.from_arrays(
-                [b["row"], b["doc_id"], pa.array([len(d) for d in docs], pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in docs]), lists],
-                ["row", "doc_id", "n_bytes", "whole_sha256", "anchors"],
-            )
+            held = pa.array(sizes > 0)
+            yield pa.RecordBatch.from_arrays([b["row"].filter(held), lists.filter(held)], ["row", "anchors"])
 
-    schema = "row binary, doc_id long, n_bytes long, whole_sha256 string, anchors array<struct<h: bigint, pos: bigint, lo: bigint, hi: bigint>>"
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(run, f"row binary, anchors array<struct<{', '.join(f'{c}: bigint' for c in FIELDS)}>>")
 
 
 def digest(*parts: bytes) -> bytes:
@@ -121,30 +138,75 @@ def digest(*parts: bytes) -> bytes:
     return h.digest()
 
 
+def placed(span: dict, data: bytes, length: int) -> list[tuple[int, int, int, int, int]]:
+    """Windows of a run of anchors as ``pos, lo, hi, step, times``: those that lie in its periodic stretch once, others one by one."""
+    pos, lo, hi, step, times = (span[c] for c in FIELDS[1:])
+    if times == 1:
+        return [(pos, lo, hi, 0, 1)]
+    end = pos + (times - 1) * step + min(GRAM, length)  # the bytes from pos to here repeat at every step
+    if data[pos : end - step] != data[pos + step : end]:  # grams of equal hash only
+        return [(pos + i * step, lo + i * step, hi + i * step, 0, 1) for i in range(times)]
+    first = max(0, -(-(pos - lo) // step))  # from here on windows start in the stretch
+    after = max(first, min(times, (end - length - hi) // step + 1))
+    alone = [(pos + i * step, lo + i * step, hi + i * step, 0, 1) for i in (*range(min(first, times)), *range(after, times))]
+    return alone + ([(pos + first * step, lo + first * step, hi + first * step, step, after - first)] if after > first else [])
+
+
+SEGMENT = "core binary, before binary, after binary, lo int, hi int, segment binary"
+
+
 def segments(suspects: DataFrame, length: int) -> DataFrame:
-    """``row, start, lo, hi, core, before, after, segment`` of every block of windows under a repeated anchor.
+    """``row, start, step, times`` and ``SEGMENT`` of every block of windows under a repeated anchor.
 
     Window ``start + x`` belongs to the block for lo <= x <= hi; ``before`` and ``after`` are the bytes around the
-    core that these windows cover.
+    core that these windows cover. The same segment stands at ``times`` places, ``step`` bytes apart.
     """
+    names = ("row", "start", "step", "times", "core", "before", "after", "lo", "hi", "segment")
+    kinds = pa.schema([("row", pa.binary()), *((c, pa.int64()) for c in names[1:4]), *((c, pa.binary()) for c in names[4:7]), ("lo", pa.int32()), ("hi", pa.int32()), ("segment", pa.binary())])
 
     def run(batches):
         for b in slices(batches, 128):
-            out: dict[str, list] = {c: [] for c in ("row", "start", "lo", "hi", "core", "before", "after", "segment")}
+            out: dict[str, list] = {c: [] for c in names}
             for row, data, spans in zip(b["row"].to_pylist(), data_of(b["text"]), b["spans"].to_pylist(), strict=True):
-                for span in spans:
-                    pos, first, last = span["pos"], span["lo"], span["hi"]
+                for pos, first, last, step, times in (p for span in spans for p in placed(span, data, length)):
                     for block in range((pos - last) // BLOCK, (pos - first) // BLOCK + 1):
                         start = pos - block * BLOCK - (BLOCK - 1)
                         lo, hi = max(first - start, 0), min(last - start, BLOCK - 1)
                         core = digest(data[start + BLOCK - 1 : start + length], block.to_bytes(4, "little"))
                         before, after = data[start + lo : start + BLOCK - 1], data[start + length : start + length + hi]
-                        for column, value in zip(out.values(), (row, start, lo, hi, core, before, after, digest(core, before, after)), strict=True):
+                        for column, value in zip(out.values(), (row, start, step, times, core, before, after, lo, hi, digest(core, before, after)), strict=True):
                             column.append(value)
+                if len(out["row"]) >= CHUNK:
+                    yield pa.RecordBatch.from_pydict(out, kinds)
+                    out = {c: [] for c in names}
             if out["row"]:
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("row", pa.binary()), ("start", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), *((c, pa.binary()) for c in ("core", "before", "after", "segment"))]))
+                yield pa.RecordBatch.from_pydict(out, kinds)
 
-    return suspects.mapInArrow(run, "row binary, start long, lo int, hi int, core binary, before binary, after binary, segment binary")
+    return suspects.mapInArrow(run, f"row binary, start long, step long, times long, {SEGMENT}")
+
+
+def narrowed(kinds: DataFrame, block: int) -> DataFrame:
+    """Both halves of segments of ``block`` windows: ``parent``, ``shift`` of the half within it, ``n`` and ``SEGMENT`` for half the block."""
+    half = block // 2
+    names = ("parent", "shift", "n", "core", "before", "after", "lo", "hi", "segment")
+    schema = pa.schema([("parent", pa.binary()), ("shift", pa.int32()), ("n", pa.int64()), *((c, pa.binary()) for c in names[3:6]), ("lo", pa.int32()), ("hi", pa.int32()), ("segment", pa.binary())])
+
+    def run(batches):
+        for b in slices(batches, 1024):
+            out: dict[str, list] = {c: [] for c in names}
+            for parent, core, before, after, lo, hi, n in zip(*(b[c].to_pylist() for c in ("segment", "core", "before", "after", "lo", "hi", "n")), strict=True):
+                if lo < half:  # windows that hold the last ``half`` bytes before the core
+                    cut_at = half - 1 - lo
+                    put = (digest(core, b"<", before[cut_at:]), before[:cut_at], after[: min(hi, half - 1)], lo, min(hi, half - 1))
+                    for column, value in zip(out.values(), (parent, 0, n, *put, digest(*put[:3])), strict=True):
+                        column.append(value)
+                if hi >= half:  # windows that hold the first ``half`` bytes after it
+                    put = (digest(core, b">", after[:half]), before[max(lo, half) - lo :], after[half:], max(lo, half) - half, hi - half)
+                    for column, value in zip(out.values(), (parent, half, n, *put, digest(*put[:3])), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_pydict(out, schema)
+
+    return kinds.mapInArrow(run, f"parent binary, shift int, n long, {SEGMENT}")
 
 
 def insert_column(order: np.ndarray, common: np.ndarray, symbols: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,15 +221,15 @@ def insert_column(order: np.ndarray, common: np.ndarray, symbols: np.ndarray, we
     return put, out
 
 
-def repeated_windows(core: np.ndarray, before: list[bytes], after: list[bytes], length: int, folder: str) -> np.ndarray:
-    """Segments x ``BLOCK``: which windows another segment of the collection has too. Rounds go from right to left."""
-    n, side = len(core), BLOCK - 1
+def repeated_windows(core: np.ndarray, before: list[bytes], after: list[bytes], length: int, folder: str, block: int = BLOCK) -> np.ndarray:
+    """Segments x ``block``: which windows another segment of the collection has too. Rounds go from right to left."""
+    n, side = len(core), block - 1
     left, right = np.full((side, n), 256, np.uint16), np.full((side, n), 256, np.uint16)  # 256: beyond the covered bytes
     for i, (x, y) in enumerate(zip(before, after, strict=True)):
         left[side - len(x) :, i] = np.frombuffer(x, np.uint8)
         right[: len(y), i] = np.frombuffer(y, np.uint8)
     order, common = np.arange(n), np.zeros(n, np.int32)
-    hit = np.zeros((n, BLOCK), bool)
+    hit = np.zeros((n, block), bool)
 
     def mark(x: int) -> None:
         near = common >= length
@@ -191,14 +253,14 @@ def repeated_windows(core: np.ndarray, before: list[bytes], after: list[bytes],
     return hit
 
 
-def compared(groups: DataFrame, length: int, folder: str) -> DataFrame:
-    """``segment, x`` of repeated windows, for segments dealt and sorted by core."""
+def compared(groups: DataFrame, length: int, folder: str, block: int) -> DataFrame:
+    """``segment, runs`` of repeated windows, for segments of ``block`` windows dealt and sorted by core."""
 
     def work(held: list[tuple]) -> pa.RecordBatch:
         number = {c: i for i, c in enumerate(dict.fromkeys(h[1] for h in held))}
-        hit = repeated_windows(np.array([number[h[1]] for h in held], np.int64), [h[2] for h in held], [h[3] for h in held], length, folder)
+        hit = repeated_windows(np.array([number[h[1]] for h in held], np.int64), [h[2] for h in held], [h[3] for h in held], length, folder, block)
         lo, hi = np.array([h[4] for h in held])[:, None], np.array([h[5] for h in held])[:, None]
-        x = np.arange(BLOCK)[None, :]
+        x = np.arange(block)[None, :]
         hit &= (x >= lo) & (x <= hi)
         runs = [runs_of(row) for row in hit]
         found = [i for i, r in enumerate(runs) if r]
@@ -224,24 +286,28 @@ def runs_of(row: np.ndarray) -> list[list[int]]:
     return [[int(a), int(b) - 1] for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def counted(hot: DataFrame) -> DataFrame:
-    """``segment, runs`` for segments of cores with very many surroundings: each window is counted by its digest."""
+def kinds_of(rows: DataFrame, n) -> DataFrame:
+    """One row per distinct segment, ``n`` how many there are."""
+    return rows.groupBy("segment").agg(F.sum(n).alias("n"), *(F.first(c).alias(c) for c in ("core", "before", "after", "lo", "hi")))
 
-    def run(batches):
-        for b in slices(batches, 256):
-            out: dict[str, list] = {"segment": [], "x": [], "window": []}
-            for segment, core, before, after, lo, hi in zip(*(b[c].to_pylist() for c in ("segment", "core", "before", "after", "lo", "hi")), strict=True):
-                for x in range(lo, hi + 1):
-                    out["segment"].append(segment)
-                    out["x"].append(x)
-                    out["window"].append(digest(core, before[x - lo :], after[:x]))
-            if out["x"]:
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("segment", pa.binary()), ("x", pa.int32()), ("window", pa.binary())]))
-
-    windows = stage(hot.mapInArrow(run, "segment binary, x int, window binary"), "windows")
-    twice = stage(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "twice")
-    # a window as a run of its own; runs of one segment meet again when spans are merged
-    return windows.join(twice, "window").select("segment", F.array(F.array("x", "x")).alias("runs"))
+
+def repeated_runs(kinds: DataFrame, length: int, folder: str, block: int = BLOCK) -> DataFrame:
+    """``segment, runs``: the windows (first and last ``x`` of each run) that distinct segments (staged, ``n`` of each) repeat."""
+    whole = kinds.where("n > 1").select("segment", F.array(F.array("lo", "hi")).alias("runs"))  # these are repeated throughout
+    if block == 1:
+        return whole  # equal cores are equal windows
+    groups = stage(kinds.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").withColumn("kinds", F.col("n")), "groups")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    several = hot_join(kinds.withColumnRenamed("n", "held"), groups, "core", total).withColumnRenamed("held", "n")
+    ordered = several.where(F.col("kinds") <= GROUP).repartition(width(kinds.sparkSession), "core").sortWithinPartitions("core")
+    runs = compared(ordered, length, folder, block)
+    if not groups.where(F.col("kinds") > GROUP).isEmpty():
+        halves = stage(narrowed(several.where(F.col("kinds") > GROUP), block), "halves")
+        found = repeated_runs(stage(kinds_of(halves, "n"), "kinds"), length, folder, block // 2)
+        moved = F.transform("runs", lambda r: F.transform(r, lambda x: x + F.col("shift")))
+        runs = runs.unionByName(halves.select("parent", "shift", "segment").join(found, "segment").select(F.col("parent").alias("segment"), moved.alias("runs")))
+    alone = kinds.where("n = 1").select("segment").join(stage(runs, "runs"), "segment")
+    return stage(alone.unionByName(whole), "repeated")
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -259,56 +325,54 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[in
     return b"".join([*kept, data[at:]]), [(lo, hi) for lo, hi in runs]
 
 
-def repeated_spans(documents: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """All documents as ``row, doc_id, n_bytes, whole_sha256``, and those with repeats as ``row, text, spans``."""
-    docs = documents.select("doc_id", "text").withColumn("row", F.unhex(F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text")))))
-    rows = stage(scanned(docs, length), "rows")
+def with_rows(documents: DataFrame) -> DataFrame:
+    """``row, doc_id, text``; ``row`` is a digest of id and text."""
+    return documents.select("doc_id", "text").withColumn("row", F.unhex(F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text")))))
+
+
+def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``row, spans`` of the documents with repeats (``with_rows``); spans overlap."""
+    rows = stage(scanned(documents, length), "rows")
     spots = rows.select("row", F.explode("anchors").alias("a")).select("row", "a.*")
     # settled, so that both sides of the join below are plain exchanges, which Spark can split where an anchor is hot
-    twice = stage(spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
-    listed = spots.join(twice, "h").groupBy("row").agg(F.collect_set(F.struct("pos", "lo", "hi")).alias("spans"))
-    suspects = stage(docs.join(listed, "row").select("row", "text", "spans"), "suspects")
+    twice = stage(spots.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"), "anchors")
+    listed = spots.join(twice, "h").groupBy("row").agg(F.collect_set(F.struct(*FIELDS)).alias("spans"))
+    suspects = documents.join(listed, "row").select("row", "text", "spans")
 
     found = stage(segments(suspects, length), "segments")
-    kinds = stage(found.groupBy("segment").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("core", "before", "after", "lo", "hi"))), "kinds")
-    groups = stage(kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1"), "groups")
-    several = kinds.join(groups, "core")
-    ordered = several.where(F.col("kinds") <= GROUP).repartition(width(documents.sparkSession), "core").sortWithinPartitions("core")
-    runs = compared(ordered, length, scratch_path(documents.sparkSession, "columns")).unionByName(counted(several.where(F.col("kinds") > GROUP)))
-    alone = kinds.where("n = 1").select("segment").join(runs, "segment")  # segments that occur twice are repeated throughout
-    whole = kinds.where("n > 1").select("segment", F.array(F.array("lo", "hi")).alias("runs"))
-    hits = stage(alone.unionByName(whole), "repeated")
-    spans = (
-        found.select("row", "start", "segment").join(hits, "segment").select("row", "start", F.explode("runs").alias("r"))
-        .select("row", F.struct((F.col("start") + F.get("r", F.lit(0))).alias("lo"), (F.col("start") + F.get("r", F.lit(1)) + length).alias("hi")).alias("s"))
+    hits = repeated_runs(stage(kinds_of(found, "times"), "kinds"), length, scratch_path(documents.sparkSession, "columns"))
+    reach = (F.col("times") - 1) * F.col("step")  # places of a run are nearer to each other than windows are long
+    return (
+        found.select("row", "start", reach.alias("reach"), "segment").join(hits, "segment").select("row", "start", "reach", F.explode("runs").alias("r"))
+        .select("row", F.struct((F.col("start") + F.get("r", F.lit(0))).alias("lo"), (F.col("start") + F.col("reach") + F.get("r", F.lit(1)) + length).alias("hi")).alias("s"))
         .groupBy("row").agg(F.collect_set("s").alias("spans"))
     )
-    texts = suspects.select("row", "text").dropDuplicates(["row"])
-    return rows.drop("anchors"), texts.join(spans, "row")
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per row of ``documents``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept``.
+    """Per row of ``documents``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, text``.
 
-    ``spans`` are the maximal removed runs as ``[first, end)`` in bytes; ``kept`` holds the remaining bytes of
-    documents that lose any, and null for the others, which stay as they are.
+    ``spans`` are the maximal removed runs as ``[first, end)`` in bytes, ``kept_sha256`` is over the remaining bytes, and
+    ``text`` is these as text: a code point that loses some of its bytes is left out of it, but not out of the digest.
 
     Defined cases: a null text is empty; texts shorter than ``length`` bytes keep everything; equal rows are separate
     documents that repeat each other; a missing doc_id is a value like others; an empty table gives no rows; other
     columns are ignored.
     """
-    rows, repeated = repeated_spans(documents, length)
+    docs = with_rows(documents)
+    spans = stage(repeated_spans(docs, length), "spans")
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text")
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in names[1:4]), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64()))), ("text", pa.string())])
 
     def run(batches):
         for b in slices(batches, 128):
-            done = [cut(d, [(s["lo"], s["hi"]) for s in spans]) for d, spans in zip(data_of(b["text"]), b["spans"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict(
-                {"row": b["row"], "removed": [sum(hi - lo for lo, hi in r) for _, r in done], "spans": [[list(x) for x in r] for _, r in done], "kept": [k for k, _ in done]},
-                pa.schema([("row", pa.binary()), ("removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())]),
+            data = data_of(b["text"])
+            done = [cut(d, [(s["lo"], s["hi"]) for s in spans or ()]) for d, spans in zip(data, b["spans"].to_pylist(), strict=True)]
+            columns = (
+                b["doc_id"].to_pylist(), [len(d) for d in data], [sum(hi - lo for lo, hi in r) for _, r in done], [len(r) for _, r in done],
+                [hashlib.sha256(k).hexdigest() for k, _ in done], [[list(x) for x in r] for _, r in done], [k.decode("utf-8", "ignore") for k, _ in done],
             )
+            yield pa.RecordBatch.from_pydict(dict(zip(names, columns, strict=True)), schema)
 
-    cleaned = repeated.mapInArrow(run, "row binary, removed long, spans array<array<long>>, kept binary")
-    return rows.join(cleaned, "row", "left").select(
-        "doc_id", "n_bytes", F.coalesce("removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce(F.sha2("kept", 256), "whole_sha256").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<array<bigint>>")).alias("spans"), "kept",
-    )
+    given = docs.join(small(spans, "spans"), "row", "left").select("doc_id", "text", "spans")  # texts stay where they are if few have repeats
+    return given.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, text string")

@@ -216,3 +216,28 @@ def test_licence_texts(spark):
     swapped = "\n".join(s[k] for k in ("mit-warranty", "mit-notice", "mit-grant"))
     df = spark.createDataFrame([(0, mit), (1, wrapped), (2, swapped), (3, s["all-rights"] * 3)], "doc_id long, text string")
     assert [r.licences for r in licences.licence_scan(df).orderBy("doc_id").collect()] == ["MIT", "Apache-2.0", "", ""]
+
+
+def test_repeats_leave_the_rest_as_text(spark, texts):
+    for r in entries.QUERIES["op7_repeats"](spark, SF).collect():
+        if r.n_removed == 0:
+            assert r.text == texts[r.doc_id]
+        else:
+            assert hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 or len(r.text.encode()) < r.n_bytes - r.n_removed
+
+
+@pytest.mark.parametrize("pattern", ["z", "ab", "-=+ ", "0123456789abcdefghijklmnopqrstuvwxyz"])
+def test_periodic_text_is_folded(pattern):
+    data = (pattern * 100_000)[:100_000].encode()
+    found = repeats.folded(*repeats.anchors([b"x" * 50 + data + b"end"], 400)[0], 400)
+    placed = [p for span in zip(*(f.tolist() for f in found), strict=True) for p in repeats.placed(dict(zip(repeats.FIELDS, span, strict=True)), b"x" * 50 + data + b"end", 400)]
+    assert len(placed) <= max(1200, len(data) // len(pattern) + 400 if len(pattern) > 32 else 0)
+    assert sum((hi - lo + 1) * max(1, times) for _, lo, hi, _, times in placed) == len(data) + 53 - 399
+
+
+def test_periodic_text_stays_small(spark):
+    docs = spark.createDataFrame([(1, "z" * 1_000_000), (2, "ab" * 3000 + "c"), (3, "x" + "z" * 700)], "doc_id long, text string")
+    made = repeats.stage(repeats.segments(repeats.with_rows(docs).join(repeats.scanned(repeats.with_rows(docs), 400).withColumnRenamed("anchors", "spans"), "row").select("row", "text", "spans"), 400), "segments")
+    assert made.count() < 5000  # about 160 bytes a row, against a text of a megabyte
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs).collect()}
+    assert got == {1: (1_000_000, 1), 2: (6000, 1), 3: (700, 1)}
