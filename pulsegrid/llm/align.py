@@ -16,6 +16,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
+from collections import defaultdict
+from itertools import chain, count
 from pathlib import Path
 
 import numpy as np
@@ -35,7 +38,9 @@ MARK = "▁"
 LATER = re.compile("[^\x00-ɏ]")
 LONG_RUN = re.compile(r"\S{5000}|\s{5000}")
 #: Ends merged per piece, bytes of text encoded at once, listed pairs per block, and links of a group beyond which ids are counted first.
-WORK, TEXT_BYTES, BLOCK_PAIRS, LARGE = 65_536, 1 << 21, 1 << 22, 4096
+WORK, TEXT_BYTES, BLOCK_PAIRS, LARGE = 65_536, 1 << 21, 1 << 21, 4096
+#: Words whose ids a worker keeps, and their greatest length.
+KEPT_WORDS, KEPT_LENGTH = 400_000, 48
 
 
 class ByteVocabulary:
@@ -60,9 +65,9 @@ class ByteVocabulary:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         order = [vocab[x + y] for x, y in pairs]
         pre = spec.get("pre_tokenizer") or {}
-        usual = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.usual = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.fast = None
-        if usual and all(x < y for x, y in zip(order, order[1:], strict=False)):  # merged in the order of ids: ranks say the same
+        if self.usual and all(x < y for x, y in zip(order, order[1:], strict=False)):  # merged in the order of ids: ranks say the same
             import tiktoken
 
             ranks = {self.bytes[i]: i for t, i in vocab.items() if t not in extra}
@@ -79,9 +84,17 @@ class PieceVocabulary:
 
     def __init__(self, file: bytes):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=file)
         every = range(self.model.vocab_size())
+        spec = sentencepiece_model_pb2.ModelProto()
+        spec.ParseFromString(file)
+        plain = spec.normalizer_spec
+        self.by_word = (  # every word has a mark before it, and no piece goes on beyond a word
+            plain.escape_whitespaces and plain.add_dummy_prefix and not (plain.precompiled_charsmap or plain.remove_extra_whitespaces)
+            and not any(MARK in self.model.id_to_piece(i).lstrip(MARK) for i in every)
+        )
         self.bytes = [
             bytes([int(self.model.id_to_piece(i)[3:5], 16)]) if self.model.is_byte(i) else self.model.id_to_piece(i).replace(MARK, " ").encode() for i in every
         ]
@@ -98,6 +111,8 @@ class Aligner:
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in v.bytes], np.int64) for v in (self.a, self.b))
         self.span = len(self.b.bytes)  # an id pair is a * span + b
         self.names = max(len(self.a.bytes), self.span)
+        self.by_word = self.a.usual and self.b.by_word
+        self.known: dict[str, bytes] = {}  # the first words met, which most texts are made of
         self.written = [str(i).encode() + end for end in (b",", b"|", b";") for i in range(self.names)]
 
     def tokens(self, text: str) -> tuple[list[int], list[int]]:
@@ -112,6 +127,64 @@ class Aligner:
         return (a, b) if b"".join(map(self.a.bytes.__getitem__, a)) == raw else ([], [])
 
 
+    def words_of(self, text: str) -> list:
+        """What can be encoded on its own, in order: words between single spaces, which no token of either side crosses, else the whole text, as a tuple."""
+        if self.by_word and text and "  " not in text and MARK not in text and text[0] != " " != text[-1]:
+            return text.split(" ")
+        return [(text,)]
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Of each word with the space before it: how many ids A has, these, and those of B, as int32 bytes; empty for a word not spelled by both."""
+        a, b = [self.a.encode(" " + w) for w in words], self.b.model.encode(words)
+        raw = [(" " + w).encode("utf-8", "surrogatepass") for w in words]
+        spelled = []
+        for ids, sizes, spell in ((a, self.a_sizes, self.a.bytes), (b, self.b_sizes, self.b.bytes)):
+            flat = list(chain.from_iterable(ids))
+            ends = np.append(0, np.cumsum(sizes[np.array(flat, np.int64)]))[np.append(0, np.cumsum([len(i) for i in ids])).astype(np.int64)]
+            spelled.append((np.diff(ends) == [len(r) for r in raw]).all() and b"".join(map(spell.__getitem__, flat)) == b"".join(raw))
+        fine = all(spelled)  # all words at once, else one by one
+        return [
+            array("i", [len(x), *x, *y]).tobytes() if fine or b"".join(map(self.a.bytes.__getitem__, x)) == r == b"".join(map(self.b.bytes.__getitem__, y)) else b""
+            for x, y, r in zip(a, b, raw, strict=True)
+        ]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Ids of all texts in A and in B, one text behind the other, and how many each text has."""
+        cut = [self.words_of(t) for t in texts]
+        place: dict = defaultdict(count().__next__)
+        order = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64)
+        units = list(place)
+        found = list(map(self.known.get, units))
+        new = [k for k, f in enumerate(found) if f is None and isinstance(units[k], str)]
+        for k, f in zip(new, self.learn([units[k] for k in new]) if new else [], strict=True):
+            found[k] = f
+            if len(units[k]) <= KEPT_LENGTH and len(self.known) < KEPT_WORDS:
+                self.known[units[k]] = f
+        if b"" in found:  # such a text is tried as a whole
+            odd = {u for u, f in zip(units, found, strict=True) if f == b""}
+            fixed = [t if odd.isdisjoint(c) else None for t, c in zip(texts, cut, strict=True)]
+            parts = [self.encode([t]) if t is not None else self._whole(w) for t, w in zip(fixed, texts, strict=True)]
+            return tuple(np.concatenate([p[k] for p in parts]) for k in range(4))
+        for k, f in enumerate(found):
+            if f is None:
+                a, b = self.tokens(units[k][0])
+                found[k] = array("i", [len(a), *a, *b]).tobytes()
+        pool = np.frombuffer(b"".join(found), np.int32).astype(np.int64)
+        sizes = np.fromiter(map(len, found), np.int64) // 4
+        starts = np.cumsum(sizes) - sizes
+        n_a = pool[starts]
+        ends = np.append(0, np.cumsum([len(c) for c in cut])).astype(np.int64)
+        out = []
+        for first, size in ((starts + 1, n_a), (starts + 1 + n_a, sizes - 1 - n_a)):
+            of = size[order]
+            out.append((pool[np.repeat(first[order], of) + runs(of)], np.diff(np.append(0, np.cumsum(of))[ends])))
+        return out[0][0], out[1][0], out[0][1], out[1][1]
+
+    def _whole(self, text: str) -> tuple[np.ndarray, ...]:
+        a, b = self.tokens(text)
+        return np.array(a, np.int64), np.array(b, np.int64), np.array([len(a)]), np.array([len(b)])
+
+
 def diagonals(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How many of the first ``at`` steps of merging the sorted ``a`` and ``b`` (``a`` first on ties) take from ``a``: binary searches on all diagonals at once."""
     low, high = np.maximum(0, at - len(b)), np.minimum(at, len(a))
@@ -167,10 +240,7 @@ class Aligned:
     """
 
     def __init__(self, aligner: Aligner, texts: list[str], work: int = WORK):
-        tokens = [aligner.tokens(t) for t in texts]
-        self.n_a, self.n_b = (np.array([len(t[k]) for t in tokens], np.int64) for k in (0, 1))
-        a = np.array([i for t in tokens for i in t[0]], np.int64)
-        b = np.array([i for t in tokens for i in t[1]], np.int64)
+        a, b, self.n_a, self.n_b = aligner.encode(texts)
         last_a, last_b = cuts(np.cumsum(aligner.a_sizes[a]), np.cumsum(aligner.b_sizes[b]), work)
         p, q = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
         text = np.searchsorted(np.cumsum(self.n_a), last_a, side="right")

@@ -105,6 +105,22 @@ def test_pieces_of_any_size_give_all_overlaps(work):
         assert a[last_a].tolist() == both and b[last_b].tolist() == both
 
 
+@pytest.mark.parametrize("text", [*CASES, "one two  three", "foo\n bar \nbaz\t \n qux", "end ", " start", "it's we'll x\u00a0y", "a\x00b 12,5% (ok)", "12345 " * 9 + "z"])
+def test_ids_word_by_word_are_those_of_the_text(aligner, encoders, text):
+    for _ in range(2):  # unknown and known words
+        a, b, n_a, n_b = aligner.encode([text, "x", text])
+        groups = plain_groups(encoders, text)
+        want = [i for g, _ in groups for i in g], [i for _, g in groups for i in g]
+        assert (a[: n_a[0]].tolist(), b[: n_b[0]].tolist()) == want == (a[n_a[:2].sum() :].tolist(), b[n_b[:2].sum() :].tolist())
+
+
+def test_words_not_spelled_fall_back_to_the_whole_text(aligner, monkeypatch):
+    want = [x.tolist() for x in aligner.encode(["the cat", "a dog"])]
+    aligner.known["cat"] = b""
+    assert [x.tolist() for x in aligner.encode(["the cat", "a dog"])] == want
+    aligner.known.clear()
+
+
 def test_long_stretches_without_a_common_end(aligner, encoders, monkeypatch):
     text = "the 東京 cat sat " * 30
     want = align.Aligned(aligner, [text, "x", text])
