@@ -10,7 +10,8 @@ Dense documents have too few cheap shingles for a prefix (members of large group
 shared passages). Two of them share a cheap shingle, or differ in all their cheap ones, r of one and q of the other,
 and in at least as many costly ones as their numbers of these differ. For the latter kind the prefix is the whole set
 and l is a block: costly shingles are dealt by hash into more parts than similar documents may differ in, so all
-shingles of some part must be shared. No join is on a costly shingle.
+shingles of some part must be shared. Beside such a key stands a bit map of the costly shingles: at least the bits in
+which two differ are shingles in which the documents do. No join is on a costly shingle.
 
 Before pairs are compared in full, a few rounds compare the holders of each key with one of them, drawn anew. What
 they link is one component, and only holders of different components are compared further, one link in a group of
@@ -20,6 +21,7 @@ copies being as good as all. Candidates are verified on bit maps, then on whole
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,9 @@ from pulsegrid.llm.shingling import mixed, shingle_sets
 COSTLY = 24
 #: Spare shingles beyond the usual prefix: this many, or this share of the set.
 SPARE, SPARE_SHARE = 4, 0.04
-ROUNDS = 3
+ROUNDS = 2
+#: Bit map of the costly shingles beside the keys of their parts: so many longs.
+MAPS = 8
 #: What a key is: a shingle of prefixes, a cheap shingle of dense documents, a part of their costly ones.
 PREFIX, CHEAP, PART = 0, 1, 2
 
@@ -167,7 +171,16 @@ def part_keys(costly: np.ndarray, n: int, percent: int, starts: list[int]) -> np
     return np.concatenate(keys)
 
 
-ROW = "key long, kind int, node long, n long, l int, r int, c int, dense boolean"
+BITS = [f"b{i}" for i in range(MAPS)]
+COLUMNS = ["key", "kind", "node", "n", "l", "r", "c", "dense", *BITS]
+ROW = "key long, kind int, node long, n long, l int, r int, c int, dense boolean, " + ", ".join(f"{b} long" for b in BITS)
+
+
+def bit_map(costly: np.ndarray) -> np.ndarray:
+    """``MAPS`` longs with a bit for each shingle."""
+    bits = np.zeros(MAPS * 64, bool)
+    bits[(mixed(costly) % np.uint64(MAPS * 64)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def parts(dense: DataFrame, percent: int) -> DataFrame:
@@ -177,15 +190,17 @@ def parts(dense: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for b in slices(batches, 512):
             columns = [b[c].to_pylist() for c in ("node", "n", "r", "c", "costly")]
-            keys = [part_keys(np.array(x, np.int64).view(np.uint64), n, percent, starts) for _, n, _, _, x in zip(*columns, strict=True)]
+            costly = [np.array(x, np.int64).view(np.uint64) for x in columns[4]]
+            keys = [part_keys(x, n, percent, starts) for x, n in zip(costly, columns[1], strict=True)]
             sizes = [len(k) for k in keys]
             if not sum(sizes):
                 continue
+            maps = np.repeat(np.array([bit_map(x) for x in costly]), sizes, axis=0)
             node, n, r, c = (np.repeat(np.array(x), sizes) for x in columns[:4])
             key = np.concatenate(keys).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(np.full(len(key), PART, np.int32)), pa.array(node), pa.array(n), pa.array(np.ones(len(key), np.int32)), pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(np.ones(len(key), bool))],
-                ["key", "kind", "node", "n", "l", "r", "c", "dense"],
+                [pa.array(key), pa.array(np.full(len(key), PART, np.int32)), pa.array(node), pa.array(n), pa.array(np.ones(len(key), np.int32)), pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(np.ones(len(key), bool)), *(pa.array(m) for m in maps.T.copy())],
+                COLUMNS,
             )
 
     able = dense.where(F.col("r") * (100 + percent) <= (100 - percent) * (F.col("n") + F.floor(F.col("n") * 100 / percent)))
@@ -228,16 +243,21 @@ def key_rows(reps: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     first = first.join(light.select("token").distinct(), "token", "left_semi")
     cheap = ranked.where(~dear & (F.col("df") > 1)).join(per.select("node", "set", "r", "c"), ["node", "set"])
     key = lambda kind: F.xxhash64(F.lit(kind), "token").alias("key")
-    one = F.lit(1)
+    one, blank = F.lit(1), [F.lit(0).cast("long").alias(b) for b in BITS]
     found = (
-        light.select(key(PREFIX), F.lit(PREFIX).alias("kind"), "node", "n", "l", zero.alias("r"), zero.alias("c"), no.alias("dense"))
-        .unionByName(first.select(key(PREFIX), F.lit(PREFIX).alias("kind"), "node", "n", one.alias("l"), zero.alias("r"), zero.alias("c"), yes.alias("dense")))
-        .unionByName(cheap.select(key(CHEAP), F.lit(CHEAP).alias("kind"), "node", "n", one.alias("l"), "r", "c", yes.alias("dense")))
+        light.select(key(PREFIX), F.lit(PREFIX).alias("kind"), "node", "n", "l", zero.alias("r"), zero.alias("c"), no.alias("dense"), *blank)
+        .unionByName(first.select(key(PREFIX), F.lit(PREFIX).alias("kind"), "node", "n", one.alias("l"), zero.alias("r"), zero.alias("c"), yes.alias("dense"), *blank))
+        .unionByName(cheap.select(key(CHEAP), F.lit(CHEAP).alias("kind"), "node", "n", one.alias("l"), "r", "c", yes.alias("dense"), *blank))
         .unionByName(parts(per, percent))
     )
     return stage(found, "keys")
 
 
+def apart(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Bits in which two bit maps differ."""
+    return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(left, right, strict=True)), F.lit(0))
+
+
 def may_be_similar(percent: int, n: str, m: str, kind: str, r: str, q: str, c: str, e: str, dense: str, other: str) -> Column:
     """Whether sizes allow it, and whether the kind of key counts for the pair."""
     n, m, kind, r, q, c, e = map(F.col, (n, m, kind, r, q, c, e))
@@ -252,29 +272,45 @@ def labelled(rows: DataFrame, label: DataFrame | None) -> DataFrame:
     return rows.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def open_pairs(rows: DataFrame, total: int, percent: int) -> DataFrame:
+def spread(rows: DataFrame, turn: int) -> DataFrame:
+    """Per key with holders of several components ``n``, their number, and one drawn holder (``top_*``).
+
+    A light holder is drawn before a dense one; at first a dense one with few cheap shingles, which is near the middle of its group.
+    """
+    rank = F.struct("dense", F.when(F.lit(turn == 0), F.col("r")).otherwise(0), F.xxhash64("node", F.lit(turn)))
+    held = ["node", "n", "comp", "dense", "r", "c", *BITS]
+    found = rows.groupBy("key").agg(
+        F.min_by(F.struct(*held), rank).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("dense").alias("all_dense"), F.min("kind").alias("of"), F.count("*").alias("n"))
+    kept = found.where(f"lo <> hi AND NOT (of = {PREFIX} AND all_dense)")
+    return stage(kept.select("key", "n", *(F.col(f"top.{c}").alias(f"top_{c}") for c in held)), "spread")
+
+
+def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (``a, b``) of different components that share as many keys as they must. ``rows`` are key rows with ``comp``."""
-    spread = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("dense").alias("all_dense"), F.min("kind").alias("of"), F.count("*").alias("n"))
-    mixed_keys = stage(spread.where(f"lo <> hi AND NOT (of = {PREFIX} AND all_dense)").select("key", "n"), "mixed")
-    left = stage(hot_join(rows.withColumnRenamed("n", "size"), mixed_keys, "key", total), "open")
-    ours, theirs = (["key", "kind", F.col("node").alias(x), F.col("size").alias(n), F.col("l").alias(k), F.col("r").alias(r), F.col("c").alias(c), F.col("dense").alias(d), F.col("comp").alias(o)] for x, n, k, r, c, d, o in (("a", "n", "l", "r", "c", "dense", "comp"), ("b", "m", "k", "q", "e", "other", "theirs")))
+    sides = [[F.col(c).alias(new) for c, new in zip(["node", "n", "l", "r", "c", "dense", "comp"], names, strict=True)] for names in (["a", "n", "l", "r", "c", "dense", "comp"], ["b", "m", "k", "q", "e", "other", "theirs"])]
     test = may_be_similar(percent, "n", "m", "kind", "r", "q", "c", "e", "dense", "other") & (F.col("comp") != F.col("theirs"))
+
+    def met(kind: int, left: Column) -> DataFrame:
+        of = rows.where(F.col("kind") == kind)
+        return of.where(left).select("key", "kind", *sides[0]).join(of.select("key", "kind", *sides[1]), ["key", "kind"]).where(test)
+
     # prefixes: at most COSTLY light holders a key, with each other and with the dense holders
-    some = left.where(F.col("kind") == PREFIX)
-    prefix = some.where("NOT dense").select(*ours).join(some.select(*theirs), ["key", "kind"]).where(test & (F.col("other") | (F.col("a") < F.col("b"))))
+    prefix = met(PREFIX, ~F.col("dense")).where("other OR a < b")
     enough = prefix.groupBy("a", "b").agg(F.count("*").alias("shared"), F.least(F.min("l"), F.min("k")).alias("asked")).where("shared >= asked").select("a", "b")
-    some = left.where(F.col("kind") == CHEAP)
-    cheap = some.select(*ours).join(some.select(*theirs), ["key", "kind"]).where(test & (F.col("a") < F.col("b"))).select("a", "b")
+    cheap = met(CHEAP, F.lit(True)).where("a < b").select("a", "b")
     # parts: first which sizes and counts of cheap and costly shingles go together, then the documents that have them
-    some = left.where(F.col("kind") == PART)
+    some = rows.where(F.col("kind") == PART).withColumnRenamed("n", "size")
     profile = some.groupBy("key", "kind", "size", "r", "c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     mine = profile.select("key", "kind", F.col("size").alias("n"), "r", "c", "lo", "hi", F.lit(True).alias("dense"))
     others = profile.select("key", "kind", F.col("size").alias("m"), F.col("r").alias("q"), F.col("c").alias("e"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.lit(True).alias("other"))
     ordered = F.struct("n", "r", "c") <= F.struct("m", "q", "e")
     fit = mine.join(others, ["key", "kind"]).where(ordered & (F.least("lo", "lo2") < F.greatest("hi", "hi2")) & may_be_similar(percent, "n", "m", "kind", "r", "q", "c", "e", "dense", "other"))
     fit = stage(fit.select("key", "n", "r", "c", "m", "q", "e"), "profiles")
-    sides = [some.select("key", F.col("node").alias(x), F.col("size").alias(n), F.col("r").alias(r), F.col("c").alias(c), F.col("comp").alias(o)) for x, n, r, c, o in (("a", "n", "r", "c", "comp"), ("b", "m", "q", "e", "theirs"))]
-    part = fit.join(sides[0], ["key", "n", "r", "c"]).join(sides[1], ["key", "m", "q", "e"]).where("comp <> theirs").select("a", "b")
+    ours, theirs = (some.select("key", *(F.col(c).alias(x) for c, x in zip(["node", "size", "r", "c", "comp", *BITS], names, strict=True))) for names in (["a", "n", "r", "c", "comp", *BITS], ["b", "m", "q", "e", "theirs", *(f"o{b}" for b in BITS)]))
+    near = (F.col("r") + F.col("q") + apart(BITS, [f"o{b}" for b in BITS])) * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("m"))
+    # the condition is part of the join, so that pairs which it rules out are never rows
+    left = fit.join(ours, ["key", "n", "r", "c"])
+    part = left.join(theirs, ["key", "m", "q", "e"]).where((F.col("comp") != F.col("theirs")) & near).select("a", "b")
     return enough.unionByName(cheap).unionByName(part).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -282,26 +318,26 @@ def similar_links(reps: DataFrame, documents: DataFrame, percent: int) -> DataFr
     """Links (``a, b``) that join all documents connected by similar pairs."""
     rows = key_rows(reps, documents, percent)
     total = rows.count()
-    links, label = None, None
-    for turn in range(ROUNDS):
-        named = stage(labelled(rows, label), "named") if label is not None else labelled(rows, None)
-        # a light holder before a dense one; at first a dense one with few cheap shingles, which is near the middle of its group
-        rank = F.struct("dense", F.when(F.lit(turn == 0), F.col("r")).otherwise(0), F.xxhash64("node", F.lit(turn)))
-        drawn = named.groupBy("key").agg(
-            F.min_by(F.struct("node", "n", "comp", "dense", "r", "c"), rank).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"),
-        ).where("lo <> hi").select("key", "n", *(F.col(f"top.{c}").alias(f"top_{c}") for c in ("node", "n", "comp", "dense", "r", "c")))
-        met = hot_join(named.withColumnRenamed("n", "size"), stage(drawn, "drawn"), "key", total).where("comp <> top_comp")
-        met = met.where(may_be_similar(percent, "size", "top_n", "kind", "r", "top_r", "c", "top_c", "dense", "top_dense"))
-        pairs = stage(met.select(F.col("node").alias("a"), F.col("top_node").alias("b")).distinct(), "pairs")
+    links, rows = None, labelled(rows, None)
+    for turn in range(ROUNDS + 1):
+        keys = spread(rows, turn)
+        left = hot_join(rows.withColumnRenamed("n", "size"), keys, "key", total)  # a key within one component is done with
+        if turn == ROUNDS:
+            pairs = open_pairs(stage(left.withColumnRenamed("size", "n").select(*COLUMNS, "comp"), "open"), percent)
+        else:
+            near = (F.col("kind") != PART) | ((F.col("r") + F.col("top_r") + apart(BITS, [f"top_{b}" for b in BITS])) * (100 + percent) <= (100 - percent) * (F.col("size") + F.col("top_n")))
+            met = left.where((F.col("comp") != F.col("top_comp")) & may_be_similar(percent, "size", "top_n", "kind", "r", "top_r", "c", "top_c", "dense", "top_dense") & near)
+            pairs = met.select(F.col("node").alias("a"), F.col("top_node").alias("b")).distinct()
+        pairs = stage(pairs, "pairs")
         tried = pairs.count()
-        found = verified(pairs, tried, documents, percent) if tried else None
-        if found is None or found.isEmpty():
-            break
-        links = found if links is None else stage(links.unionByName(found), "found")
-        label = stage(components(links).withColumnRenamed("component", "comp"), "labels")
-    pairs = stage(open_pairs(stage(labelled(rows, label), "named"), total, percent), "pairs")
-    found = verified(pairs, pairs.count(), documents, percent)
-    return found if links is None else links.unionByName(found)
+        if tried:
+            found = verified(pairs, tried, documents, percent)
+            links = found if links is None else stage(links.unionByName(found), "found")
+        if turn < ROUNDS:
+            label = stage(components(links).withColumnRenamed("component", "comp"), "labels") if tried else None
+            kept = left.withColumnRenamed("size", "n").select(*COLUMNS, "comp")
+            rows = stage(labelled(kept.drop("comp"), label) if tried else kept, "open")
+    return links if links is not None else documents.sparkSession.createDataFrame([], "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
