@@ -1,4 +1,4 @@
-"""MLlib models: boosted stumps, walk-forward studies, shuffles with refit, logistic models."""
+"""Model studies on the batched booster (stumps, walk-forward, shuffles with refit, learning curves) and logistic models."""
 
 from __future__ import annotations
 
@@ -7,88 +7,27 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.ic import spearman
-from pulsegrid.operators.resample import mix
+from pulsegrid.models import boosting
 from pulsegrid.session import settle
 
 
-def assemble(df: DataFrame, features: Sequence[str], out="features") -> DataFrame:
-    filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
-    return VectorAssembler(inputCols=list(features), outputCol=out).transform(filled)
-
-
-def fit_stumps(train: DataFrame, features: Sequence[str], target: str, *, weight: str | None = None, n_trees=50,
-               step=0.02, subsample=0.7, seed=42, depth=1):
-    """Gradient-boosted trees of depth one (squared or absolute loss instead of pseudo-Huber)."""
-    rows = assemble(train.where(F.col(target).isNotNull()), features).select(
-        "features", F.col(target).cast("double").alias(target), *([weight] if weight else [])).persist()
-    gbt = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="pred", maxDepth=depth, maxIter=n_trees,
-                       stepSize=step, subsamplingRate=subsample, seed=seed)
-    model = (gbt.setWeightCol(weight) if weight else gbt).fit(rows)  # passes over the rows once per tree
-    rows.unpersist()
-    return model
-
-
-def prefix_stumps(model, features: Sequence[str], horizon="5d"):
-    """Trees of a fitted model as stump rows, leaf weights scaled by the tree weights."""
-    rows = []
-    for i, (tree, w) in enumerate(zip(model.trees, model.treeWeights)):
-        node = tree._call_java("rootNode")
-        if node.subtreeDepth() == 0:
-            p = float(node.prediction()) * w
-            rows.append((horizon, i, features[0], 0.0, True, p, p, 1.0, 1.0))
-            continue
-        split = node.split()
-        left, right = node.leftChild(), node.rightChild()
-        rows.append((horizon, i, features[split.featureIndex()], float(split.threshold()), True,
-                     float(left.prediction()) * w, float(right.prediction()) * w,
-                     float(left.impurityStats().count()), float(right.impurityStats().count())))
-    return rows
-
-
-def prefix_ics(scored_leaves: DataFrame, ids: Sequence[str], target: str, n_trees: int, every: int = 1) -> DataFrame:
-    """IC of the score after each tree count, all prefixes in one plan.
-
-    Leaves are summed per block of ``every`` trees, then accumulated per row (one short
-    array), so picking the tree count needs no loop of jobs.
-    """
-    blocks = scored_leaves.groupBy(*ids, target, F.floor(F.col("tree_id") / every).alias("_blk")).agg(F.sum("leaf").alias("_s"))
-    arr = blocks.groupBy(*ids, target).agg(F.map_from_entries(F.collect_list(F.struct("_blk", "_s"))).alias("_m"))
-    n_blocks = (n_trees + every - 1) // every
-    cum = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda k: F.struct(
-        ((k + 1) * every).alias("n_trees"),
-        F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda a, i: a + F.coalesce(F.try_element_at(F.col("_m"), i.cast("bigint")), F.lit(0.0))).alias("score"))))
-    return spearman(arr.select(*ids, target, cum.alias("_c")).select(target, "_c.n_trees", "_c.score"), "score", target, ["n_trees"], min_n=5, on_small=0.0)
-
-
 def train_horizon(panel: DataFrame, features: Sequence[str], target: str, *, val_start: str, test_start: str, gate=5,
-                  count="post_count_1d", weight="sample_weight", time="date", ids=("ticker", "date"), n_trees=30, every=5,
-                  horizon="5d"):
-    """Scout on rows before the validation period, choose the tree count by validation IC,
-    refit on all training rows, and report IC per period (train / val / test kept apart)."""
-    from pulsegrid.models.stumps import STUMP_SCHEMA, leaf_values
-    from pulsegrid.operators.rollups import directional_accuracy
-
-    spark = panel.sparkSession
+                  count="post_count_1d", weight="sample_weight", time="date", n_trees=1000, patience=50, horizon="5d") -> DataFrame:
+    """Stumps with pseudo-Huber loss. A scout on rows before the validation period stops when the validation IC
+    no longer rises; the model is refitted on all training rows with that many trees and judged per period.
+
+    Rows per period: ``period, n_trees, n, ic, accuracy, positive, mean, spread, stumps``.
+    """
     v, t = F.lit(val_start).cast("date"), F.lit(test_start).cast("date")
-    rows = panel.where((F.col(count) >= gate) & F.col(target).isNotNull())
-    w = weight if weight in panel.columns else None
-    scout = fit_stumps(rows.where(F.col(time) < v), features, target, weight=w, n_trees=n_trees)
-    stumps = spark.createDataFrame(prefix_stumps(scout, features, horizon), STUMP_SCHEMA)
-    val = rows.where((F.col(time) >= v) & (F.col(time) < t))
-    leaves = leaf_values(val.select(*ids, target, *features), stumps, [*ids, target], features)
-    ics = prefix_ics(leaves, ids, target, len(scout.treeWeights), every)
-    best = ics.orderBy(F.col("ic").desc(), "n_trees").first()  # one row per tree count
-    n_best = int(best.n_trees) if best else n_trees
-    final = fit_stumps(rows.where(F.col(time) < t), features, target, weight=w, n_trees=n_best)
-    scored = final.transform(assemble(rows, features)).withColumn(
-        "period", F.when(F.col(time) < v, "train").when(F.col(time) < t, "val").otherwise("test"))
-    ic = spearman(scored, "pred", target, ["period"], min_n=5, on_small=0.0)
-    return final, n_best, ic.join(directional_accuracy(scored, "pred", target, ["period"]).drop("n"), "period")
+    rows = panel.where(F.col(count) >= gate)
+    groups = {"pre": F.col(time) < v, "val": (F.col(time) >= v) & (F.col(time) < t), "train": F.col(time) < t, "test": F.col(time) >= t}
+    fit = {"fit": horizon, "train": "train", "judge": {k: k for k in ("train", "val", "test")}, "scout": ["pre", "val", patience],
+           "n_trees": n_trees, "features": list(features), "params": boosting.STUMPS | boosting.HORIZONS[horizon]}
+    report = boosting.study(rows, features, target, groups, [fit], weight if weight in panel.columns else None)
+    return report.withColumnRenamed("role", "period").withColumnRenamed("fit", "horizon")
 
 
 def year_windows(panel: DataFrame, target: str, *, time="date", width=3) -> list[tuple[tuple[int, ...], tuple[int]]]:
@@ -98,73 +37,109 @@ def year_windows(panel: DataFrame, target: str, *, time="date", width=3) -> list
 
 
 def walk_forward_ics(panel: DataFrame, sets: dict[str, Sequence[str]], windows: Sequence[tuple[Sequence[int], Sequence[int]]],
-                     target: str, *, time="date", n_trees=10, step=0.05, depth=4, min_train=100, min_test=30) -> DataFrame:
-    """One fit per window and feature set; predictions stay distributed, ICs form one table."""
-    out = None
-    y = F.year(time)
-    for i, (train_years, test_years) in enumerate(windows):
-        train = panel.where(y.isin(list(train_years)) & F.col(target).isNotNull())
-        test = panel.where(y.isin(list(test_years)) & F.col(target).isNotNull())
-        for name, feats in sets.items():
-            avail = [f for f in feats if f in panel.columns]
-            model = fit_stumps(train, avail, target, n_trees=n_trees, step=step, subsample=0.8, depth=depth)
-            ic = spearman(model.transform(assemble(test, avail)), "pred", target, min_n=min_test)
-            row = ic.select(F.lit(i + 1).alias("window"), F.lit(name).alias("feature_set"), "n", "ic")
-            out = row if out is None else out.unionByName(row)
-    return out
-
-
-def shuffle_columns(df: DataFrame, columns: Sequence[str], row_id: str, replicate: int) -> DataFrame:
-    """Columns moved together to another row by a seeded permutation of the row numbers."""
-    from pulsegrid.operators.resample import shuffled_position
-    from pulsegrid.session import shuffle_width
-
-    moved = shuffled_position(df.select(row_id, *columns).withColumn("b", F.lit(replicate)), row_id, "b", "_pos",
-                              shuffle_width(df.sparkSession)).select(F.col("_pos").alias(row_id), *columns)
-    return df.drop(*columns).join(moved, row_id)
+                     target: str, *, time="date", n_trees=500, depth=4, min_train=100, min_test=30, params: dict | None = None) -> DataFrame:
+    """IC of every feature set in every window, all fits in one plan. ICs are null where a side has too few rows."""
+    y, features = F.year(time), list(dict.fromkeys(f for s in sets.values() for f in s if f in panel.columns))
+    groups, fits = {}, []
+    for i, (train_years, test_years) in enumerate(windows, 1):
+        groups |= {f"train {i}": y.isin(list(train_years)), f"test {i}": y.isin(list(test_years))}
+        for name, wanted in sets.items():
+            avail = [f for f in wanted if f in panel.columns]
+            if avail:
+                fits.append({"fit": f"{i} {name}", "train": f"train {i}", "judge": {"train": f"train {i}", "test": f"test {i}"}, "n_trees": n_trees,
+                             "features": avail, "params": (params or boosting.TREES) | {"depth": depth}})
+    done = boosting.study(panel, features, target, groups, fits)
+    key = [F.split("fit", " ", 2)[0].cast("int").alias("window"), F.split("fit", " ", 2)[1].alias("feature_set")]
+    per = done.groupBy(*key).agg(*(F.max(F.when(F.col("role") == r, F.col(c))).alias(a) for r, c, a in (
+        ("train", "n", "n_train"), ("test", "n", "n"), ("train", "ic", "train_ic"), ("test", "ic", "ic"))))
+    enough = (F.col("n_train") >= min_train) & (F.col("n") >= min_test)
+    return per.withColumn("ic", F.when(enough, F.col("ic")))
 
 
 def refit_permutation(train: DataFrame, test: DataFrame, features: Sequence[str], shuffled: Sequence[str], target: str,
-                      row_id: str, *, n=20, n_trees=10, depth=2) -> DataFrame:
-    """IC of models refitted on shuffled columns; a bounded number of refits."""
-    spark = train.sparkSession
-    train, test = settle(train), settle(test)  # read once per refit
-
-    def ic_of(tr: DataFrame, b: int) -> tuple[int, float | None]:
-        m = fit_stumps(tr, features, target, n_trees=n_trees, step=0.05, subsample=0.8, depth=depth)
-        return b, spearman(m.transform(assemble(test, features)), "pred", target, min_n=20).first().ic  # one row
-    real = spark.createDataFrame([ic_of(train, 0)], "b int, real_ic double").select("real_ic")
-    null = spark.createDataFrame([ic_of(shuffle_columns(train, shuffled, row_id, b), b) for b in range(1, n + 1)], "b int, ic double")
-    return null.crossJoin(F.broadcast(real)).agg(  # one row
+                      row_id: str, *, n=100, n_trees=500, depth=4, min_n=20) -> DataFrame:
+    """IC on the test rows of models refitted on shuffled columns, which move together; all refits in one plan.
+
+    ``row_id`` numbers the training rows 1..N. A replicate's shuffle is a keyed bijection of the positions.
+    """
+    ics = refit_ics(train, test, features, shuffled, target, row_id, n=n, n_trees=n_trees, depth=depth, min_n=min_n)
+    real = F.max(F.when(F.col("replicate") == 0, F.col("ic")))
+    null = F.col("replicate") > 0
+    one = ics.crossJoin(F.broadcast(ics.agg(real.alias("real_ic")))).where(null)  # one row
+    return one.agg(
         F.max("real_ic").alias("real_ic"), F.avg("ic").alias("perm_ic_mean"), F.stddev_pop("ic").alias("perm_ic_std"),
-        F.avg((F.col("ic") >= F.col("real_ic")).cast("double")).alias("p_value"), F.count(F.lit(1)).alias("n_permutations"),
+        F.avg((F.col("ic") >= F.col("real_ic")).cast("double")).alias("p_value"), F.count("*").alias("n_permutations"),
     ).withColumns({"stage_a_pass": F.col("p_value") < 0.10, "stage_b_pass": F.col("p_value") < 0.05})
 
 
+def refit_ics(train: DataFrame, test: DataFrame, features: Sequence[str], shuffled: Sequence[str], target: str,
+              row_id: str, *, n=100, n_trees=500, depth=4, min_n=20, params: dict | None = None) -> DataFrame:
+    """``replicate, ic`` of the model (0) and of ``n`` refits on shuffled columns."""
+    features = list(features)
+    bins = boosting.bins_for(len(features))
+    cut = lambda d, **only: boosting.code(features, edges, bins, **only)
+    train = settle(train.where(F.col(target).isNotNull()).select(F.col(row_id).alias("_at"), target, *features), "train")
+    total = train.count()
+    edges = boosting.bin_edges(train, features, bins)
+    y = F.col(target).cast("double").alias("target")
+    rows = train.select((F.col("_at") - 1).alias("at"), cut(train, only=[f for f in features if f not in shuffled]).alias("kept"), cut(train, only=list(shuffled)).alias("moved"), y)
+    real = train.select(F.lit("real").alias("group"), cut(train).alias("cell"), y)
+    judged = test.where(F.col(target).isNotNull()).select(F.lit("test").alias("group"), cut(test).alias("cell"), y)
+    every = real.unionByName(judged).unionByName(boosting.shuffled_cells(rows, total, n))
+    cells = settle(boosting.cell_table(every, "target"), "cells")
+    names = ["real", *(f"replicate {b}" for b in range(1, n + 1))]
+    fits = [{"fit": g, "train": g, "judge": {"test": "test"}, "n_trees": n_trees, "features": features, "params": (params or boosting.TREES) | {"depth": depth}} for g in names]
+    done = boosting.fit_all(cells, fits, features, bins, edges)
+    number = F.when(F.col("fit") == "real", 0).otherwise(F.substring("fit", 11, 10).cast("int"))
+    return settle(done.select(number.alias("replicate"), F.when(F.col("n") >= min_n, F.col("ic")).alias("ic")), "refits")
+
+
+def _in_time_order(rows: DataFrame, time: str, ids: Sequence[str]) -> tuple[DataFrame, int]:
+    """Rows numbered by time (ties by the other ids), and how many there are."""
+    from pulsegrid.operators.ordering import row_index
+
+    days = F.datediff(time, F.lit("1970-01-01").cast("date")).cast("double")
+    numbered = settle(row_index(rows, [time, *ids], days), "numbered")
+    return numbered, numbered.count()
+
+
 def learning_curve(panel: DataFrame, features: Sequence[str], target: str, *, test_start: str, shares=(0.25, 0.5, 0.75, 1.0),
-                   time="date", n_trees=10) -> DataFrame:
-    """Train and test IC on growing shares of the time-ordered training days, with flags."""
+                   time="date", ids=("ticker",), n_trees=100) -> DataFrame:
+    """Train and test IC on growing shares of the time-ordered training rows, with flags. The shares are groups of one table."""
     t = F.lit(test_start).cast("date")
-    rows = panel.where(F.col(target).isNotNull())
-    train, test = rows.where(F.col(time) < t), rows.where(F.col(time) >= t)
-    out = None
-    for s in shares:
-        part = train.crossJoin(F.broadcast(train.agg(F.min(time).alias("_a"), F.max(time).alias("_b")))).where(  # one row
-            F.datediff(time, "_a") <= s * F.datediff("_b", "_a")).drop("_a", "_b")
-        m = fit_stumps(part, features, target, n_trees=n_trees, step=0.05)
-        a = spearman(m.transform(assemble(part, features)), "pred", target, min_n=5, on_small=0.0).select(
-            F.lit(s).alias("share"), F.col("n").alias("n_train"), F.col("ic").alias("train_ic"))
-        scored = m.transform(assemble(test, features))
-        b = spearman(scored, "pred", target, min_n=5, on_small=0.0).select(F.col("ic").alias("test_ic"))
-        c = scored.agg(F.avg((F.col("pred") > 0).cast("double")).alias("share_positive"), F.stddev_samp("pred").alias("pred_std"))
-        r = a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))  # one row each
-        out = r if out is None else out.unionByName(r)
-    return out.withColumns({
+    rows = panel.where(F.col(target).isNotNull()).select(time, *ids, target, *features)
+    train, total = _in_time_order(rows.where(F.col(time) < t), time, ids)
+    every = train.unionByName(rows.where(F.col(time) >= t).withColumn("row_index", F.lit(None).cast("long")))
+    groups = {f"{s}": F.col("row_index") <= max(30, int(total * s)) for s in shares} | {"test": F.col("row_index").isNull()}
+    fits = [{"fit": f"{s}", "train": f"{s}", "judge": {"train": f"{s}", "test": "test"}, "n_trees": n_trees, "features": list(features),
+             "params": boosting.STUMPS | boosting.HORIZONS["5d"]} for s in shares]
+    done = boosting.study(every, features, target, groups, fits)
+    pick = lambda r, c: F.max(F.when(F.col("role") == r, F.col(c)))
+    per = done.groupBy(F.col("fit").cast("double").alias("share")).agg(
+        pick("train", "n").alias("n_train"), pick("train", "ic").alias("train_ic"), pick("test", "ic").alias("test_ic"), pick("test", "positive").alias("share_positive"), pick("test", "spread").alias("pred_std"))
+    return per.withColumns({
         "overfit": F.col("train_ic") - F.col("test_ic") > 0.10,
         "collapsed": F.coalesce(F.col("pred_std"), F.lit(0.0)) < 1e-4,
         "biased": (F.col("share_positive") > 0.9) | (F.col("share_positive") < 0.1)})
 
 
+def selection_bias(panel: DataFrame, features: Sequence[str], target: str, *, test_start: str, time="date", ids=("ticker",),
+                   n_trees=200, patience=20, margin=0.002) -> DataFrame:
+    """Test IC of a tree count chosen on the rows learned from against one chosen on the last fifth of the training rows."""
+    t = F.lit(test_start).cast("date")
+    rows = panel.where(F.col(target).isNotNull()).select(time, *ids, target, *features)
+    train, total = _in_time_order(rows.where(F.col(time) < t), time, ids)
+    every = train.unionByName(rows.where(F.col(time) >= t).withColumn("row_index", F.lit(None).cast("long")))
+    first = total - int(total * 0.2)
+    groups = {"first": F.col("row_index") <= first, "last": F.col("row_index") > first, "test": F.col("row_index").isNull()}
+    base = {"train": "first", "judge": {"test": "test"}, "n_trees": n_trees, "features": list(features), "params": boosting.STUMPS | boosting.HORIZONS["5d"]}
+    fits = [base | {"fit": "in_sample", "scout": ["first", "first", patience]}, base | {"fit": "held_out", "scout": ["first", "last", patience]}]
+    done = boosting.study(every, features, target, groups, fits)
+    pick = lambda f, c: F.max(F.when(F.col("fit") == f, F.col(c)))
+    one = done.agg(pick("in_sample", "n_trees").alias("n_in_sample"), pick("in_sample", "ic").alias("ic_in_sample"), pick("held_out", "n_trees").alias("n_held_out"), pick("held_out", "ic").alias("ic_held_out"))
+    return one.withColumn("bias", F.col("ic_in_sample") - F.col("ic_held_out")).withColumn("biased", F.col("bias") > margin)
+
+
 def balanced_weights(df: DataFrame, label: str, out="class_weight") -> DataFrame:
     """n / (classes * n of the class)."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))

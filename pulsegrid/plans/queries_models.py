@@ -1,19 +1,23 @@
-"""Queries that build whole panels, score them, or fit MLlib models."""
+"""Queries that build whole panels, score them, or fit models."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from pulsegrid.models import learners, stumps as st
-from pulsegrid.operators import rollups, setops
+from pulsegrid.operators import ic, rollups, setops
 from pulsegrid.operators.ordering import row_index
-from pulsegrid.plans import panel as jobs
+from pulsegrid.plans import panel as jobs, studies
 from pulsegrid.plans.catalog import query, r
 from pulsegrid.plans.queries_posts import ALIASES  # noqa: F401  (documents share the same feeds)
 from pulsegrid.plans.queries_signals import BASE, STUMPS, SV
+from pulsegrid.session import settle
 
 FEATS = ["post_count_1d", "sentiment_1d", "returns_1d", "returns_20d", "relative_volume"]
 Y = "target_return_5d"
+FAM = {"market": ["returns_1d", "returns_20d", "relative_volume"], "attention": ["post_count_1d"], "sentiment": ["sentiment_1d"]}
 
 
 def _calendar_inputs(t):
@@ -128,26 +132,35 @@ def _(t):
     return jobs.daily_signals(t.panel(), model, BASE, MODEL, sectors=sectors).select("ticker", "date", "signal", "sector")
 
 
-# MLlib models -------------------------------------------------------------------------------------------
+# models ------------------------------------------------------------------------------------------------
 @query("m20_boosted_stumps")
 def _(t):
-    """Tree count chosen on validation rows; IC and accuracy per period."""
-    _m, _n, report = learners.train_horizon(t.panel(), FEATS, Y, val_start="1998-07-01", test_start="1999-01-01", gate=3, n_trees=1000, every=5)
-    return report
+    """Both horizons: tree count chosen on validation rows; IC, accuracy and the stumps per period."""
+    p = settle(t.panel(), "panel")
+    of = lambda y, h: learners.train_horizon(p, FEATS, y, val_start="1998-07-01", test_start="1999-01-01", gate=3, n_trees=1000, horizon=h)
+    return of("target_return_1d", "1d").unionByName(of(Y, "5d"))
+
+
+#: Every combination of the sources.
+LATTICE = {"+".join(k): [f for s in k for f in FAM[s]] for n in (1, 2, 3) for k in combinations(FAM, n)}
 
 
 @query("m21_walk_forward_ablation")
 def _(t):
-    sets = {"market": ["returns_1d", "returns_20d", "relative_volume"], "all": FEATS}
-    p = t.panel()
-    return learners.walk_forward_ics(p, sets, learners.year_windows(p, Y), Y, n_trees=500, depth=4)
+    p = settle(t.panel(), "panel")
+    return learners.walk_forward_ics(p, LATTICE, learners.year_windows(p, Y), Y, n_trees=500, depth=4)
+
+
+def _refits(t):
+    p = settle(t.panel().where(F.col(Y).isNotNull()).select("ticker", "date", "year", Y, *FEATS), "panel")
+    tr = row_index(p.where("year <= 1997"), ["date", "ticker"], F.datediff("date", F.lit("1970-01-01").cast("date")).cast("double"))
+    return tr, p.where("year > 1997")
 
 
 @query("m22_refit_permutation")
 def _(t):
-    p = t.panel().where(F.col(Y).isNotNull()).select("ticker", "date", "year", Y, *FEATS)
-    tr = row_index(p.where("year <= 1997"), ["date", "ticker"], F.datediff("date", F.lit("1970-01-01").cast("date")).cast("double"))
-    return learners.refit_permutation(tr, p.where("year > 1997"), FEATS, ["sentiment_1d"], Y, "row_index", n=100, n_trees=500, depth=4)
+    tr, te = _refits(t)
+    return learners.refit_permutation(tr, te, FEATS, ["sentiment_1d"], Y, "row_index", n=100, n_trees=500, depth=4)
 
 
 @query("m23_learning_curve")
@@ -155,6 +168,28 @@ def _(t):
     return learners.learning_curve(t.panel(), FEATS, Y, test_start="1999-01-01", shares=(0.25, 0.5, 0.75, 1.0), n_trees=100)
 
 
+@query("m23_selection_bias")
+def _(t):
+    return learners.selection_bias(t.panel(), FEATS, Y, test_start="1999-01-01")
+
+
+@query("m26_source_lattice")
+def _(t):
+    """Every combination of sources in expanding windows, with the Granger years of each source and the verdict."""
+    return studies.source_lattice(settle(t.panel(), "panel"), FAM, Y, "market")
+
+
+@query("m27_adoption_from_runs")
+def _(t):
+    """Gates from a refit permutation, the monthly ICs of the panel and two walk-forward runs."""
+    p = settle(t.panel(), "panel")
+    tr, te = _refits(t)
+    perm = learners.refit_permutation(tr, te, FEATS, ["sentiment_1d"], Y, "row_index", n=100, n_trees=500, depth=4)
+    runs = settle(learners.walk_forward_ics(p, {"clean": FAM["market"], "original": FEATS}, learners.year_windows(p, Y), Y), "runs")
+    monthly = ic.grouped_ic(p, "returns_1d", Y, F.date_format("date", "yyyy-MM"))
+    return studies.adoption_from_runs(p, monthly, perm, runs, Y)
+
+
 @query("m24_logistic_regime")
 def _(t):
     """Balanced two-class model on bars, by-year split, precision and recall on later years."""

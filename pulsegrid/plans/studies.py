@@ -46,6 +46,38 @@ def source_study(panel: DataFrame, families: dict[str, Sequence[str]], target: s
         (F.col("mean_abs_ic") - F.col("_base")).alias("improvement"), (F.col("mean_abs_ic") == F.col("_best")).alias("best"))
 
 
+def source_lattice(panel: DataFrame, families: dict[str, Sequence[str]], target: str, baseline: str, *, current_ic=0.0562,
+                   margin=0.005, time="date", ids=("ticker",), n_trees=50) -> DataFrame:
+    """Walk-forward IC of every combination of sources over expanding windows, all fitted in one plan.
+
+    Per combination ``n_windows, mean_ic``, its edge over the baseline source, whether it is the best, the years in which
+    its sources Granger-cause the target, and the verdict: more sources than the baseline only if the best one's edge exceeds
+    ``margin``, a new model only if it beats the current IC by as much.
+    """
+    from itertools import combinations
+
+    from pulsegrid.models import boosting, learners
+    from pulsegrid.operators.granger import granger_lag1
+
+    sets = {"+".join(k): [f for s in k for f in families[s]] for n in range(1, len(families) + 1) for k in combinations(families, n)}
+    years = sorted(r[0] for r in panel.where(F.col(target).isNotNull()).select(F.year(time)).distinct().collect())  # one per year
+    windows = [(tuple(years[:i]), (years[i],)) for i in range(min(3, len(years)), len(years))]
+    ics = learners.walk_forward_ics(panel, sets, windows, target, time=time, n_trees=n_trees, depth=1, min_train=50, min_test=10, params=boosting.SOURCE_STUMPS)
+    per = ics.groupBy("feature_set").agg(F.count("ic").alias("n_windows"), F.avg("ic").alias("mean_ic"))
+    feats = [f for fs in families.values() for f in fs]
+    of = F.create_map(*[F.lit(x) for s, fs in families.items() for f in fs for x in (f, s)])
+    tested = granger_lag1(panel.withColumn("year", F.year(time)), feats, target, "year", [time, *ids], F.datediff(time, F.lit("1970-01-01").cast("date")).cast("double"))
+    years_of = tested.where("p_value < 0.05").select(of[F.col("feature")].alias("family"), "year").distinct()
+    in_set = per.select("feature_set", F.explode(F.split("feature_set", "[+]")).alias("family"))
+    significant = in_set.join(years_of, "family", "left").groupBy("feature_set").agg(F.count_distinct("year").alias("granger_years"))
+    ref = per.agg(F.max(F.when(F.col("feature_set") == baseline, F.col("mean_ic"))).alias("_base"), F.max("mean_ic").alias("_best"))
+    edge = F.col("_best") - F.coalesce("_base", F.lit(0.0))
+    return per.join(significant, "feature_set").crossJoin(F.broadcast(ref)).select(  # one row
+        "feature_set", "n_windows", "mean_ic", (F.col("mean_ic") - F.coalesce("_base", F.lit(0.0))).alias("improvement"),
+        (F.col("mean_ic") == F.col("_best")).alias("best"), "granger_years", F.when(F.col("granger_years") >= 2, "HAS_SIGNAL").otherwise("WEAK_SIGNAL").alias("granger_verdict"),
+        F.when(edge > margin, "use_external_sources").otherwise(f"{baseline}_only").alias("recommendation"), (F.col("_best") - current_ic > margin).alias("retrain_needed"))
+
+
 def adoption_verdict(gate: DataFrame, permutation: DataFrame, effective: DataFrame, clean: DataFrame, original: DataFrame,
                      margin=0.005) -> DataFrame:
     """Gates R1-R4 (regime, permutation, effective IC, walk-forward mean) and the verdict."""
@@ -60,6 +92,18 @@ def adoption_verdict(gate: DataFrame, permutation: DataFrame, effective: DataFra
     return j.withColumn("verdict", F.when(ok & F.col("r2b"), "ADOPT").when(ok, "ADOPT_MARGINAL").otherwise("REJECT"))
 
 
+def adoption_from_runs(panel: DataFrame, monthly: DataFrame, permutation: DataFrame, runs: DataFrame, target: str, *,
+                       count="post_count_1d", gate=10, clean="clean", original="original") -> DataFrame:
+    """M27 from measured inputs: window ICs, a refit permutation, and walk-forward runs of both feature sets.
+
+    The effective IC takes its raw IC from the clean run and its coverage from the share of rows that pass the density gate.
+    """
+    held = panel.where(F.col(target).isNotNull()).agg(F.sum((F.col(count) >= gate).cast("long")).alias("_k"), F.count("*").alias("_t"))
+    ours = runs.where((F.col("feature_set") == clean) & F.col("ic").isNotNull()).crossJoin(F.broadcast(held))  # one row
+    effective = ic.effective_ic(ours, F.avg("ic"), F.max("_k"), F.max("_t"))
+    return adoption_verdict(ic.regime_gate(monthly), permutation, effective, runs.where(F.col("feature_set") == clean), runs.where(F.col("feature_set") == original))
+
+
 def fold_table(daily: DataFrame, days: DataFrame, **kw) -> DataFrame:
     """Expanding folds with test and training statistics of a daily return series."""
     from pulsegrid.operators.folds import expanding_folds, fold_returns
@@ -67,4 +111,4 @@ def fold_table(daily: DataFrame, days: DataFrame, **kw) -> DataFrame:
     return fold_returns(daily, expanding_folds(days, **kw))
 
 
-__all__ = ["adoption_verdict", "equity", "fold_table", "rank_study", "rank_study_days", "source_study"]
+__all__ = ["adoption_from_runs", "adoption_verdict", "equity", "fold_table", "rank_study", "rank_study_days", "source_lattice", "source_study"]
