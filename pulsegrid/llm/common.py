@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -27,6 +28,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column has it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def shared_uri(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder with its scheme: one without belongs to the session's default file system, as for Spark's own tables."""
+    path = scratch_path(spark, name)
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        path = (spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///").rstrip("/") + path
+    return re.sub("^file:/+", "file:///", path)
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -22,7 +22,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import small, stage
+from pulsegrid.llm.common import small, stage, unused
 
 SHINGLE = 5
 BLOCKS, BLOCK_BITS, RADIUS = 8, 8, 23
@@ -135,8 +135,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, percent: int = 80)
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``documents``, all columns, that hold no benchmark item. Cases as in ``contamination``."""
-    bad = stage(matches(documents, benchmark, percent).select(F.col("key").alias("__key")).distinct(), "contaminated")
-    return documents.join(small(bad), F.xxhash64("doc_id", "text") == F.col("__key"), "left_anti")
+    key = unused(documents, "key")
+    bad = stage(matches(documents.select("doc_id", "text"), benchmark, percent).select(F.col("key").alias(key)).distinct(), "contaminated")
+    return documents.join(small(bad), F.xxhash64("doc_id", "text") == F.col(key), "left_anti")
 
 
 CHECK_SQL = rf"""

@@ -29,11 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import slices, small, stage, width
+from pulsegrid.llm.common import shared_uri, slices, small, stage, width
 from pulsegrid.llm.graph import hot_join
 from pulsegrid.llm.shingling import BATCH_BYTES, mixed, powers
 from pulsegrid.llm.warc import create, opened
-from pulsegrid.session import scratch_path
 
 LENGTH, GRAM, BLOCK = 400, 32, 64
 #: Segments of one core that one task orders together at most, and segments ordered (or cut) at once.
@@ -340,7 +339,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     suspects = documents.join(listed, "row").select("row", "text", "spans")
 
     found = stage(segments(suspects, length), "segments")
-    hits = repeated_runs(stage(kinds_of(found, "times"), "kinds"), length, scratch_path(documents.sparkSession, "columns"))
+    hits = repeated_runs(stage(kinds_of(found, "times"), "kinds"), length, shared_uri(documents.sparkSession, "columns"))
     reach = (F.col("times") - 1) * F.col("step")  # places of a run are nearer to each other than windows are long
     return (
         found.select("row", "start", reach.alias("reach"), "segment").join(hits, "segment").select("row", "start", "reach", F.explode("runs").alias("r"))

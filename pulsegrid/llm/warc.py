@@ -29,8 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import slices, stage, width
-from pulsegrid.session import scratch_path
+from pulsegrid.llm.common import shared_uri, slices, stage, width
 
 #: Payloads of at least this size are stored once.
 MIN_REVISIT = 1000
@@ -268,6 +267,6 @@ def archive_and_read_back(pages: DataFrame) -> DataFrame:
     record each, all responses if they hold the kept page; an empty table gives no rows; other columns are ignored.
     """
     pages = pages.select("page_id", "url", "html")
-    folder = scratch_path(pages.sparkSession, "warc")
+    folder = shared_uri(pages.sparkSession, "warc")
     ranges = build_index(write_archives(pages, f"{folder}/archives"), f"{folder}/index")
     return lookup(pages, ranges)
