@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontaminate, ngram_join, pieces, pii, toxicity
-from pulsegrid.llm.common import stage
+from pulsegrid.llm import copies, decontaminate, pieces, pii, toxicity
+from pulsegrid.llm.common import stage, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,38 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the row with the smallest doc_id; of rows with equal id and text the first as JSON.
-
-    Rows without any word are in no group and all stay, also those that share their doc_id with others. Rows with
-    different texts under one doc_id are documents of their own. Rows without a doc_id all stay, any number of exact copies of them too.
-    """
-    worded = F.coalesce(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")), F.lit(0)) > 0
-    named = worded & F.col("doc_id").isNotNull()
-    per = docs.where(named).select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("h") < F.max("h")).alias("mixed"))
-    again = stage(per.where("n > 1").select("doc_id", "mixed"), "repeated")
-    mixed = again.where("mixed").select(F.col("doc_id").alias("__mixed"))
-    several = not mixed.isEmpty()
-    key = unused(docs, "__key")
-    keyed = docs.withColumn(key, F.col("doc_id"))
-    if several:  # a key for each text of such an id
-        own = F.when(named & F.col("__mixed").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
-        keyed = docs.join(mixed, F.col("doc_id") == F.col("__mixed"), "left").withColumn(key, own).drop("__mixed")
-    found = ngram_join.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    if several:
-        ids = keyed.where(named).select(F.col(key).alias("__drop"), F.col("doc_id").alias("__id")).distinct()
-        members = stage(found.select(F.col("doc_id").alias("__drop"), "component_id").distinct().join(ids, "__drop"), "members")
-        first = members.groupBy("component_id").agg(F.min(F.struct("__id", "__drop"))["__drop"].alias("__first"))
-        rest = members.join(first, "component_id").where("__drop <> __first").select("__drop")
-    else:
-        rest = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    kept = keyed.join(rest, named & (F.col(key) == F.col("__drop")), "left_anti")
-    if again.isEmpty():
-        return kept.drop(key)
-    marked = again.select(F.col("doc_id").alias("__again"))
-    one = named & (F.col("doc_id") == F.col("__again"))
-    single = kept.join(marked, one, "left_anti")
-    double = kept.join(marked, one, "left_semi").groupBy(key).agg(F.min_by(F.struct("*"), F.to_json(F.struct("*"))).alias("__row")).select("__row.*")
-    return single.unionByName(double).drop(key)
+    """Of each near-duplicate component the row with the smallest doc_id. Cases as in ``copies.one_of_each_group``."""
+    return copies.one_of_each_group(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,13 +43,6 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode_and_check(docs)
 
 
-def unused(docs: DataFrame, name: str) -> str:
-    """``name``, with underscores before it until no column has it."""
-    while name in docs.columns:
-        name = f"_{name}"
-    return name
-
-
 STAGES = [
     ("toxicity", drop_toxic),
     ("ngram_jaccard_join", one_of_each_group),
