@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.exprs import clamp
+from pulsegrid.functions.matching import listed
 
 WORDS = r"(?U)(\w+)"
 DOLLAR = r"(?U)\$([A-Z]{1,5})\b"
@@ -32,31 +33,31 @@ def symbol_mentions(df: DataFrame, text: str, symbols: Sequence[str], false_posi
                     out="ticker") -> DataFrame:
     """one row per text and known symbol, with the stronger tier for ``$SYM``.
 
-    Words are intersected with the configured list inside each row, so common words
-    never become rows or shuffle keys.
+    Words are looked up in the hashed list inside each row, so common words never become rows or shuffle keys,
+    and the time does not depend on the length of the list.
     """
-    known = F.array(*[F.lit(s) for s in symbols])
-    tagged_ok = F.array(*[F.lit(s) for s in symbols if s not in set(false_positives)])
     t = text_of(text)
-    plain = F.array_intersect(F.regexp_extract_all(t, F.lit(WORDS), F.lit(1)), known)
-    tagged = F.array_intersect(F.regexp_extract_all(t, F.lit(DOLLAR), F.lit(1)), tagged_ok)
+    plain = listed(F.regexp_extract_all(t, F.lit(WORDS), F.lit(1)), df, symbols, "_plain")
+    both = listed(F.regexp_extract_all(t, F.lit(DOLLAR), F.lit(1)), plain, [s for s in symbols if s not in set(false_positives)], "_tag")
     return (
-        df.withColumns({"_tag": tagged, "_all": F.array_union(plain, tagged)})
+        both.withColumn("_all", F.array_union("_plain", "_tag"))
         .withColumn(out, F.explode("_all"))
         .withColumn("match_type", F.when(F.array_contains("_tag", F.col(out)), "dollar").otherwise("word"))
         .withColumn("confidence", F.when(F.col("match_type") == "dollar", 1.0).otherwise(0.8))
-        .drop("_tag", "_all")
+        .drop("_tag", "_all", "_plain")
     )
 
 
 def unknown_symbols(df: DataFrame, text: str, known: Sequence[str] = (), noise: Sequence[str] = tuple(DISCOVERY_NOISE),
                     extra: Sequence[str] = ()) -> DataFrame:
-    """capitalised 1-5 letter tokens that are neither known nor noise, counted per match."""
-    skip = F.array(*[F.lit(s) for s in [*known, *noise]]) if (known or noise) else F.array().cast("array<string>")
+    """capitalised 1-5 letter tokens that are neither known nor noise, counted per match.
+
+    Tokens are counted first; the lists are compared with the counts, one row per distinct token.
+    """
     toks = F.regexp_extract_all(text_of(text), F.lit(UNKNOWN), F.lit(1))
-    keep = F.filter(toks, lambda x: ~F.array_contains(skip, x))
-    return df.select(*extra, F.explode(keep).alias("symbol")).groupBy(*extra, "symbol").agg(
-        F.count(F.lit(1)).alias("n_mentions"))
+    counts = df.select(*extra, F.explode(toks).alias("symbol")).groupBy(*extra, "symbol").agg(F.count(F.lit(1)).alias("n_mentions"))
+    skip = sorted({*known, *noise})
+    return counts.where(~F.col("symbol").isin(skip)) if skip else counts
 
 
 def most_frequent(df: DataFrame, column: str, k=10) -> DataFrame:

@@ -34,3 +34,29 @@ def generate_rows(df: DataFrame, column: str, fn: Callable[[object], Iterable[tu
             yield pd.DataFrame(rows, columns=[*keep, *names])
 
     return df.select(*keep, column).mapInPandas(run, out)
+
+
+def table_function(fn: Callable[[object], Iterable[tuple]], schema: str):
+    """A row generator as a table function for SQL and DataFrames.
+
+    ``name(TABLE(t) [PARTITION BY ..], 'column')`` gives every column of ``t`` and the tuples that ``fn`` yields for the
+    value of the named column. The result's columns follow from the table given.
+    """
+    from pyspark.sql.functions import udtf
+    from pyspark.sql.types import StructType
+    from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+
+    made = StructType.fromDDL(schema)
+
+    class RowGenerator:
+        @staticmethod
+        def analyze(rows: AnalyzeArgument, column: AnalyzeArgument) -> AnalyzeResult:
+            if not rows.isTable or not column.isConstantExpression or column.value not in rows.dataType.names:
+                raise ValueError("expected a table and the name of one of its columns")
+            return AnalyzeResult(schema=StructType([*rows.dataType.fields, *made.fields]))
+
+        def eval(self, row, column):
+            for more in fn(row[column]):
+                yield (*row, *more)
+
+    return udtf(RowGenerator)

@@ -179,6 +179,17 @@ def contract_valid(checked: DataFrame) -> DataFrame:
     return checked.where(F.size("violations") == 0).drop("violations")
 
 
+def contract_summary(checked: DataFrame) -> DataFrame:
+    """Rows in, valid, dropped, and violations found, as one row."""
+    bad = F.size("violations")
+    return checked.agg(F.count("*").alias("n_rows"), F.count_if(bad == 0).alias("n_valid"), F.count_if(bad > 0).alias("n_dropped"), F.coalesce(F.sum(bad), F.lit(0)).cast("bigint").alias("n_violations"))
+
+
+def contract_counts(checked: DataFrame) -> DataFrame:
+    """Violations per column and check."""
+    return checked.select(F.explode("violations").alias("_v")).groupBy("_v.column", "_v.check").agg(F.count("*").alias("n"))
+
+
 def contract_report(checked: DataFrame, ids: Sequence[str]) -> DataFrame:
     return checked.select(*ids, F.explode("violations").alias("_v")).select(*ids, "_v.column", "_v.check", "_v.value")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.exprs import ratio
+from pulsegrid.functions.matching import occurring_keys
 from pulsegrid.operators.technical import by_key
 
 
@@ -109,12 +110,11 @@ def clear_of_events(rows: DataFrame, events: DataFrame, hold=5, buffer=3, key="t
 def alias_matches(df: DataFrame, text: str, aliases: dict[str, str], out="ticker") -> DataFrame:
     """One row per text and key whose alias occurs in the lower-cased text.
 
-    The alias list is configuration, so it travels as an array constant; no join is needed.
+    The alias list is configuration; one automaton over all aliases reads each text once, however many there are.
+    Of aliases that are equal in lower case the last one counts.
     """
-    known = F.array(*[F.struct(F.lit(a.lower()).alias("a"), F.lit(k).alias("k")) for a, k in aliases.items()])
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    hits = F.array_distinct(F.transform(F.filter(known, lambda s: F.contains(F.col("_low"), s["a"])), lambda s: s["k"]))
-    return df.withColumn("_low", low).withColumn(out, F.explode(hits)).drop("_low")
+    hits = occurring_keys(df, F.lower(F.col(text)), {a.lower(): k for a, k in aliases.items()}, "_keys")
+    return hits.withColumn(out, F.explode("_keys")).drop("_keys")
 
 
 def alias_coverage(texts: DataFrame, aliases: dict[str, str], text="text", text_id="id", time="date", key="ticker") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators.ic import feature_ic_table
 from pulsegrid.operators.rollups import unpivot_doubles
 from pulsegrid.operators.technical import by_key
+from pulsegrid.session import settle
 
 
 class PanelIntegrityError(ValueError):
@@ -109,7 +110,8 @@ def late_key_rows(panel: DataFrame, new_after_days=60, first_rows=3, key="ticker
 
 def integrity_suite(panel: DataFrame, folds: DataFrame, features: Sequence[str], suspects: Sequence[str], *, today: str,
                     train_end="2023-12-31", test_start="2024-01-01", n_buckets: int | None = None) -> DataFrame:
-    """All seven checks as rows (check, status, n_violations)."""
+    """All seven checks as rows (check, status, n_violations). The panel is written once and read by each."""
+    panel = settle(panel, "panel")
     parts = [
         check_future_targets(panel, today), check_return_recomputation(panel), check_purge_gap(folds),
         check_target_correlation(panel, features, n_buckets=n_buckets), check_normalisation(panel, suspects),

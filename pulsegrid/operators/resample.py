@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,22 +61,56 @@ def shuffled_position(df: DataFrame, row_id: str, replicate: str, out: str, widt
         out, F.col("_rn") + F.col("_off")).drop("_h", "_rn", "_off", BUCKET)
 
 
+#: Rounds of a keyed shuffle.
+ROUNDS = 24
+
+
+def _half_of(row: np.ndarray, replicate: int) -> np.ndarray:
+    """``_half`` on arrays."""
+    h = (row % PRIME * 48271 + (replicate * 69621 + 11)) % PRIME
+    h = (h * h + h * 1103515245) % PRIME
+    return (h * h + replicate * 40692) % PRIME
+
+
+def shuffled_to(row: np.ndarray, replicate: int, n: int) -> np.ndarray:
+    """Where the replicate's shuffle of [0, n) sends each row: arithmetic on the row alone, a bijection for every n.
+
+    Each round pairs x with k - x modulo n and swaps the two or not by a bit that both sides compute alike.
+    """
+    x = row.astype(np.int64)
+    for k in range(1, ROUNDS + 1):
+        y = (int(_half_of(np.array([k * 7919]), replicate)[0]) % n + n - x) % n
+        x = np.where(_half_of(np.maximum(x, y) * 31 + k, replicate) >> 16 & 1, y, x)
+    return x
+
+
+def shuffled_rows(df: DataFrame, row_id: str, value: str, n: int, n_replicates: int) -> DataFrame:
+    """``b, _pos`` and ``value`` of every row (numbered 1..n) in every replicate's order."""
+
+    def run(batches):
+        for batch in batches:
+            rows = batch[row_id].to_numpy() - 1
+            for b in range(1, n_replicates + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), b, np.int32)), pa.array(shuffled_to(rows, b, n) + 1), batch[value]], ["b", "_pos", value])
+
+    spread = df.select(F.col(row_id).cast("long").alias(row_id), value).repartition(shuffle_width(df.sparkSession), row_id)  # copies are not made in one ordered task
+    return spread.mapInArrow(run, f"b int, _pos long, {value} double")
+
+
 def permutation_test(df: DataFrame, row_id: str, pred: str, actual: str, n_permutations=100,
                      threshold=0.05, n_buckets: int | None = None) -> DataFrame:
     """M3: null distribution of the IC under shuffled outcomes.
 
-    Ranks are computed once; a permutation only re-pairs them. ``row_id`` must number
-    the rows 1..n (``row_index``).
+    Ranks are computed once and stored by position; a permutation only re-pairs them, by one join on the position
+    that a row is sent to. ``row_id`` must number the rows 1..n (``row_index``).
     """
     rows = settle(df.select(row_id, pred, actual).where(F.col(pred).isNotNull() & F.col(actual).isNotNull()))
     rp = average_rank(rows, pred, n_buckets=n_buckets).select(pred, F.col("rank_avg").alias("_rp"))
     ra = average_rank(rows, actual, n_buckets=n_buckets).select(actual, F.col("rank_avg").alias("_ra"))
     ranked = rows.select(row_id, pred, actual).join(rp, pred).join(ra, actual).select(row_id, "_rp", "_ra")
     ranked = settle(ranked)  # read once per side and once for the observed value
-    width = n_buckets or shuffle_width(df.sparkSession)
-    left = replicates(ranked.select(F.col(row_id).alias("_pos"), "_rp"), n_permutations)
-    right = shuffled_position(replicates(ranked.select(row_id, "_ra"), n_permutations), row_id, "b", "_pos", width)
-    null = left.join(right.select("b", "_pos", "_ra"), ["b", "_pos"]).groupBy("b").agg(F.corr("_rp", "_ra").alias("ic"))
+    sent = shuffled_rows(ranked, row_id, "_rp", ranked.count(), n_permutations)
+    null = sent.join(ranked.select(F.col(row_id).alias("_pos"), "_ra"), "_pos").groupBy("b").agg(F.corr("_rp", "_ra").alias("ic"))
     obs = ranked.agg(F.corr("_rp", "_ra").alias("observed_ic"))
     return null.crossJoin(F.broadcast(obs)).agg(  # one row; the null has one row per permutation
         F.max("observed_ic").alias("observed_ic"), F.count(F.lit(1)).alias("n_permutations"),

@@ -109,6 +109,49 @@ def _(t):
     return filters.contract_valid(_checked(t)).select("post_id", "ticker", "upvotes")
 
 
+BARS = {"bad_bars": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_extendedprice AS DOUBLE) END AS open, CAST(l_extendedprice AS DOUBLE) AS high, CAST(l_extendedprice AS DOUBLE) * (1 - CAST(l_discount AS DOUBLE) * 10) AS low,
+ CAST(l_extendedprice AS DOUBLE) AS close, CAST(l_quantity AS DOUBLE) - 2 AS volume FROM lineitem"""}
+NO_BAR = "(CASE WHEN {c} IS NULL OR {c} {op} 0 THEN 1 ELSE 0 END)"
+BAR_CHECKS = [(c, "gt_0", "<=") for c in ("open", "high", "low", "close")] + [("volume", "ge_0", "<")]
+N_BAD = " + ".join(NO_BAR.format(c=c, op=op) for c, _, op in BAR_CHECKS)
+
+
+def _bars_checked(t):
+    p = F.col("l_extendedprice").cast("double")
+    d = t.base("lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 7, None).otherwise(p).alias("open"), p.alias("high"), (p * (1 - F.col("l_discount").cast("double") * 10)).alias("low"),
+                                  p.alias("close"), (F.col("l_quantity").cast("double") - 2).alias("volume"))
+    return filters.contract_violations(d, schema.BAR_CONTRACT)
+
+
+@query("p13_bar_contract_summary", f"SELECT count(*) AS n_rows, count(*) FILTER (v = 0) AS n_valid, count(*) FILTER (v > 0) AS n_dropped, CAST(sum(v) AS BIGINT) AS n_violations FROM (SELECT {N_BAD} AS v FROM bad_bars)", views=BARS)
+def _(t):
+    return filters.contract_summary(_bars_checked(t))
+
+
+@query("p13_bar_contract_counts", " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{k}' AS "check", count(*) AS n FROM bad_bars WHERE {c} IS NULL OR {c} {op} 0 HAVING count(*) > 0""" for c, k, op in BAR_CHECKS), views=BARS)
+def _(t):
+    return filters.contract_counts(_bars_checked(t))
+
+
+POSTS_BAD = {"bad_posts": """SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE CAST(conv_id AS VARCHAR) END AS post_id, text AS title, conv_id % 9 - 1 AS upvotes, CASE WHEN turn % 3 = 2 THEN -turn ELSE turn END AS comment_count, CASE WHEN conv_id % 10 = 0 THEN NULL ELSE conv_id * 1.0E0 END AS created_utc FROM conversations"""}
+N_POST = "(CASE WHEN post_id IS NULL THEN 1 ELSE 0 END) + (CASE WHEN title IS NULL THEN 1 ELSE 0 END) + (CASE WHEN upvotes IS NULL OR upvotes < 0 THEN 1 ELSE 0 END) + (CASE WHEN comment_count IS NULL OR comment_count < 0 THEN 1 ELSE 0 END) + (CASE WHEN created_utc IS NULL THEN 1 ELSE 0 END)"
+
+
+@query("p13_post_contract_summary", f"SELECT count(*) AS n_rows, count(*) FILTER (v = 0) AS n_valid, count(*) FILTER (v > 0) AS n_dropped, CAST(sum(v) AS BIGINT) AS n_violations FROM (SELECT {N_POST} AS v FROM bad_posts)", views=POSTS_BAD)
+def _(t):
+    c, k = F.col("conv_id"), F.col("turn")
+    d = t.base("conversations").select(F.when(k % 5 == 4, None).otherwise(c.cast("string")).alias("post_id"), F.col("text").alias("title"), (c % 9 - 1).alias("upvotes"),
+                                       F.when(k % 3 == 2, -k).otherwise(k).alias("comment_count"), F.when(c % 10 == 0, None).otherwise(c.cast("double")).alias("created_utc"))
+    return filters.contract_summary(filters.contract_violations(d, schema.POST_CONTRACT))
+
+
+@query("p13_feature_contract_summary", """SELECT count(*) AS n_rows, count(*) FILTER (v = 0) AS n_valid, count(*) FILTER (v > 0) AS n_dropped, CAST(sum(v) AS BIGINT) AS n_violations
+FROM (SELECT (CASE WHEN ticker IS NULL THEN 1 ELSE 0 END) + (CASE WHEN post_count_1d - 3 < 0 THEN 1 ELSE 0 END) + (CASE WHEN sentiment_1d * 1000 NOT BETWEEN 0 AND 100 THEN 1 ELSE 0 END) + (CASE WHEN relative_volume < 0 THEN 1 ELSE 0 END) AS v FROM panel)""")
+def _(t):
+    d = t.panel().select("ticker", (F.col("post_count_1d") - 3).alias("post_count_1d"), (F.col("sentiment_1d") * 1000).alias("rsi_14"), "relative_volume")
+    return filters.contract_summary(filters.contract_violations(d, schema.FEATURE_CONTRACT))
+
+
 @query("p14_nan_to_null", "SELECT event_id, CASE WHEN event_id % 11 IN (0,1,2) THEN NULL ELSE value END AS value FROM events")
 def _(t):
     e = F.col("event_id") % 11

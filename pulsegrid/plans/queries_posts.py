@@ -457,3 +457,13 @@ def _(t):
 def _(t):
     from pulsegrid.operators.extend import generate_rows
     return generate_rows(t.texts(), "title", lambda v: enumerate(v.split(" ")), "pos int, word string", keep=["id"])
+
+
+@query("x06_table_function", """SELECT id, CAST(unnest(range(len(string_split(title, ' ')))) AS INT) AS pos, unnest(string_split(title, ' ')) AS word FROM texts""")
+def _(t):
+    """The same rows from SQL: a table function over a partitioned table argument."""
+    from pulsegrid.operators.extend import table_function
+
+    t.spark.udtf.register("title_words", table_function(lambda v: enumerate((v or "").split(" ")), "pos int, word string"))
+    t.texts().select("id", "title").createOrReplaceTempView("titled")
+    return t.spark.sql("SELECT id, pos, word FROM title_words(TABLE(titled) PARTITION BY (id), 'title')")

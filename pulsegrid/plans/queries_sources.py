@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,7 +10,7 @@ from pulsegrid.functions import text as tx
 from pulsegrid.operators import filters
 from pulsegrid.plans.catalog import query, r
 from pulsegrid.session import scratch_path
-from pulsegrid.sources import readers, writers
+from pulsegrid.sources import lines, readers, writers
 
 
 @query("s01_parquet_columns", f"SELECT event_id, event_type, {r('value', 'value')} FROM events")
@@ -66,6 +67,16 @@ def _(t):
     return readers.symbol_list(t.spark, path, exclude=["BRAND#7"]).select("ticker")
 
 
+@query("s05_symbol_order", "SELECT upper(p_brand) AS ticker, CAST(row_number() OVER (ORDER BY min(p_partkey)) AS INT) AS place FROM part WHERE p_brand <> 'Brand#7' GROUP BY 1")
+def _(t):
+    """The same list in file order: many files, read in ranges of a few kilobytes."""
+    line = F.concat(F.lit("  "), F.lower("p_brand"), F.lit(" "))
+    path = scratch_path(t.spark, "symbols")
+    t.base("part").orderBy("p_partkey").select(F.explode(F.array(line, F.lit(""), F.concat(F.lit("# "), F.col("p_brand")))).alias("value")).write.text(path)
+    found = lines.ordered_symbols(t.spark, path, exclude=["BRAND#7"], split_bytes=4096)
+    return found.select("ticker", F.row_number().over(Window.orderBy("position")).alias("place"))  # one row per symbol
+
+
 @query("s06_registry", "SELECT DISTINCT p_brand AS ticker, concat('T', CAST(regexp_extract(p_brand,'[0-9]+',0) AS INT) % 2) AS tier, concat('S', CAST(regexp_extract(p_brand,'[0-9]+',0) AS INT) % 5) AS sector FROM part WHERE CAST(regexp_extract(p_brand,'[0-9]+',0) AS INT) % 3 <> 0 AND CAST(regexp_extract(p_brand,'[0-9]+',0) AS INT) % 2 = 1")
 def _(t):
     n = F.regexp_extract("p_brand", "[0-9]+", 0).cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from pulsegrid.operators import equity, folds, granger, ic, joins, quality, resa
 from pulsegrid.operators.ordering import exact_quantiles, row_index, running
 from pulsegrid.plans import studies
 from pulsegrid.plans.catalog import ORACLES, query, r, rs
+from pulsegrid.session import settle
 
 FEATS = ["post_count_1d", "sentiment_1d", "returns_1d", "returns_20d", "relative_volume"]
 Y = "target_return_5d"
@@ -291,6 +294,20 @@ def mix_sql(row: str, b: str) -> str:
     return f"({half(row)} * 2147483647 + {half(f'({row}) + ({row}) // 2147483647')})"
 
 
+def half_sql(row: str, b: str) -> str:
+    h1 = f"((({row})::BIGINT % 2147483647) * 48271 + ({b})::BIGINT * 69621 + 11) % 2147483647"
+    h2 = f"((({h1})*({h1}) + ({h1})*1103515245) % 2147483647)"
+    return f"(({h2}*{h2} + ({b})::BIGINT*40692) % 2147483647)"
+
+
+def shuffled_sql(rows: str, rounds: int) -> str:
+    """SQL rows (with ``x``, ``b`` and ``n``) after every round of the keyed shuffle."""
+    for k in range(1, rounds + 1):
+        paired = f"SELECT *, ({half_sql(str(k * 7919), 'b')} % n + n - x) % n AS y FROM ({rows})"
+        rows = f"SELECT * EXCLUDE (y) REPLACE (CASE WHEN (({half_sql(f'greatest(x, y) * 31 + {k}', 'b')}) >> 16) & 1 = 1 THEN y ELSE x END AS x) FROM ({paired})"
+    return rows
+
+
 NUM = {"numbered": "SELECT id, row_number() OVER (ORDER BY id) AS row_index, pred, actual, pnl_pct FROM trades"}
 PERMUTED, BOOTSTRAPPED, BLOCKED = 100, 50, 1000  # replicates of the three tests
 
@@ -300,8 +317,8 @@ def _numbered(t):
     return row_index(d, ["id"], F.col("id").cast("double"))
 
 
-@query("m03_permutation_test", f"""WITH k AS ({ranked('numbered', 'pred', 'actual')}), h AS (SELECT b, row_index, ry, {mix_sql('row_index', 'b')} AS h FROM k, (SELECT unnest(generate_series(1,{PERMUTED})) AS b)),
-s AS (SELECT b, ry, row_number() OVER (PARTITION BY b ORDER BY h, row_index) AS pos FROM h), n AS (SELECT s.b, corr(k.rx, s.ry) AS ic FROM k JOIN s ON s.pos=k.row_index GROUP BY 1), o AS (SELECT corr(rx,ry) AS o FROM k)
+@query("m03_permutation_test", f"""WITH k AS ({ranked('numbered', 'pred', 'actual')}), s AS ({shuffled_sql(f"SELECT b, rx, CAST(row_index - 1 AS BIGINT) AS x, (SELECT count(*) FROM k) AS n FROM k, (SELECT unnest(generate_series(1,{PERMUTED})) AS b)", resample.ROUNDS)}),
+n AS (SELECT s.b, corr(s.rx, k.ry) AS ic FROM k JOIN s ON s.x + 1 = k.row_index GROUP BY 1), o AS (SELECT corr(rx,ry) AS o FROM k)
 SELECT {r('max(o)', 'observed_ic')}, count(*) AS n_permutations, {r('avg(ic)', 'null_ic_mean')}, {r('stddev_pop(ic)', 'null_ic_std')}, {r('quantile_cont(ic,0.95)', 'null_ic_p95')}, {r('avg(CASE WHEN ic >= o THEN 1.0 ELSE 0 END)', 'p_value')},
  CASE WHEN avg(CASE WHEN ic >= o THEN 1.0 ELSE 0 END) < 0.05 THEN 'SIGNIFICANT' ELSE 'SPURIOUS' END AS verdict FROM n, o""", views=NUM)
 def _(t):
@@ -414,13 +431,21 @@ def _(t):
     return _fold_table(t)[1].select("fold", "regime", "total_return_pct", "sharpe", "is_sharpe", "wins", "n_trades", "win_rate")
 
 
+#: Standard normal quantiles of 1 - 1/n, the benchmark of the deflated confidence for n folds.
+STARS = ", ".join(f"({n}, {NormalDist().inv_cdf(1 - 1 / n)!r}::DOUBLE)" for n in range(2, 100))
+
+
 @query("m10_walk_forward_summary", f"""WITH {FR}, g AS (SELECT count(*) AS n_folds, avg(total_return_pct) AS a, avg(win_rate) AS w, CAST(sum(n_trades) AS BIGINT) AS k, avg(CASE WHEN total_return_pct > 0 THEN 1.0 ELSE 0 END) AS pp,
- coalesce(avg(CASE WHEN regime='bear_2022' THEN total_return_pct END),0) AS br, greatest(-2,least(5,avg(sharpe)/avg(is_sharpe))) AS wfe, (SELECT avg(x)*sqrt(252)/stddev_samp(x) FROM r) AS ps FROM t)
-SELECT n_folds, {r('a', 'avg_return_per_fold')}, {r('w', 'avg_win_rate')}, k AS total_trades, {r('pp', 'pct_positive_folds')}, {r('br', 'bear_return')}, {r('ps', 'pooled_sharpe')}, {r('0', 'dsr_confidence')}, {r('wfe', 'wfe')},
- ps >= 0.8 AS g1, pp >= 0.6 AS g2, br > -20 AS g3, wfe >= 0.5 AS g4, false AS g5, false AS overall FROM g""")
+ coalesce(avg(CASE WHEN regime='bear_2022' THEN total_return_pct END),0) AS br, greatest(-2,least(5,avg(sharpe)/avg(is_sharpe))) AS wfe, (SELECT avg(x)*sqrt(252)/stddev_samp(x) FROM r) AS ps FROM t),
+mo AS (SELECT count(*) AS n, avg(x) AS mean, stddev_samp(x) AS ss, avg(pow(x-m,3))/pow(avg(pow(x-m,2)),1.5) AS sk, avg(pow(x-m,4))/pow(avg(pow(x-m,2)),2)-3 AS ku FROM r, (SELECT avg(x) AS m FROM r)),
+zz AS (SELECT (mean/ss - star)/sqrt(abs((1-sk*(mean/ss)+(ku+2)/4*(mean/ss)*(mean/ss))/(n-1))) AS z FROM mo, g JOIN (VALUES {STARS}) v(f, star) ON v.f = g.n_folds),
+cc AS (SELECT {normal_cdf_sql('zz.z')} AS conf FROM zz)
+SELECT n_folds, {r('a', 'avg_return_per_fold')}, {r('w', 'avg_win_rate')}, k AS total_trades, {r('pp', 'pct_positive_folds')}, {r('br', 'bear_return')}, {r('ps', 'pooled_sharpe')}, {r('conf', 'dsr_confidence')}, {r('wfe', 'wfe')},
+ ps >= 0.8 AS g1, pp >= 0.6 AS g2, br > -20 AS g3, wfe >= 0.5 AS g4, conf >= 0.95 AS g5, ps >= 0.8 AND pp >= 0.6 AND br > -20 AND wfe >= 0.5 AND conf >= 0.95 AS overall FROM g, cc""")
 def _(t):
     daily, f = _fold_table(t)
-    return folds.walk_forward_summary(f, daily)
+    f = settle(f, "folds")
+    return folds.walk_forward_summary(f, daily, dsr=resample.deflated_confidence(daily, "daily_return", f.count()))
 
 
 @query("a12_regime_fold_summary", f"WITH {FR} SELECT regime, count(*) AS n_folds, {r('round(avg(total_return_pct),2)', 'avg_return')}, {r('round(avg(sharpe),3)', 'avg_sharpe')}, {r('round(sum(wins)/sum(n_trades),4)', 'win_rate')}, CAST(sum(n_trades) AS BIGINT) AS n_trades FROM t GROUP BY 1")

@@ -77,10 +77,10 @@ def _staged(t, df, name):
     return t.spark.readStream.schema(df.schema).parquet(path)
 
 
-@query("t04_stream_pending_labels", f"""SELECT ticker, date, {r('lead(close,5) OVER (PARTITION BY ticker ORDER BY date)/close-1', 'target_return')} FROM event_bars QUALIFY lead(close,5) OVER (PARTITION BY ticker ORDER BY date) IS NOT NULL AND day(date) % 3 = 0""")
+@query("t04_stream_pending_labels", f"""SELECT ticker, date, {r('lead(close,5) OVER (PARTITION BY ticker ORDER BY date)/close-1', 'target_return')} FROM event_bars QUALIFY lead(close,5) OVER (PARTITION BY ticker ORDER BY date) IS NOT NULL""")
 def _(t):
     bars = t.event_bars().select("ticker", "date", "close")
-    ev = stateful.as_label_events(bars.where("day(date) % 3 = 0"), bars)
+    ev = stateful.as_label_events(bars, bars)
     return sinks.drain(stateful.pending_labels(_staged(t, ev, "label-events"), min_days=5)).select("ticker", "date", "target_return")
 
 

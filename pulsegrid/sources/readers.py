@@ -40,9 +40,10 @@ def article_feed(spark: SparkSession, path: str | Sequence[str], schema: T.Struc
 
 
 def symbol_list(spark: SparkSession, path: str, exclude: Sequence[str] = ()) -> DataFrame:
-    """Symbols of a text file in file order; blanks, comments and repeats are left out.
+    """Symbols of a text file; blanks, comments and repeats are left out.
 
-    Order is the byte position Spark reports per line of one file, reduced per symbol.
+    ``position`` follows partitions, which is file order only while a file is one partition; ``lines.ordered_symbols``
+    gives file and byte offset.
     """
     raw = spark.read.text(path).select(F.col("value"), F.monotonically_increasing_id().alias("_pos"))
     return symbols_from_lines(raw, exclude=exclude)
