@@ -21,9 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, so that later steps do not repeat its work."""
+#: Rows of one file of a stage table whose number of rows is known to be bounded.
+ROWS_A_FILE = 100_000
+
+
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, so that later steps do not repeat its work.
+
+    With ``rows``, a known upper bound, small tables become few files, however many partitions they came from.
+    """
     path = scratch_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

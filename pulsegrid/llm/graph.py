@@ -24,26 +24,26 @@ def hot_join(rows: DataFrame, looked_up: DataFrame, key: str, total: int) -> Dat
     return rows.join(hot, key).unionByName(cold)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, component`` of every node in ``links`` (``a, b``); a component is named by its smallest node.
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
+    """``node, component`` of every node in ``links`` (``a, b``; at most ``most`` if given); a component is named by its smallest node.
 
     Each round points every node and its neighbours to the smallest node among them: first larger neighbours,
     then smaller ones, until the links are stars. Rounds are few (logarithmic in the length of paths). Smallest
     neighbours are pre-aggregated before they are shuffled, and the links of a node with very many neighbours
     never meet in one task (``hot_join``).
     """
-    edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", most)
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now = mark(edges)
     while now[0]:
-        before = now
+        before, bound = now, 2 * now[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stage(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "low")
-        large = hot_join(both.where("v > u"), low, "u", 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stage(large, "large")
-        least = stage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-        pointed = hot_join(large, least, "u", 2 * now[0]).select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(pointed.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        low = stage(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "low", bound)
+        large = hot_join(both.where("v > u"), low, "u", bound).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = stage(large, "large", bound)
+        least = stage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least", bound)
+        pointed = hot_join(large, least, "u", bound).select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stage(pointed.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links", bound)
         now = mark(edges)
         if now == before:
             break

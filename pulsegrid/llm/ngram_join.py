@@ -99,7 +99,7 @@ def least_difference(x: bytes, y: bytes) -> int:
 
 
 def whole_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, held, n, shingles, bits`` of the documents in ``nodes`` (``node, held``), from their texts."""
+    """``node, held, n, shingles, bits`` of the documents in ``nodes`` (``node, held``; staged), from their texts."""
 
     def run(batches):
         for b in slices(batches):
@@ -107,7 +107,7 @@ def whole_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
             columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([occupied(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held"], *columns], ["node", "held", "n", "shingles", "bits"])
 
-    wanted = stage(nodes.withColumnRenamed("node", "doc_id"), "nodes")
+    wanted = nodes.withColumnRenamed("node", "doc_id")
     source = documents.select("doc_id", "text").join(small(wanted), "doc_id").select("doc_id", "held", "text")  # texts stay where they are if few are wanted
     return source.mapInArrow(run, "node long, held long, n long, shingles array<long>, bits binary")
 
@@ -126,7 +126,7 @@ def verified(pairs: DataFrame, total: int, documents: DataFrame, percent: int) -
     that is similar enough.
     """
     nodes = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("held"))
-    maps = stage(whole_sets(documents, nodes(pairs)).select("node", "held", "n", "bits"), "maps")
+    maps = stage(whole_sets(documents, stage(nodes(pairs), "nodes", 2 * total)).select("node", "held", "n", "bits"), "maps")
 
     def near(batches):
         for b in slices(batches, 512):
@@ -134,11 +134,11 @@ def verified(pairs: DataFrame, total: int, documents: DataFrame, percent: int) -
             mask = [least_difference(x, y) * (100 + percent) <= (100 - percent) * (n + m) for x, y, n, m in rows]
             yield b.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
-    may = stage(with_sides(pairs, maps, "bits", total).mapInArrow(near, "a long, b long").distinct(), "near")
-    sets = stage(whole_sets(documents, nodes(may)).select("node", "held", "n", "shingles"), "sets")  # of the few that are left
+    may = stage(with_sides(pairs, maps, "bits", total).mapInArrow(near, "a long, b long").distinct(), "near", total)
+    sets = stage(whole_sets(documents, stage(nodes(may), "nodes", 2 * total)).select("node", "held", "n", "shingles"), "sets")  # of the few that are left
     same = F.size(F.array_intersect("x", "y"))
     full = with_sides(may, sets, "shingles", total).select("a", "b", "n", "m", same.alias("same"))
-    return stage(full.where(F.col("same") * 100 >= (F.col("n") + F.col("m") - F.col("same")) * percent).select("a", "b").distinct(), "verified")
+    return stage(full.where(F.col("same") * 100 >= (F.col("n") + F.col("m") - F.col("same")) * percent).select("a", "b").distinct(), "verified", total)
 
 
 def bands(percent: int) -> list[int]:
@@ -228,7 +228,7 @@ def key_rows(reps: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     zero, no, yes = F.lit(0), F.lit(False), F.lit(True)
     light = stage(light.select("token", "node", "n", "l"), "light")
     # dense documents: whole sets, and how many dense documents hold each shingle
-    whole = stage(whole_sets(documents, ends.where("dense").select("node", F.lit(1).cast("long").alias("held"))).select("node", "n", F.xxhash64("shingles").alias("set"), F.posexplode("shingles").alias("pos", "token")), "dense")
+    whole = stage(whole_sets(documents, stage(ends.where("dense").select("node", F.lit(1).cast("long").alias("held")), "nodes")).select("node", "n", F.xxhash64("shingles").alias("set"), F.posexplode("shingles").alias("pos", "token")), "dense")
     passed = held.where(F.col("df") > COSTLY).select("token", yes.alias("passed"))
     among = stage(whole.groupBy("token").agg(F.count("*").alias("n")).join(passed, "token", "left").select("token", "n", F.col("n").alias("df"), F.coalesce("passed", no).alias("passed")), "among")
     count = among.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -272,7 +272,7 @@ def labelled(rows: DataFrame, label: DataFrame | None) -> DataFrame:
     return rows.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def spread(rows: DataFrame, turn: int) -> DataFrame:
+def spread(rows: DataFrame, turn: int, total: int) -> DataFrame:
     """Per key with holders of several components ``n``, their number, and one drawn holder (``top_*``).
 
     A light holder is drawn before a dense one; at first a dense one with few cheap shingles, which is near the middle of its group.
@@ -282,7 +282,7 @@ def spread(rows: DataFrame, turn: int) -> DataFrame:
     found = rows.groupBy("key").agg(
         F.min_by(F.struct(*held), rank).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("dense").alias("all_dense"), F.min("kind").alias("of"), F.count("*").alias("n"))
     kept = found.where(f"lo <> hi AND NOT (of = {PREFIX} AND all_dense)")
-    return stage(kept.select("key", "n", *(F.col(f"top.{c}").alias(f"top_{c}") for c in held)), "spread")
+    return stage(kept.select("key", "n", *(F.col(f"top.{c}").alias(f"top_{c}") for c in held)), "spread", total)
 
 
 def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -317,26 +317,26 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
 def similar_links(reps: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """Links (``a, b``) that join all documents connected by similar pairs."""
     rows = key_rows(reps, documents, percent)
-    total = rows.count()
+    total = max(1, rows.count())
     links, rows = None, labelled(rows, None)
     for turn in range(ROUNDS + 1):
-        keys = spread(rows, turn)
+        keys = spread(rows, turn, total)
         left = hot_join(rows.withColumnRenamed("n", "size"), keys, "key", total)  # a key within one component is done with
         if turn == ROUNDS:
-            pairs = open_pairs(stage(left.withColumnRenamed("size", "n").select(*COLUMNS, "comp"), "open"), percent)
+            pairs = open_pairs(stage(left.withColumnRenamed("size", "n").select(*COLUMNS, "comp"), "open", total), percent)
         else:
             near = (F.col("kind") != PART) | ((F.col("r") + F.col("top_r") + apart(BITS, [f"top_{b}" for b in BITS])) * (100 + percent) <= (100 - percent) * (F.col("size") + F.col("top_n")))
             met = left.where((F.col("comp") != F.col("top_comp")) & may_be_similar(percent, "size", "top_n", "kind", "r", "top_r", "c", "top_c", "dense", "top_dense") & near)
             pairs = met.select(F.col("node").alias("a"), F.col("top_node").alias("b")).distinct()
-        pairs = stage(pairs, "pairs")
+        pairs = stage(pairs, "pairs", total if turn < ROUNDS else None)
         tried = pairs.count()
         if tried:
             found = verified(pairs, tried, documents, percent)
             links = found if links is None else stage(links.unionByName(found), "found")
         if turn < ROUNDS:
-            label = stage(components(links).withColumnRenamed("component", "comp"), "labels") if tried else None
+            label = stage(components(links, total).withColumnRenamed("component", "comp"), "labels", total) if tried else None
             kept = left.withColumnRenamed("size", "n").select(*COLUMNS, "comp")
-            rows = stage(labelled(kept.drop("comp"), label) if tried else kept, "open")
+            rows = stage(labelled(kept.drop("comp"), label) if tried else kept, "open", total)
     return links if links is not None else documents.sparkSession.createDataFrame([], "a long, b long")
 
 
