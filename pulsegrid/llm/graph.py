@@ -18,6 +18,8 @@ def hot_join(rows: DataFrame, looked_up: DataFrame, key: str, total: int) -> Dat
     rows there are at most ``1 / HOT_SHARE``. All other keys are joined by a shuffle.
     """
     limit = max(HOT_ROWS, int(total * HOT_SHARE))
+    if looked_up.where(F.col("n") > limit).isEmpty():
+        return rows.join(looked_up.drop("n"), key)
     hot = F.broadcast(looked_up.where(F.col("n") > limit).drop("n"))
     keys = F.broadcast(looked_up.where(F.col("n") > limit).select(key))
     cold = rows.join(keys, key, "left_anti").join(looked_up.where(F.col("n") <= limit).drop("n"), key)
