@@ -309,15 +309,20 @@ def repeated_runs(kinds: DataFrame, length: int, folder: str, block: int = BLOCK
     return stage(alone.unionByName(whole), "repeated")
 
 
-def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
-    """``data`` without the bytes of the spans, and the maximal removed runs."""
+def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """The maximal runs of bytes that spans cover."""
     runs: list[list[int]] = []
     for lo, hi in sorted(spans):
         if runs and lo <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], hi)
         else:
             runs.append([lo, hi])
-    kept, at = [], 0
+    return runs
+
+
+def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
+    """``data`` without the bytes of the spans, and the maximal removed runs."""
+    runs, kept, at = merged(spans), [], 0
     for lo, hi in runs:
         kept.append(data[at:lo])
         at = hi
@@ -330,7 +335,7 @@ def with_rows(documents: DataFrame) -> DataFrame:
 
 
 def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``row, spans`` of the documents with repeats (``with_rows``); spans overlap."""
+    """``row, spans`` of the documents with repeats (``with_rows``): their maximal runs of repeated bytes."""
     rows = stage(scanned(documents, length), "rows")
     spots = rows.select("row", F.explode("anchors").alias("a")).select("row", "a.*")
     # settled, so that both sides of the join below are plain exchanges, which Spark can split where an anchor is hot
@@ -341,11 +346,18 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     found = stage(segments(suspects, length), "segments")
     hits = repeated_runs(stage(kinds_of(found, "times"), "kinds"), length, shared_uri(documents.sparkSession, "columns"))
     reach = (F.col("times") - 1) * F.col("step")  # places of a run are nearer to each other than windows are long
-    return (
+    def whole_runs(batches):
+        kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+        for b in batches:
+            runs = [[{"lo": lo, "hi": hi} for lo, hi in merged([(s["lo"], s["hi"]) for s in spans])] for spans in b["spans"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["row"], pa.array(runs, kind)], ["row", "spans"])
+
+    covered = (
         found.select("row", "start", reach.alias("reach"), "segment").join(hits, "segment").select("row", "start", "reach", F.explode("runs").alias("r"))
         .select("row", F.struct((F.col("start") + F.get("r", F.lit(0))).alias("lo"), (F.col("start") + F.col("reach") + F.get("r", F.lit(1)) + length).alias("hi")).alias("s"))
         .groupBy("row").agg(F.collect_set("s").alias("spans"))
     )
+    return covered.mapInArrow(whole_runs, "row binary, spans array<struct<lo: bigint, hi: bigint>>")
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
