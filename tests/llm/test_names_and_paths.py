@@ -9,14 +9,16 @@ from pulsegrid.llm import common, copies, decontaminate
 TEXTS = [(1, "one two three four five six"), (2, "one two three four five six"), (3, "other words are in this one"), (3, "and an unlike text under the same id"), (4, None), (None, "one two three four five six"), (4, "bench mark words stand here so")]
 
 
-@pytest.mark.parametrize("name", ["key", "mixed_id", "drop_key", "again_id", "row", "__key", "__mixed", "__drop", "__again", "__row", "n", "comp", "component_id", "h", "severity", "KEY"])
-def test_helper_names_are_free(spark, name):
-    docs = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumn(name, F.lit("kept")).withColumn(f"_{name}", F.lit(None).cast("int"))
+NAMES = ["key", "mixed_id", "drop_key", "again_id", "row", "__key", "__mixed", "__drop", "__again", "__row", "n", "comp", "component_id", "h", "severity"]
+
+
+def test_helper_names_are_free(spark):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumns({name: F.lit("kept") for name in NAMES}).withColumn("_key", F.lit(None).cast("int"))
     kept = copies.one_of_each_group(docs)
     assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, TEXTS[0][1]), (3, TEXTS[2][1]), (3, TEXTS[3][1]), (4, ""), (4, TEXTS[6][1]), (0, TEXTS[5][1])])
     bench = spark.createDataFrame([(0, TEXTS[6][1])], "item_id long, text string")
     clean = decontaminate.without_contaminated(docs, bench)
-    assert clean.columns == docs.columns and clean.count() == len(TEXTS) - 1 and {r[name] for r in clean.collect()} == {"kept"}
+    assert clean.columns == docs.columns and clean.count() == len(TEXTS) - 1 and {r[name] for r in clean.collect() for name in NAMES} == {"kept"}
     assert corpus_pipeline.redact_personal_data(spark, docs, "").columns == docs.columns
 
 
