@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EPOCH = pd.Timestamp("1970-01-01")
@@ -25,45 +26,98 @@ def _days(s: pd.Series) -> pd.Series:
 LABEL_OUT = "ticker string, date date, close_t0 double, close_tn double, target_return double"
 
 
-def pending_labels(events: DataFrame, rows=5, min_days=7, keep_days=3660, key="ticker") -> DataFrame:
-    """T4: the label of a signal is the close ``rows`` bars after its base, by bar date.
+class PendingLabels(StatefulProcessor):
+    """State of a key: its bars by day (map), the days of open signals (list), first and last stored day (value).
 
-    ``events`` holds (ticker, date, kind, close) with kind ``signal`` or ``bar``. The base is the bar of the
-    signal's date or the first later one. Bars count in the order of their dates, however they arrive. A label is
-    emitted once its bar is known and, where later bars are still to come, bars reach ``min_days`` past the signal;
-    so bars that are late by less than that still enter. State keeps a key's bars, one per day, over ``keep_days``;
-    a signal older than that is reported at once with null closes instead of a wrong base.
+    Bars are written and read one by one, so a batch touches the days from its oldest open signal on and not all
+    stored bars. Old bars go by bar date: the store's time to live counts by the clock, and in that mode a run over
+    everything available never ends.
     """
 
-    def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_days, days, closes = (list(x) for x in state.get) if state.exists else ([], [], [])
-        pdf = pd.concat(list(parts))
-        pdf = pdf.assign(_d=_days(pdf["date"]))
-        is_bar = pdf["kind"] == "bar"
-        known = dict(zip(days, closes)) | dict(zip(pdf["_d"][is_bar].tolist(), pdf["close"][is_bar].tolist()))
-        bars = pd.Series(known, dtype="float64").sort_index()
-        newest = bars.index[-1] if len(bars) else None
-        horizon = newest - keep_days if newest is not None else None
-        waiting, out = [], []
-        for day in [*open_days, *pdf["_d"][~is_bar].tolist()]:
-            at = bars.index.searchsorted(day)
+    def __init__(self, rows: int, min_days: int, keep_days: int, key: str):
+        self.rows, self.min_days, self.keep_days, self.key = rows, min_days, keep_days, key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.bars = handle.getMapState("bars", "day bigint", "close double")
+        self.open = handle.getListState("open", "day bigint")
+        self.span = handle.getValueState("span", "first bigint, last bigint")
+
+    def _stored(self, day: int, seen: dict[int, float | None]) -> float | None:
+        if day not in seen:
+            found = self.bars.getValue((day,)) if self.bars.containsKey((day,)) else None
+            seen[day] = found[0] if found is not None else None
+        return seen[day]
+
+    def _closes(self, day: int, last: int, seen: dict[int, float | None]) -> list[float]:
+        """Closes of the first ``rows + 1`` bars from ``day`` on, or of as many as there are."""
+        out = []
+        while day <= last and len(out) <= self.rows:
+            c = self._stored(day, seen)
+            if c is not None:
+                out.append(c)
+            day += 1
+        return out
+
+    def _forget(self, first: int, last: int, horizon: int) -> None:
+        """Drop stored bars before ``horizon``; first and last are the stored days."""
+        if last < horizon:
+            self.bars.clear()
+        else:
+            for day in range(first, horizon):
+                self.bars.removeKey((day,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first, last = self.span.get() if self.span.exists() else (None, None)
+        fresh, signals = {}, [x[0] for x in self.open.get()] if self.open.exists() else []
+        for pdf in rows:
+            days, is_bar = _days(pdf["date"]), pdf["kind"] == "bar"
+            signals += [int(d) for d in days[~is_bar]]
+            fresh.update(zip((int(d) for d in days[is_bar]), pdf["close"][is_bar].tolist()))
+        newest = max([*fresh, *([] if last is None else [last])], default=None)
+        horizon = newest - self.keep_days if newest is not None else None
+        if last is not None and first < horizon:
+            self._forget(first, last, horizon)
+        kept = {d: c for d, c in fresh.items() if d >= horizon}
+        for d, c in kept.items():
+            self.bars.updateValue((d,), (c,))
+        if newest is not None:
+            old = [] if last is None or last < horizon else [max(first, horizon)]
+            self.span.update((min([*kept, *old]), newest))
+        seen, waiting, out = dict(kept), [], []
+        for day in signals:
             if horizon is not None and day < horizon:
-                out.append((k[0], day, None, None, None))
-            elif at + rows < len(bars) and newest - day >= min_days:
-                base, last = float(bars.iloc[at]), float(bars.iloc[at + rows])
-                out.append((k[0], day, base, last, last / base - 1))
+                out.append((key[0], day, None, None, None))
+            elif horizon is None or newest - day < self.min_days:
+                waiting.append(day)
+            elif len(c := self._closes(day, newest, seen)) > self.rows:
+                out.append((key[0], day, c[0], c[-1], c[-1] / c[0] - 1))
             else:
-                waiting.append(int(day))
-        if horizon is not None:
-            bars = bars[bars.index >= horizon]
-        state.update((waiting, [int(d) for d in bars.index], bars.tolist()))
+                waiting.append(day)
+        if waiting:
+            self.open.put([(d,) for d in waiting])
+        else:
+            self.open.clear()
         if out:
-            df = pd.DataFrame(out, columns=["ticker", "date", "close_t0", "close_tn", "target_return"])
+            df = pd.DataFrame(out, columns=[self.key, "date", "close_t0", "close_tn", "target_return"])
             df["date"] = [(EPOCH + pd.Timedelta(days=d)).date() for d in df["date"]]
-            yield df
+            yield df.astype({c: "float64" for c in ("close_t0", "close_tn", "target_return")})
+
+    def close(self) -> None:
+        pass
+
+
+def pending_labels(events: DataFrame, rows=5, min_days=7, keep_days=3660, key="ticker") -> DataFrame:
+    """T4: the label of a signal is the close ``rows`` bars after its base, by bar date.
 
-    return events.groupBy(key).applyInPandasWithState(
-        step, LABEL_OUT, "open array<bigint>, days array<bigint>, closes array<double>", "append", GroupStateTimeout.NoTimeout)
+    ``events`` holds (ticker, date, kind, close) with kind ``signal`` or ``bar``. The base is the bar of the
+    signal's date or the first later one. Bars count in the order of their dates, however they arrive. A label is
+    emitted once its bar is known and, where later bars are still to come, bars reach ``min_days`` past the signal;
+    so bars that are late by less than that still enter. State keeps a key's bars, one per day, over ``keep_days``;
+    a signal older than that is reported at once with null closes instead of a wrong base. The session's state
+    store must be RocksDB (``session.configure``).
+    """
+    out = LABEL_OUT.replace("ticker", key, 1)
+    return events.groupBy(key).transformWithStateInPandas(PendingLabels(rows, min_days, keep_days, key), out, "Append", "None")
 
 
 # --- T5 ----------------------------------------------------------------------------------

@@ -85,6 +85,16 @@ def test_labels_of_late_signals_and_unordered_bars(spark, tmp_path):
     assert [(r.date, r.close_t0) for r in short] == [(day(3), None)]
 
 
+def test_labels_keep_state_over_gaps_and_drop_old_bars(spark, tmp_path):
+    parts = [[0, 1, 2, 5, 6, 9], [30, 31, 60, 61, 62], [63, 64, 65, 80]]  # days with a bar and a signal
+    frames = [ev(spark, [("A", day(d), kind, 100.0 + d) for d in at for kind in ("signal", "bar")]) for at in parts]
+    src = staged_stream(spark, str(tmp_path / "g"), frames)
+    got = {r.date: r.target_return for r in sinks.drain(stateful.pending_labels(src, keep_days=40)).collect()}
+    assert {d for d, v in got.items() if v is None} == {day(d) for d in (1, 2, 5, 6, 9, 30, 31)}  # older than the bars kept
+    want = {day(0): 109 / 100 - 1, day(60): 165 / 160 - 1, day(61): 180 / 161 - 1}
+    assert {d: round(v, 9) for d, v in got.items() if v is not None} == {d: round(v, 9) for d, v in want.items()}
+
+
 def test_baseline_leaves_out_late_days(spark, tmp_path):
     d = spark.createDataFrame([("A", day(i), 4) for i in (0, 1, 2, 3)], "ticker string, date date, count long")
     late = d.where("day(date) = 2")
