@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,6 +181,53 @@ def pairwise_correlation(bars: DataFrame, pairs: DataFrame, lookback=60, min_ove
         F.col("n") >= min_overlap)
 
 
+def correlated_pairs(bars: DataFrame, limit=0.7, lookback=60, min_overlap=20, as_of: str | None = None, value="close",
+                     key="ticker", time="date", tiles: int | None = None) -> DataFrame:
+    """All pairs of keys ``(key_a < key_b, n, corr)`` whose returns correlate by at least ``limit`` in size.
+
+    Keys are dealt by hash into tiles. A tile is sent once to each pair of tiles it belongs to, where six matrix
+    products of values and day masks give counts and sums over the days both keys have, so only pairs at or above
+    the limit become rows. ``tiles`` defaults to one per 256 keys. A correlation that is undefined (a constant side)
+    is not reported.
+    """
+    src = bars.where(F.col(time) <= F.lit(as_of).cast("date")) if as_of else bars
+    w = by_key(key, time)
+    r = src.select(
+        F.col(key).alias("key"), F.col(time).alias("day"), (ratio(F.col(value), F.lag(value, 1).over(w)) - 1).alias("r"),
+        F.row_number().over(Window.partitionBy(key).orderBy(F.col(time).desc())).alias("_i"),
+    ).where((F.col("_i") <= lookback) & F.col("r").isNotNull())
+    if tiles is None:
+        tiles = max(1, -(-src.agg(F.approx_count_distinct(key)).first()[0] // 256))
+    dealt = r.withColumn("tile", F.pmod(F.xxhash64("key"), F.lit(tiles)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other")
+    sent = dealt.select("key", "day", "r", "tile", other).withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="key", columns="day", values="r")
+        tile = pdf.groupby("key")["tile"].first().reindex(wide.index).to_numpy()
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        mask = wide.notna().to_numpy(float)
+        x = wide.sub(wide.mean(axis=1), axis=0).fillna(0.0).to_numpy()  # centred, so sums of squares lose no digits
+        a, b = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
+        n = mask[a] @ mask[b].T
+        sx, sy = x[a] @ mask[b].T, mask[a] @ x[b].T
+        sxx, syy = x[a] ** 2 @ mask[b].T, mask[a] @ (x[b] ** 2).T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+            corr = (x[a] @ x[b].T - sx * sy / n) / np.sqrt(vx * vy)
+        # what rounding leaves of a constant side is no variance
+        given = (n >= min_overlap) & (vx > 1e-12 * sxx) & (vy > 1e-12 * syy) & (np.abs(corr) >= limit)
+        if lo == hi:
+            given &= a[:, None] < b[None, :]
+        i, j = np.nonzero(given)
+        left, right = wide.index.to_numpy()[a[i]], wide.index.to_numpy()[b[j]]
+        swap = left > right
+        return pd.DataFrame({"key_a": np.where(swap, right, left), "key_b": np.where(swap, left, right), "n": n[i, j].astype("int64"), "corr": corr[i, j]})
+
+    kind = bars.schema[key].dataType.simpleString()
+    return sent.select("key", "day", "r", "tile", "lo", "hi").groupBy("lo", "hi").applyInPandas(run, f"key_a {kind}, key_b {kind}, n bigint, corr double")
+
+
 def correlation_allows(candidates: DataFrame, held: DataFrame, corr: DataFrame, max_corr=0.7,
                        cluster: Sequence[str] = (), max_cluster=2, key="ticker") -> DataFrame:
     """Candidates that neither overfill a named cluster nor correlate with a held key."""

@@ -182,6 +182,15 @@ def _(t):
     return joins.pairwise_correlation(t.bars(), pairs)
 
 
+@query("j16_correlated_pairs", f"""WITH ret AS (SELECT ticker, date, close/lag(close,1) OVER {W} - 1 AS x,
+ row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS i FROM bars)
+SELECT a.ticker AS key_a, b.ticker AS key_b, count(*) AS n, {r('corr(a.x, b.x)', 'corr')}
+FROM ret a JOIN ret b ON a.date=b.date AND a.ticker < b.ticker
+WHERE a.i <= 60 AND b.i <= 60 AND a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1,2 HAVING count(*) >= 20 AND abs(corr(a.x, b.x)) >= 0.05""")
+def _(t):
+    return joins.correlated_pairs(t.bars(), limit=0.05, tiles=3)
+
+
 @query("j16_correlation_gate", f"""WITH ret AS (SELECT ticker, date, close/lag(close,1) OVER {W} - 1 AS x,
  row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS i FROM bars),
 c AS (SELECT a.ticker AS ka, b.ticker AS kb, corr(a.x,b.x) AS c, count(*) AS n FROM ret a JOIN ret b ON a.date=b.date AND b.ticker IN ('STANDARD','PROMO') AND a.ticker<>b.ticker
