@@ -30,8 +30,8 @@ class PendingLabels(StatefulProcessor):
     """State of a key: its bars by day (map), the days of open signals (list), first and last stored day (value).
 
     Bars are written and read one by one, so a batch touches the days from its oldest open signal on and not all
-    stored bars. Old bars go by bar date: the store's time to live counts by the clock, and in that mode a run over
-    everything available never ends.
+    stored bars. Old bars go by bar date: the store's time to live counts by the clock, and a trial run over everything
+    available did not end in that mode within two minutes.
     """
 
     def __init__(self, rows: int, min_days: int, keep_days: int, key: str):
