@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
+#: Made rows that a worker holds at a time.
+MADE_ROWS = 16_384
+
+
 def per_key(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A pandas function per key tuple.
 
@@ -20,7 +25,8 @@ def per_key(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.
 def generate_rows(df: DataFrame, column: str, fn: Callable[[object], Iterable[tuple]], schema: str, keep: Sequence[str] = ()) -> DataFrame:
     """A row generator: ``fn(value)`` yields the tuples of ``schema`` for each row.
 
-    Runs on Arrow batches where the rows are; nothing is grouped or moved.
+    Runs on Arrow batches where the rows are; nothing is grouped or moved. Made rows leave the worker in batches of their
+    own, so its memory does not depend on how many a value gives.
     """
     from pyspark.sql.types import StructType
 
@@ -30,8 +36,9 @@ def generate_rows(df: DataFrame, column: str, fn: Callable[[object], Iterable[tu
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = [(*kept, *made_row) for *kept, value in pdf[[*keep, column]].itertuples(index=False, name=None) for made_row in fn(value)]
-            yield pd.DataFrame(rows, columns=[*keep, *names])
+            rows = ((*kept, *made_row) for *kept, value in pdf[[*keep, column]].itertuples(index=False, name=None) for made_row in fn(value))
+            while piece := list(islice(rows, MADE_ROWS)):
+                yield pd.DataFrame(piece, columns=[*keep, *names])
 
     return df.select(*keep, column).mapInPandas(run, out)
 
