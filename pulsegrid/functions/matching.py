@@ -12,6 +12,16 @@ from pyspark.sql import types as T
 
 _BUILT: dict[int, object] = {}
 
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE_ROWS = 256
+
+
+def sliced(batches):
+    """The batches in slices of a few rows, which share their memory."""
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(i, SLICE_ROWS)
+
 
 class Automaton:
     """A trie of the names whose nodes link to their longest proper suffix in it; one walk over a text meets every name."""
@@ -55,23 +65,29 @@ def occurring_keys(df: DataFrame, text: Column, names: dict[str, str], out: str)
 
     def run(batches):
         automaton = _built(sent)
-        for b in batches:
+        for b in sliced(batches):
             hits = pa.array([automaton.keys(t or "") for t in b[b.num_columns - 1].to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*(b[i] for i in range(len(columns))), hits], [*columns, out])
 
     return df.select("*", F.coalesce(text, F.lit("")).alias(f"{out}_text")).mapInArrow(run, schema)
 
 
-def listed(words: Column, df: DataFrame, names: Sequence[str], out: str) -> DataFrame:
-    """``df`` with ``out``, the distinct entries of the array ``words`` that are among ``names``, in order of appearance; a hashed look-up per word."""
-    sent = df.sparkSession.sparkContext.broadcast(frozenset(names))
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.StringType()))])
-    columns = df.columns
+def listed(df: DataFrame, wanted: dict[str, tuple[Column, Sequence[str]]]) -> DataFrame:
+    """``df`` with a column per entry ``{out: (words, names)}``: the distinct words of an array that are among the names, in order of appearance.
 
-    def run(batches):
-        known = sent.value
-        for b in batches:
-            hits = pa.array([list(dict.fromkeys(w for w in ws or () if w in known)) for ws in b[b.num_columns - 1].to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*(b[i] for i in range(len(columns))), hits], [*columns, out])
+    A hashed look-up per word, in one pass for all entries. Words go to the workers without repetition and become Python
+    objects a few rows at a time.
+    """
+    sent = df.sparkSession.sparkContext.broadcast([frozenset(names) for _, names in wanted.values()])
+    schema = T.StructType([*df.schema.fields, *(T.StructField(out, T.ArrayType(T.StringType())) for out in wanted)])
+    columns, made = df.columns, list(wanted)
 
-    return df.select("*", words.alias(f"{out}_words")).mapInArrow(run, schema)
+    def run(batches):
+        for b in sliced(batches):
+            hits = [
+                pa.array([list(dict.fromkeys(w for w in ws or () if w in known)) for ws in b[len(columns) + i].to_pylist()], pa.list_(pa.string()))
+                for i, known in enumerate(sent.value)
+            ]
+            yield pa.RecordBatch.from_arrays([*(b[i] for i in range(len(columns))), *hits], [*columns, *made])
+
+    return df.select("*", *[F.array_distinct(words).alias(f"{out}_words") for out, (words, _) in wanted.items()]).mapInArrow(run, schema)

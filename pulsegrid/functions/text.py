@@ -37,8 +37,9 @@ def symbol_mentions(df: DataFrame, text: str, symbols: Sequence[str], false_posi
     and the time does not depend on the length of the list.
     """
     t = text_of(text)
-    plain = listed(F.regexp_extract_all(t, F.lit(WORDS), F.lit(1)), df, symbols, "_plain")
-    both = listed(F.regexp_extract_all(t, F.lit(DOLLAR), F.lit(1)), plain, [s for s in symbols if s not in set(false_positives)], "_tag")
+    found = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
+    tagged = [s for s in symbols if s not in set(false_positives)]
+    both = listed(df, {"_plain": (found(WORDS), symbols), "_tag": (found(DOLLAR), tagged)})
     return (
         both.withColumn("_all", F.array_union("_plain", "_tag"))
         .withColumn(out, F.explode("_all"))

@@ -273,7 +273,7 @@ MENTION = f"SELECT DISTINCT id, date, tok AS ticker FROM (SELECT id, date, unnes
 
 @query("f01_symbol_mentions", f"SELECT id, date, ticker FROM ({MENTION})")
 def _(t):
-    return tx.symbol_mentions(t.texts(), "text", SYMBOLS).select("id", "date", "ticker")
+    return tx.symbol_mentions(t.texts().select("id", "date", "text"), "text", SYMBOLS).select("id", "date", "ticker")
 
 
 @query("f02_unknown_symbols", """SELECT tok AS symbol, count(*) AS n_mentions FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS tok FROM texts)
@@ -326,7 +326,7 @@ def _(t):
 
 @query("j07_texts_to_keys", f"SELECT m.ticker, t.id, length(t.title) AS title_chars FROM texts t JOIN ({MENTION}) m ON m.id=t.id WHERE m.ticker <> 'Of'")
 def _(t):
-    bridge = tx.symbol_mentions(t.texts(), "text", SYMBOLS).select(F.col("id").alias("post_id"), "ticker", "confidence", F.when(
+    bridge = tx.symbol_mentions(t.texts().select("id", "text"), "text", SYMBOLS).select(F.col("id").alias("post_id"), "ticker", "confidence", F.when(
         F.col("ticker") == "Of", "false_positive").otherwise(F.col("match_type")).alias("match_type"))
     return joins.texts_to_keys(t.texts().select("id", "title"), filters.matched(bridge)).select(
         "ticker", "id", F.char_length("title").cast("bigint").alias("title_chars"))
@@ -334,7 +334,7 @@ def _(t):
 
 @query("p20_match_quality", f"SELECT id, ticker FROM ({MENTION}) WHERE ticker <> 'Of'")
 def _(t):
-    m = tx.symbol_mentions(t.texts(), "text", SYMBOLS).withColumn(
+    m = tx.symbol_mentions(t.texts().select("id", "text"), "text", SYMBOLS).withColumn(
         "match_type", F.when(F.col("ticker") == "Of", "false_positive").otherwise(F.col("match_type")))
     return filters.matched(m).select("id", "ticker")
 
