@@ -1,6 +1,7 @@
 """Resampling by packets of draws: nothing is lost in packing, results equal plain loops, and traffic stays below a byte a draw."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pulsegrid.operators import resample
@@ -50,3 +51,19 @@ def test_block_bootstrap_equals_a_plain_loop(spark, n, block):
 def test_constant_series_have_no_sharpe(spark):
     d = spark.createDataFrame([(i, 0.1) for i in range(1, 101)], "i long, v double")
     assert resample.block_bootstrap(d, "i", "v", 5, 4).count() == 0
+
+
+def test_permutation_pairs_travel_in_packets(spark):
+    rankdata = lambda v: pd.Series(v).rank().to_numpy()
+
+    n = 70_001  # two tiles
+    rng = np.random.default_rng(5)
+    pred, actual = rng.integers(0, 500, n) / 7.0, rng.normal(size=n)
+    d = spark.createDataFrame(list(zip(range(1, n + 1), pred.tolist(), actual.tolist())), "i long, p double, a double")
+    got = resample.permutation_test(d, "i", "p", "a", 3).first()
+    rp, ra = rankdata(pred), rankdata(actual)
+    ics = [np.corrcoef(rp, ra[resample.shuffled_to(np.arange(n), b, n)])[0, 1] for b in (1, 2, 3)]
+    assert (got.n_permutations, got.null_ic_mean, got.null_ic_std) == (3, pytest.approx(np.mean(ics)), pytest.approx(np.std(ics)))
+    ranked = spark.createDataFrame(list(zip(range(1, n + 1), rp.tolist())), "i long, r double")
+    sent = resample.sent_packets(ranked, "i", "r", n, 3).collect()
+    assert sum(r.n for r in sent) == 3 * n and sum(len(r.code) + len(r.value) for r in sent) < 6 * 3 * n
