@@ -67,3 +67,13 @@ def test_permutation_pairs_travel_in_packets(spark):
     ranked = spark.createDataFrame(list(zip(range(1, n + 1), rp.tolist())), "i long, r double")
     sent = resample.sent_packets(ranked, "i", "r", n, 3).collect()
     assert sum(r.n for r in sent) == 3 * n and sum(len(r.code) + len(r.value) for r in sent) < 6 * 3 * n
+
+
+def test_bootstrap_rows_are_counted_from_packets(spark):
+    n = 70_001  # two tiles
+    d = spark.createDataFrame([(i + 1, float(i % 90)) for i in range(n)], "i long, p double")
+    got = resample.bootstrap_draws(d, "i", n, 2).toPandas()
+    for b in (1, 2):
+        at, times = np.unique(resample.mix_of(np.arange(1, n + 1), b) % n, return_counts=True)
+        own = got[got["b"] == b].sort_values("i")
+        assert (own["i"].tolist(), own["_times"].tolist()) == ((at + 1).tolist(), times.tolist()) and (own["p"] == at % 90).all()
