@@ -229,8 +229,9 @@ def key_rows(reps: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     light = stage(light.select("token", "node", "n", "l"), "light")
     # dense documents: whole sets, and how many dense documents hold each shingle
     whole = stage(whole_sets(documents, stage(ends.where("dense").select("node", F.lit(1).cast("long").alias("held")), "nodes")).select("node", "n", F.xxhash64("shingles").alias("set"), F.posexplode("shingles").alias("pos", "token")), "dense")
-    passed = held.where(F.col("df") > COSTLY).select("token", yes.alias("passed"))
-    among = stage(whole.groupBy("token").agg(F.count("*").alias("n")).join(passed, "token", "left").select("token", "n", F.col("n").alias("df"), F.coalesce("passed", no).alias("passed")), "among")
+    passed = held.where(F.col("df") > COSTLY).select("token", zero.alias("one"), yes.alias("passed"))
+    among = whole.select("token", F.lit(1).alias("one"), no.alias("passed")).unionByName(passed).groupBy("token").agg(F.sum("one").alias("n"), F.max("passed").alias("passed"))
+    among = stage(among.where("n > 0").select("token", "n", F.col("n").alias("df"), "passed"), "among")
     count = among.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranked = stage(hot_join(whole.withColumnRenamed("n", "size"), among, "token", count).withColumnRenamed("size", "n"), "ranked")
     dear = F.col("df") > COSTLY
