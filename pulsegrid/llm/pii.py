@@ -4,14 +4,16 @@ The base spans are those of four fixed patterns with validation. High-recall gen
 overlapping candidates of the same kinds: addresses with spelt-out signs, numbers with other separators or
 without a leading plus, masked dots. Boosted trees score each candidate by its format and context. They learn
 from validated spans, from the same spans rewritten the way people disguise them, and, as negatives, from the
-remaining candidates and from dates and counts put in a span's place. The threshold of each kind is the lowest score that keeps a wanted precision on
-candidates left out of the fit. Accepted candidates that touch no better span join the base spans.
+remaining candidates and from dates and counts put in a span's place, of all documents. The threshold of each kind is the
+lowest score that keeps a wanted precision on candidates left out of the fit. Accepted candidates that touch no better span join the base spans.
 """
 
 from __future__ import annotations
 
 import io
 import re
+import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -19,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import fit_in_one_task, slices, texts_of
+from pulsegrid.llm.common import slices, stage, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the fit looks at, at most; detection covers every row.
-FIT_ROWS = 6_000
 PRECISION = 0.98
 TREES, DEPTH, SHRINK, BINS = 40, 3, 0.3, 16
+#: Steps of gradients in the fit, and of scores where thresholds are picked.
+UNIT, CODES = 1 << 20, 1 << 16
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -146,49 +148,21 @@ def decoys(text: str, span: Span) -> list[tuple[str, Span]]:
 
 
 class Trees:
-    """Boosted regression trees of fixed depth for the logistic loss, split on quantile bins."""
-
-    def __init__(self, cuts: np.ndarray, column: np.ndarray, value: np.ndarray, leaf: np.ndarray, first: float):
-        self.cuts, self.column, self.value, self.leaf, self.first = cuts, column, value, leaf, first
-
-    @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray) -> Trees:
-        cuts = np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1], axis=0)
-        bins = np.stack([np.searchsorted(np.unique(cuts[:, j]), x[:, j], side="right") for j in range(x.shape[1])], axis=1)
-        uniq = [np.unique(cuts[:, j]) for j in range(x.shape[1])]
-        first = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-        margin = np.full(len(y), first)
-        columns, values, leaves = [], [], []
-        for _ in range(TREES):
-            p = 1 / (1 + np.exp(-margin))
-            g, h = y - p, p * (1 - p) + 1e-6
-            node = np.zeros(len(y), int)
-            col, val = np.zeros((DEPTH, 2**DEPTH), int), np.full((DEPTH, 2**DEPTH), np.inf)
-            for depth in range(DEPTH):
-                for k in range(2**depth):
-                    inside = node == k
-                    top, total_g, total_h = 0.0, g[inside].sum(), h[inside].sum()
-                    for j in range(x.shape[1]):
-                        sg = np.bincount(bins[inside, j], g[inside], minlength=BINS + 1).cumsum()
-                        sh = np.bincount(bins[inside, j], h[inside], minlength=BINS + 1).cumsum()
-                        gain = sg**2 / (sh + 1) + (total_g - sg) ** 2 / (total_h - sh + 1) - total_g**2 / (total_h + 1)
-                        at = int(gain[: len(uniq[j])].argmax()) if len(uniq[j]) else 0
-                        if len(uniq[j]) and gain[at] > top + 1e-9:
-                            top, col[depth, k], val[depth, k] = gain[at], j, uniq[j][at]
-                node = 2 * node + (x[np.arange(len(x)), col[depth, node]] >= val[depth, node])
-            leaf = SHRINK * np.bincount(node, g, minlength=2**DEPTH) / (np.bincount(node, h, minlength=2**DEPTH) + 1)
-            margin += leaf[node]
-            columns.append(col), values.append(val), leaves.append(leaf)
-        return Trees(cuts, np.stack(columns), np.stack(values), np.stack(leaves), first)
+    """Boosted regression trees of fixed depth for the logistic loss. A node's row goes on to the right if its column is at least the node's value."""
+
+    def __init__(self, column: np.ndarray, value: np.ndarray, leaf: np.ndarray, first: float):
+        self.column, self.value, self.leaf, self.first = column, value, leaf, first
+
+    def nodes(self, x: np.ndarray, tree: int, depth: int = DEPTH) -> np.ndarray:
+        node, at = np.zeros(len(x), int), np.arange(len(x))
+        for d in range(depth):
+            node = 2 * node + (x[at, self.column[tree, d, node]] >= self.value[tree, d, node])
+        return node
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         margin = np.full(len(x), self.first)
-        at = np.arange(len(x))
-        for col, val, leaf in zip(self.column, self.value, self.leaf, strict=True):
-            node = np.zeros(len(x), int)
-            for depth in range(DEPTH):
-                node = 2 * node + (x[at, col[depth, node]] >= val[depth, node])
-            margin += leaf[node]
+        for tree in range(len(self.leaf)):
+            margin += self.leaf[tree, self.nodes(x, tree)]
         return 1 / (1 + np.exp(-margin))
 
 
@@ -210,47 +184,175 @@ def examples(text: str) -> list[tuple[list[float], int]]:
     return out
 
 
-def fit_model(sample: pd.DataFrame) -> bytes:
-    """Trees and one threshold per kind, from rows ``x (float array), label, fold``; nothing is added without both labels."""
-    if not len(sample) or sample["label"].nunique() < 2:
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Whole numbers with all but their nine leading bits cleared, so that a column has a few thousand values at most."""
+    spare = np.maximum(np.frexp(np.maximum(x, 0).astype(float))[1] - 9, 0)
+    return (x >> spare) << spare
+
+
+def cuts_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Distinct quantiles of a column from its ascending values and how many rows have them."""
+    ranks = np.arange(1, BINS) * counts.sum() / BINS
+    return np.unique(values[np.searchsorted(np.cumsum(counts), ranks)])
+
+
+def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """How many cuts of its column each value reaches."""
+    return np.stack([np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(cuts)], axis=1).astype(np.uint8)
+
+
+def split_sums(bins: np.ndarray, label: np.ndarray, n: np.ndarray, trees: Trees, depth: int) -> np.ndarray:
+    """Sums of gradient and curvature by node of the last, unfinished tree, column and bin. Whole multiples of 1 / UNIT: the order of rows does not matter."""
+    done = Trees(trees.column[:-1], trees.value[:-1], trees.leaf, trees.first)
+    p, node = done.probability(bins), trees.nodes(bins, -1, depth)
+    both = np.rint(np.stack([label - p, p * (1 - p) + 1e-6]) * UNIT) * n
+    cell = (node[:, None] * FEATURES + np.arange(FEATURES)) * (BINS + 1) + bins
+    size = 2**depth * FEATURES * (BINS + 1)
+    return np.stack([np.bincount(cell.ravel(), np.repeat(w, FEATURES), minlength=size) for w in both]).reshape(2, 2**depth, FEATURES, BINS + 1)
+
+
+def boosted(cuts: list[np.ndarray], share: float, sums: Callable[[Trees, int], np.ndarray]) -> Trees:
+    """Trees over bins, split level by level on what ``sums(trees, depth)`` says of all rows."""
+    trees = Trees(np.zeros((0, DEPTH, 2**DEPTH), int), np.zeros((0, DEPTH, 2**DEPTH)), np.zeros((0, 2**DEPTH)), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+    usable = np.arange(BINS + 1) < np.array([len(c) for c in cuts])[:, None]
+    for _ in range(TREES):
+        trees.column = np.concatenate([trees.column, np.zeros((1, DEPTH, 2**DEPTH), int)])
+        trees.value = np.concatenate([trees.value, np.full((1, DEPTH, 2**DEPTH), np.inf)])
+        for depth in range(DEPTH):
+            g, h = sums(trees, depth) / UNIT
+            left_g, left_h = g.cumsum(axis=2), h.cumsum(axis=2)
+            all_g, all_h = left_g[:, :, -1:], left_h[:, :, -1:]
+            gain = np.where(usable, left_g**2 / (left_h + 1) + (all_g - left_g) ** 2 / (all_h - left_h + 1) - all_g**2 / (all_h + 1), 0)
+            leaf = np.zeros(2 ** (depth + 1))
+            for k in range(2**depth):
+                j, at = np.unravel_index(gain[k].argmax(), gain[k].shape)
+                if gain[k, j, at] > 1e-9:
+                    trees.column[-1, depth, k], trees.value[-1, depth, k] = j, at + 1
+                    low_g, low_h = left_g[k, j, at], left_h[k, j, at]
+                else:
+                    low_g, low_h = all_g[k, 0, 0], all_h[k, 0, 0]
+                leaf[2 * k] = SHRINK * low_g / (low_h + 1)
+                leaf[2 * k + 1] = SHRINK * (all_g[k, 0, 0] - low_g) / (all_h[k, 0, 0] - low_h + 1)
+        trees.leaf = np.concatenate([trees.leaf, leaf[None]])
+    return trees
+
+
+def limit_of(code: np.ndarray, good: np.ndarray, n: np.ndarray) -> float:
+    """Lowest score, in steps of 1 / CODES, down to which the wanted precision holds; codes are distinct, with ``good`` of ``n`` rows."""
+    order = np.argsort(-code)
+    limit, taken, right = 1.1, 0, 0  # 1.1: nothing of this kind was seen outside the fit
+    for c, x, y in zip(code[order], good[order], n[order], strict=True):
+        taken, right = taken + y, right + x
+        if x and right < PRECISION * taken:
+            break
+        limit = max(0.5, c / CODES) if x else limit
+    return limit
+
+
+def coded(bins: np.ndarray, trees: Trees) -> np.ndarray:
+    return np.floor(trees.probability(bins) * CODES).astype(np.int64)
+
+
+def packed(trees: Trees, cuts: list[np.ndarray], limits: list[float]) -> bytes:
+    """The model for values instead of bins."""
+    value = np.full(trees.value.shape, np.inf)
+    for at in zip(*np.nonzero(np.isfinite(trees.value)), strict=True):
+        value[at] = cuts[trees.column[at]][int(trees.value[at]) - 1]
+    out = io.BytesIO()
+    np.savez(out, column=trees.column, value=value, leaf=trees.leaf, first=trees.first, limits=np.array(limits))
+    return out.getvalue()
+
+
+def fit_model(rows: pd.DataFrame) -> bytes:
+    """``train`` for rows in memory: ``x (array), label, fold``."""
+    if not len(rows) or rows["label"].nunique() < 2:
         return b""
-    x, y, fold = np.array(sample["x"].tolist(), float), sample["label"].to_numpy(float), sample["fold"].to_numpy()
-    order = np.lexsort((*x.T, y, fold))
-    x, y, fold = x[order], y[order], fold[order]
+    x, y, fold = rounded(np.array(rows["x"].tolist()).astype(np.int64)), rows["label"].to_numpy(), rows["fold"].to_numpy()
     learn = fold != 0 if len(np.unique(y[fold != 0])) == 2 else np.ones(len(y), bool)
-    trees = Trees.fit(x[learn], y[learn])
-    p = trees.probability(x)
-    limits = []
+    cuts = [cuts_of(*np.unique(x[learn, j], return_counts=True)) for j in range(FEATURES)]
+    bins, n = binned(x, cuts), np.ones(len(y))
+    trees = boosted(cuts, y[learn].mean(), lambda t, depth: split_sums(bins[learn], y[learn], n[learn], t, depth))
+    codes, limits = coded(bins, trees), []
     for kind in range(len(KINDS)):
         own = (x[:, 0] == kind) & ~learn
-        limit = 1.1  # nothing of this kind was seen outside the fit
-        for t in np.unique(p[own & (y == 1)])[::-1]:
-            taken = own & (p >= t)
-            if y[taken].mean() < PRECISION:
-                break
-            limit = max(0.5, t)
-        limits.append(limit)
-    out = io.BytesIO()
-    np.savez(out, cuts=trees.cuts, column=trees.column, value=trees.value, leaf=trees.leaf, first=trees.first, limits=np.array(limits))
-    return out.getvalue()
+        code, at = np.unique(codes[own], return_inverse=True)
+        limits.append(limit_of(code, np.bincount(at, y[own], minlength=len(code)), np.bincount(at, minlength=len(code))))
+    return packed(trees, cuts, limits)
 
 
-def train(documents: DataFrame, fit_rows: int = FIT_ROWS) -> bytes:
-    """Fit on at most ``fit_rows`` documents, those with the smallest hashes of their ids."""
-    ids = documents.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # at most `fit_rows` ids
+def vectors(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
-    def run(batches):
+
+def train(documents: DataFrame) -> bytes:
+    """Fit on all documents.
+
+    Examples are folded to distinct feature vectors with their number, these to distinct vectors of bins. Each level of each
+    tree is one pass over these: tasks return sums of fixed size, and the driver picks the splits. Thresholds are picked
+    from counts by kind and score (at most ``CODES + 1`` scores). No task or driver holds examples beyond a batch.
+    """
+
+    def seen(batches):
         for b in slices(batches):
-            x, y, fold = [], [], []
+            x, label, held = [], [], []
             for doc_id, text in zip(b["doc_id"].to_pylist(), texts_of(b["text"]), strict=True):
-                for row, label in examples(text):
-                    x.append([float(v) for v in row])
-                    y.append(label)
-                    fold.append(doc_id % 3)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array(fold, pa.int32())], ["x", "label", "fold"])
+                found = examples(text)
+                x += [row for row, _ in found]
+                label += [y for _, y in found]
+                held += [(zlib.crc32(text.encode("utf-8", "surrogatepass")) if doc_id is None else doc_id) % 3 == 0] * len(found)
+            if x:
+                whole = rounded(np.array(x).astype(np.int64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in whole], pa.binary()), pa.array(label, pa.int32()), pa.array(held, pa.bool_())], ["x", "label", "held"])
+
+    rows = documents.select("doc_id", "text").mapInArrow(seen, "x binary, label int, held boolean")
+    rows = stage(rows.groupBy("x", "label", "held").agg(F.count("*").alias("n")), "examples")
+    totals = {(r["held"], r["label"]): (r["n"], r["k"]) for r in rows.groupBy("held", "label").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()}
+    if len({label for _, label in totals}) < 2:
+        return b""
+    apart = (False, 0) in totals and (False, 1) in totals  # else everything is learned from
+    learned = rows.where("NOT held") if apart else rows
+    bad, good = (sum(totals.get((held, label), (0, 0))[0] for held in ((False,) if apart else (False, True))) for label in (0, 1))
+
+    def values(batches):
+        for b in batches:
+            x, n = vectors(b["x"], np.int32, FEATURES), b["n"].to_numpy()
+            for j in range(FEATURES):
+                value, at = np.unique(x[:, j], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), j, np.int32)), pa.array(value), pa.array(np.bincount(at, n, minlength=len(value)).astype(np.int64))], ["j", "value", "n"])
+
+    per = learned.mapInArrow(values, "j int, value int, n long").groupBy("j", "value").agg(F.sum("n").alias("n")).toPandas().sort_values(["j", "value"])
+    cuts = [cuts_of(own["value"].to_numpy(), own["n"].to_numpy()) for _, own in per.groupby("j")]
+
+    def to_bins(batches):
+        for b in batches:
+            x = vectors(b["x"], np.int32, FEATURES)
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in binned(x, cuts)], pa.binary()), pa.array(x[:, 0]), b["label"], b["held"], b["n"]], ["bins", "kind", "label", "held", "n"])
+
+    cells = rows.mapInArrow(to_bins, "bins binary, kind int, label int, held boolean, n long").groupBy("bins", "kind", "label", "held").agg(F.sum("n").alias("n"))
+    cells = stage(cells, "cells", sum(k for _, k in totals.values()))
+    learned = cells.where("NOT held") if apart else cells
+
+    def sums(trees: Trees, depth: int) -> np.ndarray:
+        def run(batches):
+            total = 0
+            for b in batches:
+                total = total + split_sums(vectors(b["bins"], np.uint8, FEATURES), b["label"].to_numpy(), b["n"].to_numpy(), trees, depth)
+            if np.ndim(total):
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        parts = learned.select("bins", "label", "n").mapInArrow(run, "sums binary").collect()  # one row of fixed size for each task
+        return sum(np.frombuffer(r["sums"]) for r in parts).reshape(2, 2**depth, FEATURES, BINS + 1)
+
+    trees = boosted(cuts, good / (good + bad), sums)
+
+    def scores(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["kind"], pa.array(coded(vectors(b["bins"], np.uint8, FEATURES), trees)), b["label"], b["n"]], ["kind", "code", "label", "n"])
 
-    return fit_in_one_task(sample.mapInArrow(run, "x array<double>, label int, fold int"), fit_model)
+    kept = cells.where("held" if apart else "false").select("bins", "kind", "label", "n").mapInArrow(scores, "kind int, code long, label int, n long")
+    seen_at = kept.groupBy("kind", "code").agg(F.sum(F.col("n") * F.col("label")).alias("good"), F.sum("n").alias("n")).toPandas()
+    limits = [limit_of(*(seen_at.loc[seen_at["kind"] == kind, c].to_numpy() for c in ("code", "good", "n"))) for kind in range(len(KINDS))]
+    return packed(trees, cuts, limits)
 
 
 class Detector:
@@ -258,7 +360,7 @@ class Detector:
         self.trees = None
         if model:
             with np.load(io.BytesIO(model), allow_pickle=False) as f:
-                self.trees = Trees(f["cuts"], f["column"], f["value"], f["leaf"], float(f["first"]))
+                self.trees = Trees(f["column"], f["value"], f["leaf"], float(f["first"]))
                 self.limits = f["limits"]
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
@@ -289,14 +391,14 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def personal_data(documents: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def personal_data(documents: DataFrame) -> DataFrame:
     """Per row of ``documents``: ``doc_id``, base counts ``n_email, n_ip, n_card, n_phone``, ``base`` and ``spans``.
 
     ``base`` and ``spans`` list ``kind:start:end`` in code points, by start and then kind; ``spans`` holds the
     base spans and those the model adds. Defined cases: a null or empty text has no spans; without examples of
     both labels nothing is added; repeated rows repeat; an empty table gives no rows; other columns are ignored.
     """
-    model = train(documents, fit_rows)
+    model = train(documents)
 
     def run(batches):
         detector = Detector(model)
@@ -319,9 +421,9 @@ def redact_text(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(documents: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def redact(documents: DataFrame) -> DataFrame:
     """``documents`` with personal data in ``text`` replaced; all other columns pass through, null texts stay null."""
-    model = train(documents, fit_rows)
+    model = train(documents)
     names = documents.columns
 
     def run(batches):
