@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -78,15 +80,29 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, bound:
 
 def fit_in_one_task(rows: DataFrame, fit: Callable[[pd.DataFrame], bytes]) -> bytes:
     """Run ``fit`` over a bounded sample inside one task and bring back the model's bytes."""
-    model = rows.groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: pd.DataFrame({"model": [fit(pdf)]}), "model binary").collect()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = pd.DataFrame({"model": [fit(pdf)]})
+        release()
+        return made
+
+    model = rows.groupBy(F.lit(0).alias("all")).applyInPandas(run, "model binary").collect()
     return bytes(model[0]["model"]) if model else fit(pd.DataFrame({c: [] for c in rows.columns}))
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers wait for further tasks, and what they keep is missing elsewhere."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that a task holds few decoded texts at once."""
+    """Smaller batches, so that a task holds few decoded texts at once. At the end freed memory is given back."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
+    release()
 
 
 def small(df: DataFrame, listed: str | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes hashed at once (a longer text is hashed alone), and powers that a worker keeps.
 BATCH_BYTES, KEPT_POWERS = 1 << 20, (1 << 20) + 4096
+#: The same for sets of shingles: temporary arrays are tens of times as large.
+SET_BYTES = 1 << 18
 _powers = [np.ones(1, _U), np.ones(1, _U)]
 
 
@@ -55,7 +57,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer words than a shingle make one, no words none."""
     out, part, size = [], [], 0
     for raw in (t.encode("utf-8", "surrogatepass") for t in texts):
-        if part and size + len(raw) >= BATCH_BYTES:
+        if part and size + len(raw) >= SET_BYTES:
             out += _sets(part)
             part, size = [], 0
         part.append(raw)
